@@ -4,9 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructType
+
+
+def per_text(make: Callable[[], Callable[[str | None], tuple]], fields: str) -> Callable[[Column], Column]:
+    """A function of a text column that gives a struct of fields: make(), called once a task, gives the function of one text.
+
+    Texts are taken from the Arrow batch one by one, so that a worker holds no second copy of a batch.
+    """
+    schema = StructType.fromDDL(fields) if hasattr(StructType, "fromDDL") else DataType.fromDDL(fields)
+    names = schema.fieldNames()
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    @F.arrow_udf(schema)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = make()
+        for texts in batches:
+            columns: list[list] = [[] for _ in names]
+            for text in texts:
+                for column, value in zip(columns, one(text.as_py()), strict=True):
+                    column.append(value)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return run
 
 
 def shared_folder(spark: SparkSession) -> str:

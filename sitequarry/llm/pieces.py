@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from sentencepiece import sentencepiece_model_pb2
 
+from sitequarry.llm.common import per_text
+
 #: The mark that stands for a space (U+2581).
 MARK = "▁"
 #: Chunks that a worker remembers, and the longest chunk that it remembers (characters).
-MOST_CHUNKS, LONGEST_CHUNK = 400_000, 64
+MOST_CHUNKS, LONGEST_CHUNK = 120_000, 64
 
 
 class CharMap:
@@ -221,17 +223,17 @@ def decode(tokens: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
 def digests(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """docs with n_tokens, ids_sha256, decoded_sha256 and spans_sha256 (of the spans as little-endian 64-bit begin and end)."""
 
-    @pandas_udf("struct<n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make():
         own = pieces(model)
-        for texts in batches:
-            rows = []
-            for text in texts:
-                ids = own.ids(text)
-                spans = own.spans(text, ids)
-                rows.append((len(ids), *(hashlib.sha256(x).hexdigest() for x in (ids.tobytes(), own.decode(ids).encode("utf-8", "surrogatepass"), spans.astype("<i8").tobytes()))))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
+        def one(text: str | None) -> tuple:
+            ids = own.ids(text)
+            spans = own.spans(text, ids)
+            return (len(ids), *(hashlib.sha256(x).hexdigest() for x in (ids.tobytes(), own.decode(ids).encode("utf-8", "surrogatepass"), spans.astype("<i8").tobytes())))
+
+        return one
+
+    run = per_text(make, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
     out = docs.withColumn("_digest", run(F.col(text_col)))
     return out.withColumns({c: F.col(f"_digest.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256")}).drop("_digest")
 
