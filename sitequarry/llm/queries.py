@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitequarry.llm import licenses, pieces, sharding, simhash
+from sitequarry.llm import langid, licenses, pieces, quality, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,20 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op4(_table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op7(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op8(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op9(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_pieces": op3_pieces, "op4_sharding": op4_sharding}
+    return {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_pieces": op3_pieces, "op4_sharding": op4_sharding, "op7_language": op7_language, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
