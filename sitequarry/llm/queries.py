@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitequarry.llm import langid, licenses, pieces, quality, sharding, simhash, toxicity
+from sitequarry.llm import decontaminate, htmltext, langid, licenses, pieces, quality, sharding, simhash, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op4(_table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.op5(_table(spark, sf_dir, "pages"))
+
+
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.op6(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op7(_table(spark, sf_dir, "documents"))
 
@@ -47,8 +55,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op9(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op10(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_pieces": op3_pieces, "op4_sharding": op4_sharding, "op7_language": op7_language, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity}
+    own = (op1_simhash, op2_licenses, op3_pieces, op4_sharding, op5_main_text, op6_vectors, op7_language, op8_quality, op9_toxicity, op10_decontamination)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
