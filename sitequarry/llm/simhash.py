@@ -159,11 +159,22 @@ def allocate(found: np.ndarray, widths: list[int], mean: np.ndarray, radius: int
     return out
 
 
+def part_count(n: int, radius: int) -> int:
+    """The number of partitions with the least look-ups and expected candidates among n scattered fingerprints; a candidate, whose number grows with the square of n, counts as ten look-ups."""
+
+    def cost(parts: int) -> float:
+        width, total = BITS // parts, radius - parts + 1
+        thresholds = [total // parts + (i < total % parts) for i in range(parts)]
+        asked = sum(_ball(width, t) for t in thresholds if t >= 0)
+        return n * asked + 10 * n * n / 2 * asked / 2.0**width
+
+    return min(range(2, max(2, radius + 1) + 1), key=cost)
+
+
 def close_pairs(classes: DataFrame, radius: int = 2) -> DataFrame:
     """All pairs (u, v), u < v, of classes(fp), distinct fingerprints, that differ in 1 to radius bits."""
     n, together = _bit_counts(classes)
-    # Partitions: as many as keep the expected hits of a value small for this many fingerprints, radius + 1 at most (all thresholds 0).
-    parts = min(radius + 1, max(2, int(BITS // max(16.0, np.log2(max(2, n)) - 4))))
+    parts = part_count(n, radius)
     groups = correlated_parts(n, together, parts)
     widths = [len(g) for g in groups]
 
