@@ -211,26 +211,29 @@ def close_pairs(classes: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, fp, component_id (smallest id reachable by links of at most radius differing bits)."""
-    rows = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words).select("doc_id", "fp"))
+    """Per row of docs: doc_id, key (hash of the text), fp, label (a fingerprint that names the component), component_id (smallest id reachable by links of at most radius differing bits)."""
+    text = F.col(text_col)
+    rows = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")), words).select("doc_id", "key", "fp"))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     # fingerprints without a link are components of their own
     linked = cut(components(close_pairs(classes, radius)))
     labelled = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
-    named = labelled.where(F.col("label") != F.col("fp")).select("label").distinct()
+    named = linked.select("label").distinct()
     many = labelled.join(named, "label", "left_semi").groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of_class = labelled.join(many, "label", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return rows.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    of_class = labelled.join(many, "label", "left").select("fp", "label", F.coalesce("component_id", "least_id").alias("component_id"))
+    return rows.join(of_class, "fp").select("doc_id", "key", "fp", "label", "component_id")
 
 
 def op1(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id."""
-    out = near_copies(docs)
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return near_copies(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The row with the smallest doc_id of each component, with the columns of docs. Of rows with the same doc_id and text one stays."""
+    """One row of each component, with the columns of docs: that of the smallest doc_id (null only if there is no other), and of rows with that id the one whose text has the smallest hash. Rows alike in id and text count as one."""
     found = near_copies(docs, words, radius)
-    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("r"), F.count(F.lit(1)).alias("n"))
+    kept = cut(first.select(F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key"), "n"))
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_key"]), "left_semi")
+    several = found.join(kept, found["doc_id"].eqNullSafe(kept["_id"]) & (found["key"] == kept["_key"]), "left_semi").groupBy("doc_id", "key").count().where("count > 1")
+    return out.dropDuplicates(["doc_id", "text"]) if several.limit(1).count() else out
