@@ -44,9 +44,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: later readers recompute nothing, and lost executors lose nothing."""
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again: later readers recompute nothing, and lost executors lose nothing.
+
+    few: at most two files for each core of the cluster, for tables much smaller than their input.
+    """
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -70,7 +75,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     back on the key, so that a node with very many neighbours is a skewed join that Spark can split, not a group held by
     one task. Self-links and repeated links are allowed. Nodes without a link to another node don't appear.
     """
-    now = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), few=True)
     mark = None
     for _ in range(max_rounds):
         stats = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -83,7 +88,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         step = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after = cut(step)
+        after = cut(step, few=True)
         drop_cut(now)
         now = after
     else:

@@ -214,9 +214,9 @@ def near_copies(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str =
     """Per row of docs: doc_id, key (hash of the text), fp, label (a fingerprint that names the component), component_id (smallest id reachable by links of at most radius differing bits)."""
     text = F.col(text_col)
     rows = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")), words).select("doc_id", "key", "fp"))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), few=True)
     # fingerprints without a link are components of their own
-    linked = cut(components(close_pairs(classes, radius)))
+    linked = cut(components(close_pairs(classes, radius)), few=True)
     labelled = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
     named = linked.select("label").distinct()
     many = labelled.join(named, "label", "left_semi").groupBy("label").agg(F.min("least_id").alias("component_id"))
@@ -232,8 +232,8 @@ def op1(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """One row of each component, with the columns of docs: that of the smallest doc_id (null only if there is no other), and of rows with that id the one whose text has the smallest hash. Rows alike in id and text count as one."""
     found = near_copies(docs, words, radius)
-    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("r"), F.count(F.lit(1)).alias("n"))
-    kept = cut(first.select(F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key"), "n"))
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("r"))
+    kept = cut(first.select(F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key")), few=True)
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_key"]), "left_semi")
     several = found.join(kept, found["doc_id"].eqNullSafe(kept["_id"]) & (found["key"] == kept["_key"]), "left_semi").groupBy("doc_id", "key").count().where("count > 1")
     return out.dropDuplicates(["doc_id", "text"]) if several.limit(1).count() else out
