@@ -160,13 +160,13 @@ def allocate(found: np.ndarray, widths: list[int], mean: np.ndarray, radius: int
 
 
 def part_count(n: int, radius: int) -> int:
-    """The number of partitions with the least look-ups and expected candidates among n scattered fingerprints; a candidate, whose number grows with the square of n, counts as ten look-ups."""
+    """The number of partitions with the least look-ups and expected candidates among n scattered fingerprints; a candidate, whose number grows with the square of n, counts as a hundred look-ups."""
 
     def cost(parts: int) -> float:
         width, total = BITS // parts, radius - parts + 1
         thresholds = [total // parts + (i < total % parts) for i in range(parts)]
         asked = sum(_ball(width, t) for t in thresholds if t >= 0)
-        return n * asked + 10 * n * n / 2 * asked / 2.0**width
+        return n * asked + 100 * n * n / 2 * asked / 2.0**width
 
     return min(range(2, max(2, radius + 1) + 1), key=cost)
 
