@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +56,11 @@ def estimate_px(text: Column, font_px: int) -> Column:
     return F.when(text != "", F.floor(total / 1000 * font_px + 0.5).cast("int"))
 
 
+def let(value: Column, f) -> Column:
+    """f of value, evaluated once: a lambda that names a bare expression evaluates it for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -72,18 +78,22 @@ def _total(items: Column, of) -> Column:
 def readability(text: Column) -> Column:
     """Struct of Flesch reading ease and grade (1 decimal), sentences, syllables, words per sentence and band; null fields for texts without words."""
     words = _matches(text, "[A-Za-z][A-Za-z'’-]*")
-    n = F.size(words)
     ends = F.size(_matches(text, r"[.!?]+(?=\s|$)"))
-    sentences = F.when(ends > 0, ends).otherwise(F.when(n > 0, 1).otherwise(0))
-    syllables = _total(words, lambda w: _syllables(w, "(?:[^laeiouy]es|ed|[^laeiouy]e)$"))
-    some = n > 0
-    per_sentence, per_word = n / sentences, syllables / n
-    ease = 206.835 - 1.015 * per_sentence.cast("double") - 84.6 * per_word.cast("double")
-    grade = 0.39 * per_sentence + 11.8 * per_word - 15.59
-    return F.struct(
-        F.when(some, round_half_up(ease, 1)).alias("ease"), F.when(some, round_half_up(grade, 1)).alias("grade"), sentences.alias("sentences"),
-        syllables.alias("syllables"), F.when(some, round_half_up(per_sentence, 1)).alias("words_per_sentence"), F.when(some, ease_band(ease)).alias("band"),
-    )
+
+    def report(c: Column) -> Column:
+        n, syllables = c["n"], c["syllables"]
+        sentences = F.when(c["ends"] > 0, c["ends"]).otherwise(F.when(n > 0, 1).otherwise(0))
+        per_sentence, per_word = n / sentences, syllables / n
+        ease = 206.835 - 1.015 * per_sentence.cast("double") - 84.6 * per_word.cast("double")
+        grade = 0.39 * per_sentence + 11.8 * per_word - 15.59
+        some = n > 0
+        return F.struct(
+            F.when(some, round_half_up(ease, 1)).alias("ease"), F.when(some, round_half_up(grade, 1)).alias("grade"), sentences.alias("sentences"),
+            syllables.alias("syllables"), F.when(some, round_half_up(per_sentence, 1)).alias("words_per_sentence"), F.when(some, ease_band(ease)).alias("band"),
+        )
+
+    counts = let(words, lambda w: F.struct(F.size(w).alias("n"), _total(w, lambda x: _syllables(x, "(?:[^laeiouy]es|ed|[^laeiouy]e)$")).alias("syllables"), ends.alias("ends")))
+    return let(counts, report)
 
 
 def ease_band(ease: Column) -> Column:
@@ -96,15 +106,14 @@ def ease_band(ease: Column) -> Column:
 def reading_ease(text: Column) -> Column:
     """The measurements' variant of Flesch reading ease: white-space tokens, its own rule for a silent e; null for blank texts."""
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    n = F.size(words)
     sentences = F.greatest(F.lit(1), F.size(_matches(text, r"[.!?]+(?:\s|$)")))
 
     def syllables(word: Column) -> Column:
         plain = F.regexp_replace(F.lower(word), "[^a-z]", "")
         return F.when(plain == "", F.lit(0)).otherwise(_syllables(word, "(?:[^aeiouy]e|[^laeiouy]es|[^laeiouy]ed)$"))
 
-    score = 206.835 - 1.015 * (n / sentences) - 84.6 * (_total(words, syllables) / n)
-    return F.when(n > 0, round_half_up(score, 1))
+    counts = let(words, lambda w: F.struct(F.size(w).alias("n"), _total(w, syllables).alias("s"), sentences.alias("ends")))
+    return let(counts, lambda c: F.when(c["n"] > 0, round_half_up(206.835 - 1.015 * (c["n"] / c["ends"]) - 84.6 * (c["s"] / c["n"]), 1)))
 
 
 def keyword_tokens(text: Column) -> Column:
@@ -120,7 +129,8 @@ def significant_words(text: Column) -> Column:
 def shingles(text: Column, size: int = 5) -> Column:
     """The set of word n-grams of letters and digits, lower case; none for texts of fewer words."""
     words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", " "), r"(?U)\s+"), lambda w: w != "")
-    return F.when(F.size(words) >= size, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.array_join(F.slice(words, i + 1, size), " ")))).otherwise(F.array().cast("array<string>"))
+    grams = let(words, lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.array_join(F.slice(w, i + 1, size), " "))))
+    return F.coalesce(F.array_distinct(grams), F.array().cast("array<string>"))
 
 
 def fnv1a(text: str, basis: int = 0x811C9DC5) -> int:
@@ -132,6 +142,23 @@ def fnv1a(text: str, basis: int = 0x811C9DC5) -> int:
     return h
 
 
+def fnv1a_all(texts: list[str], basis: int = 0x811C9DC5) -> np.ndarray:
+    """fnv1a of many texts at once: unit by unit over all that are long enough."""
+    units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2") for t in texts]
+    lengths = np.array([len(u) for u in units])
+    order = np.argsort(-lengths, kind="stable")
+    flat = np.concatenate([units[i] for i in order]) if len(units) else np.zeros(0, np.uint16)
+    lengths = lengths[order]
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(units) else np.zeros(0, np.int64)
+    h = np.full(len(units), basis, np.uint64)
+    for k in range(int(lengths[0]) if len(units) else 0):
+        live = np.searchsorted(-lengths, -k, "left")
+        h[:live] = ((h[:live] ^ flat[starts[:live] + k]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 def status_class(code: Column) -> Column:
     return F.when(code.isNull(), F.lit("none")).otherwise(F.concat(F.floor(code / 100).cast("string"), F.lit("xx")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,19 +22,29 @@ MODULUS = np.uint64(0xFFFFFFFF)
 
 def signature(shingles: list[str], size: int = 128) -> list[int]:
     """Minima over the shingles of h1 + i * h2, modulo 2^32, for i below size."""
-    h1, h2 = (np.array([tx.fnv1a(s, b) for s in shingles], np.uint64) for b in BASES)
+    h1, h2 = (tx.fnv1a_all(shingles, b) for b in BASES)
     return [int(((h1 + np.uint64(i) * h2) & MODULUS).min()) for i in range(size)]
 
 
-def with_signature(pages: DataFrame, size: int = 128) -> DataFrame:
-    """pages(id, shingles) with sig."""
+_APART = re.compile(r"[\W_]+")
+
+
+def shingles_of(text: str | None, size: int) -> list[str]:
+    """The set of word n-grams of letters and digits, as the column expression of that name."""
+    words = [w for w in _APART.split(text.lower()) if w] if text else []
+    return list(dict.fromkeys(" ".join(words[i : i + size]) for i in range(len(words) - size + 1)))
+
+
+def with_signature(pages: DataFrame, shingle_size: int = 5, size: int = 128) -> DataFrame:
+    """pages(text) with sig, null for texts of fewer words than a shingle. Shingles never leave the function: they are several times the text."""
 
     @F.pandas_udf(ArrayType(LongType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield pd.Series([signature(list(r), size) if r is not None and len(r) else None for r in rows])
+        for texts in batches:
+            own = (shingles_of(t, shingle_size) for t in texts)
+            yield pd.Series([signature(s, size) if s else None for s in own])
 
-    return pages.withColumn("sig", run("shingles"))
+    return pages.withColumn("sig", run("text"))
 
 
 def candidates(signed: DataFrame, size: int = 128, rows: int = 8) -> DataFrame:
@@ -54,8 +65,8 @@ def near_duplicates(pages: DataFrame, size: int = 5, threshold: float = 0.75, si
     Pages whose text recurs, and pages of fewer words than a shingle, are left out.
     """
     repeated = pages.where("word_count > 0").groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("content_hash")
-    kept = pages.where(F.col("word_count") >= size).join(repeated, "content_hash", "left_anti").select("id", tx.shingles(F.col("text"), size).alias("shingles")).where(F.size("shingles") > 0)
-    signed = cut(with_signature(kept, signature_size).select("id", "sig"))
+    kept = pages.where(F.col("word_count") >= size).join(repeated, "content_hash", "left_anti").select("id", "text")
+    signed = cut(with_signature(kept, size, signature_size).select("id", "sig"))
     pairs = cut(_estimated(candidates(signed, signature_size), signed, signature_size).where(F.col("estimate") >= threshold))
     nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     members = cut(components(nodes, pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))))

@@ -110,9 +110,9 @@ def ai_access(rules: DataFrame, spark: SparkSession, key: str = "host") -> DataF
         F.count_if((F.col("directive") == "disallow") & F.col("value").isin("/", "/*")).alias("root"), F.count_if((F.col("directive") == "disallow") & (F.col("value") != "")).alias("some"), F.count_if((F.col("directive") == "allow") & (F.col("value") != "")).alias("allows"), F.min("line").alias("line"),
     )
     pairs = rules.select(key).distinct().crossJoin(agents)
-    own = per.withColumnRenamed("name", "own").select(key, "own", F.struct(F.col("own").alias("group"), "root", "some", "allows", "line").alias("a"))
+    own = per.select(F.col(key).alias("own_key"), F.col("name").alias("own"), F.struct(F.col("name").alias("group"), "root", "some", "allows", "line").alias("a"))
     rest = per.where("name = '*'").select(key, F.struct(F.lit("*").alias("group"), "root", "some", "allows", "line").alias("b"))
-    rows = pairs.join(own, (pairs[key] == own[key]) & (F.lower(pairs["agent"]) == own["own"]), "left").drop(own[key]).join(rest, key, "left").withColumn("g", F.coalesce("a", "b"))
+    rows = pairs.join(own, (pairs[key] == own["own_key"]) & (F.lower(pairs["agent"]) == own["own"]), "left").drop("own_key", "own").join(rest, key, "left").withColumn("g", F.coalesce("a", "b"))
     access = F.when(~F.col("obeys"), "ignores robots.txt").when((F.col("g.root") > 0) & (F.col("g.allows") == 0), "blocked").when(F.col("g.some") > 0, "partly blocked").otherwise("allowed")
     return rows.select(key, "agent", "operator", access.alias("access"), F.col("g.group").alias("matched_group"), F.col("g.line").alias("matched_line"))
 
