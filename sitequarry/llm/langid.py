@@ -157,7 +157,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                 length = np.linalg.norm(v)
                 if length:
                     sums[langs[i]] = sums.get(langs[i], 0) + v / length
-        yield pd.DataFrame({"lang": list(sums), "v": [v.astype(np.float64) for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": [v.astype(np.float64) for v in sums.values()]})
 
     parts = rows.repartition(8, "id").mapInPandas(add, "lang string, v array<double>").collect()
     total: dict[str, np.ndarray] = {}
