@@ -118,8 +118,7 @@ def reading_ease(text: Column) -> Column:
 
 def keyword_tokens(text: Column) -> Column:
     words = _matches(F.lower(text), "[a-z][a-z'’-]{1,}")
-    stops = F.array(*[F.lit(w) for w in sorted(STOPWORDS)])
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stops, w))
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*sorted(STOPWORDS)))
 
 
 def significant_words(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from sitequarry.functions import text as tx
 from sitequarry.operators.graph import components
-from sitequarry.plans.lineage import cut
+from sitequarry.plans.lineage import cut, spread
 
 #: Bases of the two hashes from which all others are mixed.
 BASES = (0x811C9DC5, 0x9747B28C)
@@ -23,7 +23,12 @@ MODULUS = np.uint64(0xFFFFFFFF)
 def signature(shingles: list[str], size: int = 128) -> list[int]:
     """Minima over the shingles of h1 + i * h2, modulo 2^32, for i below size."""
     h1, h2 = (tx.fnv1a_all(shingles, b) for b in BASES)
-    return [int(((h1 + np.uint64(i) * h2) & MODULUS).min()) for i in range(size)]
+    steps = np.arange(size, dtype=np.uint64)
+    least = np.full(size, MODULUS)
+    for at in range(0, len(h1), 2048):
+        mixed = (h1[at : at + 2048, None] + h2[at : at + 2048, None] * steps) & MODULUS
+        np.minimum(least, mixed.min(axis=0), out=least)
+    return least.astype(np.int64).tolist()
 
 
 _APART = re.compile(r"[\W_]+")
@@ -66,7 +71,7 @@ def near_duplicates(pages: DataFrame, size: int = 5, threshold: float = 0.75, si
     """
     repeated = pages.where("word_count > 0").groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("content_hash")
     kept = pages.where(F.col("word_count") >= size).join(repeated, "content_hash", "left_anti").select("id", "text")
-    signed = cut(with_signature(kept, size, signature_size).select("id", "sig"))
+    signed = cut(with_signature(spread(kept), size, signature_size).select("id", "sig"))
     pairs = cut(_estimated(candidates(signed, signature_size), signed, signature_size).where(F.col("estimate") >= threshold))
     nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     members = cut(components(nodes, pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))))

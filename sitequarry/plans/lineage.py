@@ -18,3 +18,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it comes in fewer partitions than that, as a small table in one file does; a table of many partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

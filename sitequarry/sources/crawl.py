@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sitequarry.functions import urls
+from sitequarry.plans.lineage import spread
 from sitequarry.sources.extract import FIELDS, extract
 
 #: Columns of a crawled page besides the facts of its HTML.
@@ -32,6 +33,7 @@ def complete(pages: DataFrame) -> DataFrame:
 
 def from_html(pages: DataFrame, run_id: str = "run", order: str = "page_id", headers: Column | None = None) -> DataFrame:
     """A run from a table of (url, html): identities and the facts of the HTML; nothing is known of status, depth or time."""
+    pages = spread(pages)
     facts = extract(pages.withColumnRenamed(order, "input_order") if order != "input_order" else pages, headers=headers)
     normalized = F.coalesce(urls.normalize_url("url"), F.col("url"))
     own = facts.withColumns({"run_id": F.lit(run_id), "normalized_url": normalized, "final_url": F.col("url")}).withColumn("page_id", urls.page_id(F.col("normalized_url")))
