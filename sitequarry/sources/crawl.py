@@ -46,7 +46,7 @@ def read_pages(spark: SparkSession, path: str, tolerant: bool = False) -> DataFr
     kind = StructType.fromDDL(META + "," + FIELDS + (", _corrupt string" if tolerant else ""))
     rows = spark.read.schema(kind).option("multiLine", True).option("mode", mode).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     if tolerant:
-        rows = rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
+        rows = rows.where(F.col("_corrupt").isNull() & F.coalesce("url", "normalized_url", "title").isNotNull()).drop("_corrupt")
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.json$", 1)
     return rows.select("*", name.alias("_file")).withColumn("page_id", F.coalesce("page_id", "_file")).drop("_file")
 
