@@ -56,6 +56,23 @@ def estimate_px(text: Column, font_px: int) -> Column:
     return F.when(text != "", F.floor(total / 1000 * font_px + 0.5).cast("int"))
 
 
+def format_count(n: Column, noun: str) -> Column:
+    whole = floor_half_up(n)
+    return F.concat(F.format_number(whole, 0), F.when(whole == 1, F.lit(f" {noun}")).otherwise(F.lit(f" {noun}s")))
+
+
+def format_ms(n: Column) -> Column:
+    return F.concat(F.format_number(floor_half_up(n), 0), F.lit(" ms"))
+
+
+def format_bytes(n: Column) -> Column:
+    return F.when(n < 1024, F.concat(floor_half_up(n).cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.format_string("%.1f KB", n.cast("double") / 1024)).otherwise(F.format_string("%.2f MB", n.cast("double") / (1024 * 1024)))
+
+
+def floor_half_up(n: Column) -> Column:
+    return F.floor(n.cast("double") + 0.5).cast("long")
+
+
 def let(value: Column, f) -> Column:
     """f of value, evaluated once: a lambda that names a bare expression evaluates it for every element."""
     return F.transform(F.array(value), f)[0]

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import text as tx
 from sitequarry.functions import urls
-from sitequarry.operators import diff, explore, graph, measurements, metrics, page_rules, scoring, similarity, site_rules
+from sitequarry.operators import diff, explore, graph, history, measurements, metrics, page_rules, render, scoring, similarity, site_rules
 from sitequarry.operators.site_rules import Site
 from sitequarry.plans.analyze import analyze
 from sitequarry.plans.config import Config
-from sitequarry.sources import crawl, schema_org, sinks, site_files
+from sitequarry.sources import crawl, images, schema_org, sinks, site_files
 from sitequarry.sources.dom import parse
 from sitequarry.sources.extract import Page
 from sitequarry.streaming import events as ev
@@ -500,6 +500,63 @@ def test_summary(run):
     assert hist == {200: 5, 500: 1, 404: 1, 401: 1, None: 1}
 
 
+def test_rendering(spark):
+    names = ["page_id", "title", "meta_description", "canonical", "links", "images", "image_summary", "headings", "structured_data", "content", "robots"]
+    make = lambda html: crawl.from_html(spark.createDataFrame([(0, "https://e.com/", html)], "input_order long, url string, html string"), order="input_order").select(*names)
+    a, b = make("<body><h1>x</h1>few words</body>"), make("<title>T</title><body><h1>x</h1><h2>y</h2>" + "many words " * 20 + '<a href="/q">q</a></body>')
+    got = render.render_gain(a, b).first()
+    assert got.keep == "rendered" and (got.text, got.links, got.images, got.headings, got.meta_tags, got.json_ld) == (True, True, False, True, True, False) and "render-gain:links+1" in got.reasons
+    assert render.render_gain(b, a).first().reasons == ["render-gain:kept-static"]
+    d = render.render_divergence(a, b).first().render_divergence
+    assert (d.title_changed, d.link_count_delta, d.static_noindex) == (True, 1, False) and d.word_count_delta > 30
+    more = render.add_observed_images(a, a.select("page_id", F.lit("https://e.com/n.png").alias("src")))
+    assert [(i.src, i.source) for i in more.first().images] == [("https://e.com/n.png", "observed")]
+
+
+def test_history(spark, run):
+    runs = spark.createDataFrame([(f"r{k}", "u", k, 50.0 + k) for k in range(25)], "run_id string, start_url string, started_at int, score double")
+    got = history.health_history(runs, spark.createDataFrame([("r24", "b", 2), ("r24", "a", 1)], "run_id string, rule_id string, n int"), "u").collect()
+    assert [r.run_id for r in got] == [f"r{k}" for k in range(5, 25)] and got[-1].rules == {"a": 1, "b": 2}
+    assert {r.status_class: (r.pages, r.percent) for r in history.status_legend(run.pages).collect()} == {"2xx": (5, 83.3), "5xx": (1, 16.7)}
+    c = history.filter_counts(run.pages, site_rules.orphans(run)).first()
+    assert (c.noindex, c.missing_alt, c.errors, c.orphan) == (1, 1, 1, 3)
+    fields = {r.field for r in history.captured_fields(run.pages).collect()}
+    assert "title" in fields and "ttfb_ms" not in fields
+    stored = spark.createDataFrame([("content", "error", "failing", 0.5, 1, 2), ("content", "notice", "passed", 1.0, 0, 2), ("links", "warning", "failing", None, 1, 4)], "category string, severity string, status string, reach double, affected long, evaluated long")
+    assert {r.category: (r.weight, r.score) for r in history.stored_categories(stored).collect()} == {"content": (25, 70.0), "links": (15, 91.0)}
+    line = spark.createDataFrame([("a", float(x), 3.0 * x + (100 if x == 5 else 0)) for x in range(9)] + [("b", 1.0, 1.0)], "k string, x double, y double")
+    assert [tuple(r) for r in history.theil_sen(line, "k", "x", "y").collect()] == [("a", 3.0, 9)]
+    assert one(spark, history.property_matches(F.lit("sc-domain:E.com"), "https://www.e.com/x")) and one(spark, history.property_matches(F.lit("https://www.e.com/"), "e.com")) and not one(spark, history.property_matches(F.lit("https://x.com/"), "e.com"))
+    assert [one(spark, c) for c in (tx.format_count(F.lit(1234.5), "page"), tx.format_count(F.lit(1), "page"), tx.format_ms(F.lit(1500)), tx.format_bytes(F.lit(10)), tx.format_bytes(F.lit(2048)), tx.format_bytes(F.lit(3 << 20)))] == ["1,235 pages", "1 page", "1,500 ms", "10 B", "2.0 KB", "3.00 MB"]
+
+
+def test_greedy_groups(spark):
+    import random
+
+    rng = random.Random(9)
+    pairs = {(a, b) for _ in range(60) for a, b in [sorted(rng.sample(range(30), 2))]}
+    leader = {}
+    for i in range(30):
+        if i not in leader:
+            leader[i] = i
+            for j in range(i + 1, 30):
+                if j not in leader and (i, j) in pairs:
+                    leader[j] = i
+    got = history.greedy_groups(spark.createDataFrame(sorted(pairs), "a long, b long"), spark.range(30))
+    assert {r.id: r.leader for r in got.collect()} == leader
+
+
+def test_image_dimensions(spark):
+    import struct
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + struct.pack(">II", 30, 20)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", 7, 9) + b"\0" * 8
+    cases = [(png, ("png", 30, 20)), (b"GIF89a" + struct.pack("<HH", 5, 6), ("gif", 5, 6)), (jpeg, ("jpeg", 9, 7)), (b"<svg viewBox='0 0 12 8'/>", ("svg", 12, 8)), (b"<svg width='3' height='4px'>", ("svg", 3, 4)), (b"\0\0\1\0\1\0\0\x20", ("ico", 256, 32)), (b"BM" + b"\0" * 16 + struct.pack("<ii", 4, -5), ("bmp", 4, 5)), (b"", (None, None, None)), (b"\x89PNG", (None, None, None)), (None, (None, None, None))]
+    df = spark.createDataFrame([(i, bytearray(d) if d is not None else None) for i, (d, _) in enumerate(cases)], "i int, d binary")
+    got = {r.i: tuple(r.x) for r in df.select("i", images.image_dimensions(F.col("d")).alias("x")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 # ---- the registry ----
 
 
