@@ -6,12 +6,19 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Advance widths of Helvetica per 1000 units of font size, by character; others count FALLBACK_WIDTH.
-WIDTHS = {
-    278: " !,./:;I[]\\ft", 355: '"', 556: "#$0123456789?L_abdeghnopqu", 889: "%", 667: "&ABEKPSVXY", 191: "'", 333: "()-`r", 389: "*", 584: "+<=>~",
-    1015: "@", 722: "CDHNRUw", 611: "FTZ", 778: "GOQ", 500: "Jcksvxyz", 833: "Mm", 944: "W", 469: "^", 222: "ijl", 334: "{}", 260: "|",
-}
+#: Advance widths of Helvetica per 1000 units of font size, of the characters from space to tilde in order (the
+#: published font metrics); any other character counts FALLBACK_WIDTH.
+HELVETICA_WIDTHS = (
+    278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278,
+    556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 278, 278, 584, 584, 584, 556,
+    1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778,
+    667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556,
+    333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556,
+    556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,
+)
 FALLBACK_WIDTH, TITLE_PX, DESCRIPTION_PX = 556, 20, 14
+#: The characters of each width: one translate() counts a width.
+WIDTHS = {w: "".join(chr(32 + i) for i, x in enumerate(HELVETICA_WIDTHS) if x == w) for w in sorted(set(HELVETICA_WIDTHS))}
 
 #: Words that keyword density leaves out.
 STOPWORDS = frozenset(

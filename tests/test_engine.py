@@ -447,10 +447,41 @@ def test_search_metrics(spark):
     assert metrics.provisional(rows, F.lit("2024-02-02").cast("date")).count() == 1
     wanted = metrics.inspection_candidates(spark.createDataFrame([("a",), ("c",)], "url string"), spark.createDataFrame([("c", "2024-01-30")], "url string, inspected_on string").withColumn("inspected_on", F.col("inspected_on").cast("date")), rows.select(F.col("page_url").alias("url"), "impressions"), F.lit("2024-02-01").cast("date"))
     assert [r.url for r in wanted.collect()] == ["a", "b"]
-    score = metrics.opportunity(spark.createDataFrame([("a", 1000, 0.01, 5.0), ("b", 100, 0.01, 5.0), ("c", 1000, 0.01, 30.0)], "page_url string, impressions long, ctr double, position double")).collect()
-    assert [r.page_url for r in score] == ["a"] and score[0].score == pytest.approx(63.2)
-    falling = spark.createDataFrame([("a", f"2024-01-{1 + 7 * k:02d}", 100 - 20 * k) for k in range(4)], "page_url string, date string, clicks long").withColumn("date", F.col("date").cast("date"))
-    assert [r.page_url for r in metrics.decay(falling).collect()] == ["a"]
+
+
+def test_opportunity_worked_examples(spark):
+    rows = spark.createDataFrame([("a", 32000, 0.021, 8.7), ("b", 1200, 0.01, 6.0), ("c", 8000, 0.004, 12.0), ("d", 100, 0.01, 5.0), ("e", 1000, 0.01, 30.0)], "page_url string, impressions long, ctr double, position double")
+    got = {r.page_url: r for r in metrics.opportunity(rows, metrics.SINGLE_CURVE, kappa=500).collect()}
+    assert sorted(got) == ["a", "b", "c"] and got["a"].gap == 0 and got["a"].upside == pytest.approx(2592) and (got["a"].score, got["a"].band) == (95.5, "high")
+    assert (round(got["b"].raw, 1), round(got["b"].score), got["b"].band) == (58.1, 11, "low") and (round(got["c"].raw), round(got["c"].score)) == (112, 20)
+    assert metrics.page_scores(metrics.opportunity(rows)).count() == 3
+    sites = spark.createDataFrame([("s", 1.0, 0, 9000), ("s", 2.2, 3000, 9000), ("s", 17.0, 1, 10)], "site string, position double, clicks long, impressions long")
+    fit = {r.band: r for r in metrics.refit_curve(sites).collect()}
+    assert fit[1].expected == fit[2].expected == pytest.approx((270 + 3156) / 20000) and fit[1].own_weight == 0.9 and fit[16].expected < fit[2].expected
+
+
+def test_decay_and_decisions(spark):
+    import datetime
+
+    start = datetime.date(2024, 1, 1)
+    rows = [("falls", start + datetime.timedelta(d), 400 if d < 100 else 100, 5000, 4.0 if d < 100 else 13.0) for d in range(200)] + [("holds", start + datetime.timedelta(d), 100, 5000, 4.0) for d in range(200)]
+    rows += [("fades", start + datetime.timedelta(d), 100 if d < 100 else 30, 5000 if d < 100 else 1500, 4.0) for d in range(200)]
+    df = spark.createDataFrame(rows, "page_url string, date date, clicks long, impressions long, position double")
+    assert sorted(tuple(r) for r in metrics.decay(df).collect()) == [("fades", 1960.0, "demand", "major"), ("falls", 8400.0, "ranking", "critical")]
+    pick = lambda r, s: one(spark, metrics.decision(F.lit(r), F.lit(s)))
+    assert [pick(4, 0.9), pick(48, 0.9), pick(100, 0.9), pick(4, 0.7), pick(48, 0.7), pick(4, 0.1)] == ["auto-apply", "auto-pr", "recommend-only", "auto-pr", "recommend-only", "discard"]
+    say = lambda e, lo, hi, opinion=True, exo=False, worse=False: one(spark, metrics.verdict(F.lit(e).cast("double"), F.lit(lo), F.lit(hi), F.lit(opinion), F.lit(exo), F.lit(worse)))
+    assert [say(0.1, 0.0, 0.2), say(-0.04, -0.1, 0.1), say(-0.3, -0.4, -0.1), say(-0.1, -0.3, 0.1, worse=True), say(-0.1, -0.3, 0.1), say(-0.1, -0.3, 0.1, opinion=False), say(None, 0.0, 0.0, opinion=False)] == ["keep", "keep", "rollback", "extend", "rollback", "keep", "keep"]
+    effect = metrics.control_effect(df.where("page_url != 'fades'"), spark.createDataFrame([("falls",)], "page_url string"), str(start + datetime.timedelta(100))).first()
+    assert effect.effect == pytest.approx(-0.75)
+    residuals = [0.1, 0.2, -1.5, -1.5, -1.5, -1.5, -1.5, 3.0]
+    low, want = 0.0, None
+    for k, x in enumerate(residuals):
+        low = min(0.0, low + x + 0.5)
+        if low < -4 and want is None:
+            want = (k, low)
+    got = metrics.cusum(spark.createDataFrame([("s", k, x) for k, x in enumerate(residuals)], "key string, k int, x double"), "key", "k", "x").first()
+    assert want is not None and got.k == want[0] and got.low == pytest.approx(want[1])
 
 
 # ---- events ----
