@@ -506,6 +506,23 @@ def test_pipeline_against_brute_force(spark):
     assert out == {r.doc_id: len(own.ids(r.text)) for r in kept.collect()}
 
 
+def test_stages_keep_clashing_columns_nulls_and_empty_tables(spark, tmp_path):
+    docs = docs_of(spark, [*ODD, "The river and the house were quiet under the early light of the north wind"] * 2, extra=True)
+    rng = random.Random(1)
+    words = [prose(rng, 40) for _ in range(40)]
+    labelled_docs = docs.unionByName(docs_of(spark, words, extra=True).withColumn("doc_id", F.col("doc_id") + 100))
+    labels = spark.createDataFrame([(100 + i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, None)], "item_id long, text string")
+    for stage in (langid.keep_identified, lambda d: quality.keep_good(d, labels), simhash.keep_one, lambda d: decontaminate.keep_clean(d, bench)):
+        out = stage(labelled_docs)
+        assert out.columns == labelled_docs.columns and 0 < out.count() <= labelled_docs.count()
+        assert stage(labelled_docs.limit(0)).count() == 0
+    for op in (simhash.op1, licenses.op2, sharding.op4, langid.op7, lambda d: pieces.op3(d, queries.piece_model()), lambda d: decontaminate.op10(d, bench)):
+        assert op(docs).count() in (docs.count(), 0) and op(docs.limit(0)).count() == 0
+        nulls = docs.select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes])
+        assert op(nulls).count() in (docs.count(), 0)
+
+
 def test_every_operator_has_a_query():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
