@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -108,3 +108,45 @@ def exact_groups(docs: DataFrame, key: str) -> DataFrame:
     """Rows whose key recurs, with the size of their group."""
     sizes = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     return docs.join(sizes, key)
+
+
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 20_000) -> DataFrame:
+    """(query_id, id, place): for each query the k rows of the highest dot product (rounded to 9 places; ties by id), itself left out.
+
+    The queries go to the tasks in blocks of at most about block_rows, each block in one pass over the rows; a task keeps the
+    best k of its rows for each query of the block, and only those are shuffled.
+    """
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null")
+    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).alias("v")).where("query_id is not null and v is not null")
+    blocks = max(1, -(-asked.count() // block_rows))
+    out = None
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if blocks > 1 else asked.collect()
+        if not own:
+            continue
+        ids = np.array([r["query_id"] for r in own], np.int64)
+        matrix = np.array([r["v"] for r in own], np.float64)
+
+        def best(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
+            held: pd.DataFrame | None = None
+            for batch in batches:
+                for at in range(0, len(batch), 2048):
+                    part = batch.iloc[at : at + 2048]
+                    v, own_ids = np.stack([np.asarray(x, np.float64) for x in part["v"]]), part["id"].to_numpy(np.int64)
+                    s = np.round(matrix @ v.T, 9)
+                    s[ids[:, None] == own_ids[None, :]] = -np.inf
+                    # every row at least as good as the k-th of this part: ties are settled below
+                    least = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
+                    q, r = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                    new = pd.DataFrame({"query_id": ids[q], "id": own_ids[r], "dot": s[q, r]})
+                    held = new if held is None else pd.concat([held, new], ignore_index=True)
+                    held = held.sort_values(["query_id", "dot", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+            if held is not None:
+                yield held
+
+        found = rows.mapInPandas(best, "query_id long, id long, dot double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return asked.select("query_id", F.col("query_id").alias("id"), F.lit(0).cast("long").alias("place")).limit(0)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("dot").desc(), "id"))
+    return out.withColumn("place", place.cast("long")).where(F.col("place") <= k).select("query_id", "id", "place")

@@ -333,12 +333,9 @@ def cluster_peers(t: Tables) -> DataFrame:
 
 @query("WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(e.embedding, lambda x: x::DOUBLE)) AS dot FROM q JOIN embeddings e ON q.vec_id <> e.vec_id) SELECT query_id, vec_id, CAST(place AS BIGINT) AS place FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(dot, 9) DESC, vec_id) AS place FROM s) WHERE place <= 5")
 def cosine_top5(t: Tables) -> DataFrame:
-    """The five most similar vectors of a stated set of queries, which is broadcast in blocks' place: one in a hundred rows, checked by size."""
-    e = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    rows = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 9).alias("dot"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("dot").desc(), "vec_id"))).where("place <= 5").select("query_id", "vec_id", F.col("place").cast("long").alias("place"))
+    """The five most similar vectors of a stated set of queries, every row whose id is divisible by 100, in blocks against all rows."""
+    e = t.embeddings
+    return similarity.top_similar(e, e.where("vec_id % 100 = 0")).withColumnRenamed("id", "vec_id")
 
 
 # ---- event log ----

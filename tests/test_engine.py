@@ -331,6 +331,18 @@ def test_jaccard_pairs_equal_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("block_rows", [20_000, 3])
+def test_top_similar_equals_brute_force(spark, block_rows):
+    import numpy as np
+
+    v = np.random.default_rng(1).integers(-2, 3, (60, 4)).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    want = {(q, int(i), k + 1) for q in range(0, 60, 7) for k, i in enumerate(sorted((i for i in range(60) if i != q), key=lambda i: (-float(v[q] @ v[i]), i))[:5])}
+    got = similarity.top_similar(df, df.where("vec_id % 7 = 0"), block_rows=block_rows)
+    assert {(r.query_id, r.id, r.place) for r in got.collect()} == want
+    assert similarity.top_similar(df, df.limit(0)).count() == 0
+
+
 # ---- diffs, listings, sinks ----
 
 
