@@ -369,7 +369,7 @@ def latest_event_per_user(t: Tables) -> DataFrame:
 @query("SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2")
 def event_upsert(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_type", "value", "event_id")
-    return metrics.upsert(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), ("user_id", "event_type"), "event_id").select("user_id", "event_type", "value", "event_id")
+    return metrics.upsert(rows.where("value < 50"), rows.where("value is null or value >= 50"), ("user_id", "event_type"), "event_id").select("user_id", "event_type", "value", "event_id")
 
 
 @query("SELECT user_id, count(*) AS samples, count(*) FILTER (value < 50) AS without_gain, count(*) >= 10 AND count(*) FILTER (value < 50) * 1.0 / count(*) >= 0.9 AS stop FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 10 GROUP BY 1")
@@ -472,15 +472,15 @@ def supplier_components(t: Tables) -> DataFrame:
 
 # ---- diffs: two slices of the orders ----
 
-BEFORE = "SELECT o_custkey AS k, count(*) AS orders, max(o_orderstatus) AS status, max(o_orderpriority) AS priority FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1"
-AFTER = "SELECT o_custkey AS k, count(*) AS orders, max(o_orderstatus) AS status, max(o_orderpriority) AS priority FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY 1"
+BEFORE = "SELECT o_custkey AS k, count(*) AS orders, max(o_orderstatus) AS status, max(o_orderpriority) AS priority FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' GROUP BY 1"
+AFTER = "SELECT o_custkey AS k, count(*) AS orders, max(o_orderstatus) AS status, max(o_orderpriority) AS priority FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1"
 
 
 def _slices(t: Tables) -> tuple[DataFrame, DataFrame]:
-    def one(without: int) -> DataFrame:
-        return t.orders.where(F.col("o_orderkey") % 3 != without).groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("orders"), F.max("o_orderstatus").alias("status"), F.max("o_orderpriority").alias("priority"))
+    def one(when: Column) -> DataFrame:
+        return t.orders.where(when).groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("orders"), F.max("o_orderstatus").alias("status"), F.max("o_orderpriority").alias("priority"))
 
-    return one(0), one(1)
+    return one(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp")), one(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp"))
 
 
 FIELDS = ("orders", "status", "priority")
@@ -496,10 +496,10 @@ def diff_fields_changed(t: Tables) -> DataFrame:
     return diff.keyed_diff(*_slices(t), "k", FIELDS).where("change = 'changed'").select("k", "field", "old", "new")
 
 
-@query("WITH a AS (SELECT o_orderpriority AS r, count(*) AS n FROM orders WHERE o_orderkey % 4 = 0 AND o_orderstatus <> 'P' GROUP BY 1), b AS (SELECT o_orderpriority AS r, count(*) AS n FROM orders WHERE o_orderkey % 4 = 1 GROUP BY 1) SELECT coalesce(a.r, b.r) AS rule_id, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, CASE WHEN coalesce(a.n, 0) = 0 AND b.n > 0 THEN 'new' WHEN a.n > 0 AND coalesce(b.n, 0) = 0 THEN 'resolved' WHEN b.n < a.n THEN 'improved' WHEN b.n > a.n THEN 'worsened' ELSE 'unchanged' END AS status FROM a FULL JOIN b ON a.r = b.r")
+@query("WITH a AS (SELECT o_orderpriority AS r, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), b AS (SELECT o_orderpriority AS r, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT coalesce(a.r, b.r) AS rule_id, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, CASE WHEN coalesce(a.n, 0) = 0 AND b.n > 0 THEN 'new' WHEN a.n > 0 AND coalesce(b.n, 0) = 0 THEN 'resolved' WHEN b.n < a.n THEN 'improved' WHEN b.n > a.n THEN 'worsened' ELSE 'unchanged' END AS status FROM a FULL JOIN b ON a.r = b.r")
 def rule_delta_status(t: Tables) -> DataFrame:
     count = lambda rows: rows.groupBy(F.col("o_orderpriority").alias("rule_id")).agg(F.count(F.lit(1)).alias("n"))
-    return diff.rule_delta(count(t.orders.where("o_orderkey % 4 = 0 and o_orderstatus != 'P'")), count(t.orders.where("o_orderkey % 4 = 1")))
+    return diff.rule_delta(count(t.orders.where("o_orderstatus = 'O'")), count(t.orders.where("o_orderstatus = 'F'")))
 
 
 @query("WITH m AS (SELECT c_nationkey, c_mktsegment, c_acctbal FROM customer WHERE c_nationkey IN (3, 7)) SELECT c_mktsegment AS metric, ours, theirs, floor((ours - theirs) * 10 + 0.5) / 10 AS delta FROM (SELECT c_mktsegment, floor(avg(c_acctbal) FILTER (c_nationkey = 3) * 10 + 0.5) / 10 AS ours, floor(avg(c_acctbal) FILTER (c_nationkey = 7) * 10 + 0.5) / 10 AS theirs FROM m GROUP BY 1)")
@@ -546,9 +546,9 @@ def set_except(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey").subtract(t.orders.select(F.col("o_custkey").alias("c_custkey")))
 
 
-@query("SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0 EXCEPT ALL SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1")
+@query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def set_except_all(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderkey % 2 = 0").select("o_custkey").exceptAll(t.orders.where("o_orderkey % 2 = 1").select("o_custkey"))
+    return t.orders.where("o_orderstatus = 'F'").select("o_custkey").exceptAll(t.orders.where("o_orderstatus = 'O'").select("o_custkey"))
 
 
 @query("SELECT doc_id, q FROM (SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l USING (doc_id)) ORDER BY q DESC NULLS LAST, doc_id LIMIT 400")
