@@ -155,7 +155,7 @@ def page_not_https(t: Tables) -> DataFrame:
 
 
 def _run(t: Tables) -> DataFrame:
-    return cut(crawl.from_html(t.pages))
+    return cut(crawl.from_html(crawl.first_pages(t.pages)))
 
 
 @query()
@@ -599,5 +599,5 @@ def sitemap_lastmod_verdict(t: Tables) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of all page rules by host, over the raw pages."""
-    issues, _ = page_rules.evaluate(crawl.from_html(Tables(spark, sf_dir).pages))
+    issues, _ = page_rules.evaluate(crawl.from_html(crawl.first_pages(Tables(spark, sf_dir).pages)))
     return issues.groupBy(urls.host(F.col("url")).alias("host"), "severity").agg(F.count(F.lit(1)).alias("issues"), F.countDistinct("rule_id").alias("rules"))

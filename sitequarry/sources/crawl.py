@@ -40,6 +40,13 @@ def from_html(pages: DataFrame, run_id: str = "run", order: str = "page_id", hea
     return complete(own)
 
 
+def first_pages(pages: DataFrame, order: str = "page_id") -> DataFrame:
+    """Of the rows of a (url, html) table whose URLs have one identity, the first by an order column without repeats: a run holds a page once."""
+    key = F.coalesce(urls.normalize_url("url"), F.col("url"))
+    first = pages.select(key.alias("k"), order).groupBy("k").agg(F.min(order).alias(order)).select(order)
+    return pages.join(first, order, "left_semi")
+
+
 def read_pages(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
     """Stored pages, one JSON document a file; malformed files fail, or are left out if tolerant. The page's id is its file's name where it has none."""
     mode = "PERMISSIVE" if tolerant else "FAILFAST"

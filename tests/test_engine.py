@@ -380,6 +380,11 @@ def test_listings(run, spark):
     assert [tuple(r) for r in explore.frontier(seen, "e.com", 5).collect()] == [(f"{BASE}/x", 1, "q", ["link", "sitemap"])]
 
 
+def test_a_run_holds_a_page_once(spark):
+    rows = spark.createDataFrame([(3, "https://e.com/a/", "x"), (1, "https://e.com/a?utm_x=1", "y"), (2, "https://e.com/b", "z"), (4, "no url", "w")], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in crawl.first_pages(rows).collect()) == [1, 2, 4]
+
+
 def test_children_and_loads(run, spark):
     back = crawl.gather_children(run.pages, crawl.explode_headings(run.pages).select("run_id", "page_id", "position", "level"), "levels")
     assert back.where("input_order = 0").first().levels[0].level == 1
