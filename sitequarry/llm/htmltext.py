@@ -31,9 +31,11 @@ ASIDE = frozenset("nav footer aside form dialog menu head title fieldset label d
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form note tablist".split())
 #: Words of a class or id that mark what isn't the article.
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|breadcrumbs?|masthead|topbar|site-?header|page-?header|footer|colophon|side-?bar|rail|cookies?|consent|gdpr|notices?|banners?|alerts?|pop-?up|modal|overlay|ads?|adverts?|advertisements?|adsense|sponsor(?:s|ed)?|promo(?:s|tion)?|comments?|disqus|respond|replies|reply|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|sign-up|login|search|pager|pagination|widgets?|toolbar|copyright|legal|tags|byline-links|skip-link)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|breadcrumbs?|masthead|topbar|site-?header|footer|colophon|side-?bar|rail|cookies?|consent|gdpr|notices?|banners?|alerts?|pop-?up|modal|overlay|ads?|adverts?|advertisements?|adsense|sponsor(?:s|ed)?|promo(?:s|tion)?|comments?|disqus|respond|replies|reply|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|sign-up|login|search|pager|pagination|widgets?|toolbar|copyright|legal|tags|byline-links|skip-link)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Words of a class that speak of the layout around the article, such as page-with-sidebar.
+_LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|without|no|not|layout|enabled|disabled|open|closed|left|right|wrap|wrapper|container|page|body)(?:$|[_-])", re.IGNORECASE)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
@@ -54,7 +56,7 @@ def _beside(name: str, attributes: str, in_article: bool) -> bool:
     a = _attributes(attributes)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES:
         return True
-    return bool(_NAMES.search(a.get("class", "")) or _NAMES.search(a.get("id", "")))
+    return any(_NAMES.search(word) and not _LAYOUT.search(word) for word in f"{a.get('class', '')} {a.get('id', '')}".split())
 
 
 def lines_of(html: str) -> tuple[list[tuple[str, bool, bool]], bool]:

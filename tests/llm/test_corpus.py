@@ -253,6 +253,9 @@ def test_main_text():
     assert htmltext.main_text(page) == "Head\nSome & text more\nSecond one"
     loose = "<body><div id='nav'>a</div><div>" + "<p>" + "long words " * 20 + "<p>short tail</div><form><p>mail</form><aside>side</aside></body>"
     assert htmltext.main_text(loose) == ("long words " * 20).strip() + "\nshort tail"
+    around = "<body class='search-on'><div class='page-with-sidebar has-comments'><div class='sidebar'>side</div><section class='cookie-notice'>cookies</section><article><p>kept</p><aside>no</aside><section id='comments'>no</section></article><div role='navigation'>no</div><p hidden>no</p></div>"
+    assert htmltext.main_text(around) == "kept"
+    assert htmltext.main_text("<main><header><h1>T</h1></header><ul><li>a<li>b</ul><table><tr><td>c<td>d</table><pre>e  f</pre><form>x</form></main>") == "T\na\nb\nc\nd\ne f"
     assert htmltext.main_text("<script>if (a</p>b) x</script><p>y</p>") == "y"
     assert [htmltext.main_text(x) for x in (None, "", "<!-- x", "<p", "plain", "a &lt b &am")] == ["", "", "", "", "plain", "a < b &am"]
     assert len(htmltext.main_text("<p>" + "a" * 200_000 + "</p>" * 2000)) == 200_000
