@@ -12,6 +12,7 @@ from sitequarry.functions import text as tx
 from sitequarry.functions import urls
 from sitequarry.operators import diff, explore, graph, measurements, metrics, page_rules, scoring, similarity, site_rules
 from sitequarry.operators.site_rules import Site
+from sitequarry.plans.config import Config
 from sitequarry.plans.lineage import cut
 from sitequarry.sources import crawl, sinks, site_files
 from sitequarry.streaming import events as ev
@@ -164,6 +165,51 @@ def rule_issue_counts(t: Tables) -> DataFrame:
     return page_rules.evaluate(_run(t))[1].select("rule_id", "category", "severity", "evaluated", "failed")
 
 
+DECODED = f"trim(regexp_replace(regexp_replace(regexp_replace({TITLE}, '&quot;?', '\"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))"
+PX = "+".join(f"(length(x) - length(translate(x, '{''.join(c.replace(chr(39), chr(39) * 2) for c in chars)}', ''))) * {w - tx.FALLBACK_WIDTH}" for w, chars in tx.WIDTHS.items() if w != tx.FALLBACK_WIDTH)
+WIDE = f"floor((length(x) * {tx.FALLBACK_WIDTH} + {PX})::DOUBLE / 1000 * 20 + 0.5)"
+RULE_SQL = f"""
+WITH t AS (SELECT page_id, url, html, {DECODED} AS x FROM pages)
+SELECT page_id, 'title-too-short' AS rule_id FROM t WHERE x <> '' AND (length(x) < 30 OR {WIDE} < 200)
+UNION ALL SELECT page_id, 'title-too-long' FROM t WHERE x <> '' AND (length(x) > 60 OR {WIDE} > 561)
+UNION ALL SELECT page_id, 'title-missing' FROM t WHERE x = ''
+UNION ALL SELECT page_id, 'page-not-https' FROM t WHERE {SCHEME} = 'http'
+UNION ALL SELECT page_id, 'meta-description-missing' FROM t WHERE html NOT LIKE '%name="description"%'
+UNION ALL SELECT page_id, 'viewport-missing' FROM t WHERE html NOT LIKE '%name="viewport"%'
+UNION ALL SELECT page_id, 'og-missing' FROM t WHERE html NOT LIKE '%property="og:%'
+UNION ALL SELECT page_id, 'canonical-absent' FROM t WHERE html NOT LIKE '%rel="canonical"%'
+UNION ALL SELECT page_id, 'h1-multiple' FROM t WHERE len(regexp_extract_all(html, '<h1[^>]*>')) > 1
+UNION ALL SELECT page_id, 'oversized-html' FROM t WHERE octet_length(encode(html)) > 512000"""
+RULE_IDS = ("title-too-short", "title-too-long", "title-missing", "page-not-https", "meta-description-missing", "viewport-missing", "og-missing", "canonical-absent", "h1-multiple", "oversized-html")
+
+
+@query(RULE_SQL)
+def page_rule_hits(t: Tables) -> DataFrame:
+    """Pages by rule, of the rules that SQL can express over raw pages."""
+    pages = crawl.from_html(t.pages).withColumn("page_id", F.col("input_order").cast("string"))
+    config = Config(disabled=frozenset(r.id for r in page_rules.RULES) - frozenset(RULE_IDS))
+    return page_rules.evaluate(pages, config)[0].select(F.col("page_id").cast("long").alias("page_id"), "rule_id")
+
+
+HEALTH_SQL = f"""
+WITH h AS ({RULE_SQL}), n AS (SELECT count(*) AS n FROM pages), a AS (SELECT rule_id, count(DISTINCT page_id) AS k FROM h GROUP BY 1),
+p(rule_id, points, cat) AS (VALUES ('title-missing', 40.0, 'content'), ('title-too-long', 12.0, 'content'), ('title-too-short', 5.0, 'content'), ('page-not-https', 25.0, 'content'), ('meta-description-missing', 20.0, 'content'), ('h1-multiple', 8.0, 'content'),
+ ('viewport-missing', 15.0, 'performance'), ('oversized-html', 10.0, 'performance'), ('og-missing', 12.0, 'media'), ('canonical-absent', 4.0, 'indexability')),
+c(cat, weight) AS (VALUES ('indexability', 30), ('content', 25), ('links', 15), ('media', 15), ('performance', 15)),
+l AS (SELECT cat, sum(points::DOUBLE * sqrt(least(1.0::DOUBLE, k::DOUBLE / n.n))) AS loss FROM a JOIN p USING (rule_id) CROSS JOIN n GROUP BY 1),
+s AS (SELECT weight, greatest(0, least(100, floor(100 - coalesce(loss, 0) + 0.5))) AS score FROM c LEFT JOIN l USING (cat)),
+t AS (SELECT floor(sum(score * weight)::DOUBLE / sum(weight) * 10 + 0.5) / 10 AS score FROM s)
+SELECT score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' WHEN score >= 40 THEN 'E' ELSE 'F' END AS grade FROM t"""
+
+
+@query(HEALTH_SQL)
+def health_of_shown_rules(t: Tables) -> DataFrame:
+    """The health score over the rules of page_rule_hits alone."""
+    pages = cut(crawl.from_html(t.pages).withColumn("page_id", F.col("input_order").cast("string")))
+    issues, counts = page_rules.evaluate(pages, Config(disabled=frozenset(r.id for r in page_rules.RULES) - frozenset(RULE_IDS)))
+    return scoring.health_score(cut(issues), cut(counts)).select("score", "grade")
+
+
 @query()
 def site_rule_counts(t: Tables) -> DataFrame:
     return site_rules.evaluate(Site(_run(t)))[1].select("rule_id", "category", "severity", "evaluated", "failed")
@@ -260,9 +306,6 @@ def bigram_top10(t: Tables) -> DataFrame:
     return _top_terms(rows.select("doc_id", F.size("l").alias("total"), F.explode(pairs).alias("term")))
 
 
-PX = "+".join(f"(length(x) - length(translate(x, '{''.join(c.replace(chr(39), chr(39) * 2) for c in chars)}', ''))) * {w - tx.FALLBACK_WIDTH}" for w, chars in tx.WIDTHS.items() if w != tx.FALLBACK_WIDTH)
-
-
 @query(f"SELECT page_id, CAST(floor((length(x) * {tx.FALLBACK_WIDTH} + {PX})::DOUBLE / 1000 * 20 + 0.5) AS INTEGER) AS px FROM (SELECT page_id, {TITLE} AS x FROM pages) WHERE x <> ''")
 def title_pixels(t: Tables) -> DataFrame:
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
