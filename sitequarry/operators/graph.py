@@ -64,7 +64,7 @@ def page_graph(pages: DataFrame, **options: float) -> DataFrame:
 
 
 def simple_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The dashboard's rank: 20 rounds, 5 decimals, no logarithm."""
+    """The plain variant: 20 rounds, 5 decimals, no logarithm."""
     return pagerank(nodes, edges, fixed=20).withColumn("rank", F.floor(F.col("rank") * 100000 + 0.5) / 100000)
 
 
