@@ -72,7 +72,7 @@ def parse_robots(bodies: DataFrame, key: str = "host", body: str = "body") -> Da
     kind = "array<struct<group:int,agent:string,directive:string,value:string,line:int>>"
 
     @F.udf(kind)
-    def run(text: str | None) -> list:
+    def run(text):
         return robots_rules(text)
 
     return bodies.select(key, F.explode(run(body)).alias("r")).select(key, "r.*")
@@ -199,7 +199,7 @@ def parse_sitemaps(files: DataFrame, body: str = "content") -> DataFrame:
     kind = StructType.fromDDL(SITEMAP)
 
     @F.udf(kind)
-    def run(data: object) -> dict:
+    def run(data):
         return parse_sitemap(data)
 
     out = files.withColumn("_s", run(body))
