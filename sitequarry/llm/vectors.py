@@ -6,7 +6,7 @@ classes in batches, each linked to the robust-pruned result of a greedy search.
 class, and each shard is given the neighbours that its classes have elsewhere. Then every class searches its shards: greedily
 from the medoid, and from all that lies in range (or close to it) on to its neighbours. Hits are verified by the cosine in
 double precision. Recall is audited against brute force over a sample of classes; below `least_recall` the overlap is doubled
-and the search repeated.
+and the search repeated, twice at most; if it is still below, all pairs of a label are compared, in blocks.
 
 Inside a shard links are counted and joined to trees at once, so that a group of many near copies leaves no list of pairs;
 only links to classes of other shards leave it as pairs. A pair of classes that share several shards is counted in the first.
@@ -341,6 +341,50 @@ def _find(classes: DataFrame, threshold: float, shard: int, overlap: int) -> tup
     return cut(counts), found.where(F.col("u") != F.col("w")).select("u", F.col("w").alias("v"))
 
 
+def _compare_blocks(threshold: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", ignore_index=True)
+        ids, n, block = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["block"].to_numpy()
+        v = _matrix(rows["v"])
+        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        right = np.flatnonzero(block == j)
+        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        left = np.flatnonzero(block == i)
+        for at in range(0, len(left), 256):
+            own = left[at : at + 256]
+            x, y = np.nonzero(v[own] @ v[right].T >= threshold)
+            a, b = own[x], right[y]
+            if i == j:
+                a, b = a[a < b], b[a < b]
+            np.add.at(links, a, n[b])
+            np.add.at(links, b, n[a])
+            while True:  # smallest reachable place of these links and all before: hook the roots and jump
+                low = np.minimum(root[a], root[b])
+                new = root.copy()
+                np.minimum.at(new, root[a], low)
+                np.minimum.at(new, root[b], low)
+                new = new[new]
+                if (new == root).all():
+                    break
+                root = new
+        hit, moved = links > 0, root != np.arange(len(ids))
+        out = [pd.DataFrame({"u": ids[hit], "w": ids[hit], "links": links[hit]}), pd.DataFrame({"u": ids[moved], "w": ids[root[moved]], "links": np.zeros(moved.sum(), np.int64)})]
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
+def _find_all(classes: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """As _find, by comparing all pairs of blocks of a label: every link, in time that grows with the square of a label's classes. Links are counted before the shuffle."""
+    sizes = classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    placed = classes.select("id", "label", "v", "n").join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("id", "label", "v", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    found = cut(dealt.groupBy("label", "i", "j").applyInPandas(_compare_blocks(threshold), "u long, w long, links long"))
+    counts = found.where(F.col("links") > 0).groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("links"))
+    return cut(counts), found.where(F.col("u") != F.col("w")).select("u", F.col("w").alias("v"))
+
+
 def audit(classes: DataFrame, counts: DataFrame, threshold: float, audited: int = AUDITED) -> float:
     """Links found, as a share of those that brute force finds, of a bounded sample of classes against all classes of their label."""
     total = classes.count()
@@ -381,6 +425,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         if recall >= least_recall:
             break
         overlap *= 2
+    else:
+        counts, edges = _find_all(classes, threshold, shard)
+        recall = 1.0
     linked = components(edges)
     of_class = (
         classes.select("id", "n", "label", "raw").join(counts, "id", "left").join(linked.withColumnRenamed("node", "id").withColumnRenamed("label", "component"), "id", "left")
