@@ -1,27 +1,38 @@
 """Main-text extraction by line-block distribution.
 
-Markup is stripped to lines, one for each block of text. A line's length counts unless it stands in a menu, header, footer,
-sidebar, notice, advert, form or comment section (by element, role, class or id), or outside the article where the page marks
-one. Lengths are summed over sliding windows of lines: text begins where the sum surges above the threshold and ends where it
-dives to nothing, and the counted lines between are kept. Where the page marks its article any length is a surge; elsewhere a
-window must hold THRESHOLD characters.
-
-Defined results: null and empty pages give the empty text; character references are decoded as HTML does, without the
-semicolon too; white space in a block becomes one space; blocks are joined by a newline; an element left open ends with its
-parent; other columns are ignored.
+Markup is stripped to lines, one for each block of text; a boundary of a container leaves an empty line, that of the marked
+article a window of them. A line weighs its characters outside links. Lines in elements, roles or named parts that belong to
+the page and not to its article (menus, forms, comments and the like) are stripped as markup. A mark (article, main, or their
+role) is a prior, no verdict: a line inside weighs MARKED times its characters and a floor, links included.
+
+Weights are summed over sliding windows of WINDOW lines. Lines between windows of nothing are a run. A run counts where a sum
+surges to the threshold; its text begins where the weight rises and ends where it dives to nothing, less the containers at
+either end that hold no surge of their own. The threshold follows the largest sum of the page, within fixed limits. So text
+beside a marked article - adverts, notices, captions of the layout - is left out because its windows don't surge beside the
+article's, and a page whose text stands outside a tiny marked card keeps it.
+
+Defined results: null and empty pages give the empty text; character references are decoded as HTML does, within one text
+node, without the semicolon too; white space in a block becomes one space; blocks are joined by a newline; an element left open
+ends with its parent; columns text and n_chars of the caller are replaced, others kept; repeated pages give a row each.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.llm.common import per_text
 
-WINDOW, THRESHOLD = 3, 80
+#: Lines of a window, the most that a surge asks of a page without marks, its share of the page's largest sum, with and without marks.
+WINDOW, THRESHOLD, SHARE, MARKED_SHARE = 3, 80, 0.5, 0.125
+#: The prior of a marked article: its lines weigh so many times (characters + floor).
+MARKED, FLOOR = 64, 80
+#: Elements whose boundaries leave an empty line.
+CONTAINERS = frozenset("div section table td main header footer nav aside form figure center details fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
@@ -29,13 +40,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "textarea", "iframe", "noembed", "noframes", "xmp", "noscript", "template", "svg", "math", "object", "canvas", "select", "button", "audio", "video")
 ASIDE = frozenset("nav footer aside form dialog menu head title fieldset label datalist dir".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form note tablist".split())
-#: Words of a class or id that mark what isn't the article.
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|breadcrumbs?|masthead|topbar|site-?header|footer|colophon|side-?bar|rail|cookies?|consent|gdpr|notices?|banners?|alerts?|pop-?up|modal|overlay|ads?|adverts?|advertisements?|adsense|sponsor(?:s|ed)?|promo(?:s|tion)?|comments?|disqus|respond|replies|reply|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|sign-up|login|search|pager|pagination|widgets?|toolbar|copyright|legal|tags|byline-links|skip-link)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
-#: Words of a class that speak of the layout around the article, such as page-with-sidebar.
-_LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|without|no|not|layout|enabled|disabled|open|closed|left|right|wrap|wrapper|container|page|body)(?:$|[_-])", re.IGNORECASE)
+#: Names (class or id) of parts that are never the article.
+_PARTS = re.compile(r"^(?:comments?|comment-?(?:list|section|area)|disqus(?:[_-]thread)?|respond|replies|side-?bar|breadcrumbs?|cookie-?(?:banner|bar|consent|notice)|newsletter(?:-signup)?|share-?(?:bar|buttons|links)|related-?(?:articles|posts|links|stories)?|site-?(?:header|footer|nav)|nav-?(?:bar|menu)|pagination|skip-link)$", re.IGNORECASE)
+#: Names of adverts and notices: asked inside a marked article and on pages that mark none; elsewhere their windows tell.
+_ADVERTS = re.compile(r"^(?:ads?|ad-?(?:box|banner|slot|unit|container|wrapper)|adverts?|advertisements?|adsbygoogle|sponsored|promo|popup|modal|notice|alert|banner|menu)$", re.IGNORECASE)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
@@ -47,45 +55,75 @@ def _attributes(text: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _beside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is not part of the article."""
+def _kind(name: str, attributes: str, in_article: bool) -> int:
+    """STRIPPED for an element that is not part of the article, ADVERT if only its name says so, else 0."""
     if name in ASIDE or (name == "header" and not in_article):
-        return True
+        return STRIPPED
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return 0
     a = _attributes(attributes)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES:
-        return True
-    return any(_NAMES.search(word) and not _LAYOUT.search(word) for word in f"{a.get('class', '')} {a.get('id', '')}".split())
+        return STRIPPED
+    names = f"{a.get('class', '')} {a.get('id', '')}".split()
+    return STRIPPED if any(map(_PARTS.match, names)) else ADVERT if any(map(_ADVERTS.match, names)) else 0
+
+
+ADVERT, STRIPPED = 1, 2
+
+
+class Line(NamedTuple):
+    """A block's text, its characters outside links, whether it stands in an advert by name, and inside a marked article; a title counts as a surge of its own."""
 
+    text: str
+    plain: int
+    advert: bool
+    inside: bool
+    title: bool
 
-def lines_of(html: str) -> tuple[list[tuple[str, bool, bool]], bool]:
-    """Lines (text, beside the article, inside a marked article), and whether the page marks one."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+
+def lines_of(html: str) -> tuple[list[Line | None], bool]:
+    """The lines that are not stripped, None for an empty line, and whether the page marks an article."""
+    out: list[Line | None] = []
+    stack: list[tuple[str, int, bool]] = []
     opened: dict[str, int] = {}
     parts: list[str] = []
-    at, marked = 0, False
-    beside = inside = False
+    at, marked, linked = 0, False, 0
+    beside, inside = 0, False
 
-    def flush() -> None:
+    def flush(title: bool = False) -> None:
+        nonlocal linked
         if parts:
-            line = " ".join(unescape("".join(parts)).split())
-            if line:
-                out.append((line, beside, inside))
+            line = " ".join("".join(parts).split())
+            if line and beside != STRIPPED:
+                out.append(Line(line, max(0, len(line) - linked), beside == ADVERT, inside, title))
             parts.clear()
+            linked = 0
+
+    def gap(lines: int = 1) -> None:
+        if not inside:
+            out.extend([None] * lines)
 
     def close(name: str) -> None:
         nonlocal beside, inside
         while stack:
             top, b, i = stack.pop()
             opened[top] -= 1
-            beside, inside = b, i
+            was, beside, inside = inside, b, i
+            if top in CONTAINERS or was != inside:
+                gap(WINDOW if was != inside else 1)
             if top == name:
                 return
 
+    def text(piece: str) -> None:
+        nonlocal linked
+        if piece:
+            piece = unescape(piece)
+            parts.append(piece)
+            if opened.get("a"):
+                linked += len(" ".join(piece.split()))
+
     while m := _TOKEN.search(html, at):
-        parts.append(html[at : m.start()])
+        text(html[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
@@ -101,7 +139,7 @@ def lines_of(html: str) -> tuple[list[tuple[str, bool, bool]], bool]:
             parts.append(" ")
             continue
         if name in BLOCKS:
-            flush()
+            flush(ending and name == "h1")
         if ending:
             if opened.get(name):
                 close(name)
@@ -115,31 +153,70 @@ def lines_of(html: str) -> tuple[list[tuple[str, bool, bool]], bool]:
             continue
         stack.append((name, beside, inside))
         opened[name] = opened.get(name, 0) + 1
-        away = _beside(name, attributes, inside)
-        if not beside and not away and (name in ("article", "main") or 'role="main"' in attributes or 'itemprop="articleBody"' in attributes):
+        kind = _kind(name, attributes, inside)
+        article = not beside and not kind and (name in ("article", "main") or 'role="main"' in attributes or 'itemprop="articleBody"' in attributes)
+        if name in CONTAINERS or (article and not inside):
+            gap(WINDOW if article else 1)
+        if article:
             inside = marked = True
-        beside = beside or away
-    parts.append(html[at:])
+        beside = max(beside, kind)
+    text(html[at:])
     flush()
     return out, marked
 
 
+def runs(weights: list[int]) -> list[tuple[int, int]]:
+    """(first, last) of the runs: places with weight, with fewer than WINDOW places of none between."""
+    out: list[list[int]] = []
+    for i, w in enumerate(weights):
+        if w:
+            if out and i - out[-1][1] <= WINDOW:
+                out[-1][1] = i
+            else:
+                out.append([i, i])
+    return [(a, b) for a, b in out]
+
+
+def _trimmed(lines: list[Line | None], weights: list[int], first: int, last: int, threshold: float) -> tuple[int, int]:
+    """The run without the containers at either end that hold no surge and no title."""
+
+    def group(i: int, step: int) -> tuple[int, bool]:
+        """The place behind the container that i is in, and whether the container holds a surge."""
+        own: list[int] = []
+        while first <= i <= last and lines[i] is not None:
+            if lines[i].title or lines[i].inside:
+                return i, True
+            own.append(weights[i])
+            i += step
+        while first <= i <= last and lines[i] is None:
+            i += step
+        return i, any(sum(own[k : k + WINDOW]) >= threshold for k in range(len(own)))
+
+    while first < last and (after := group(first, 1))[0] <= last and not after[1]:
+        first = after[0]
+    while first < last and (after := group(last, -1))[0] >= first and not after[1]:
+        last = after[0]
+    return first, last
+
+
 def main_text(html: str | None) -> str:
     """The kept lines, joined by newlines."""
     if not html:
         return ""
     lines, marked = lines_of(html)
-    lengths = [0 if away or (marked and not inside) else len(line) for line, away, inside in lines]
-    threshold = 1 if marked else min(THRESHOLD, max(1, sum(lengths) // 2))
+    lines = [None if x is not None and x.advert and (x.inside or not marked) else x for x in lines]
+    weights = [0 if x is None else MARKED * (len(x.text) + FLOOR) if x.inside else x.plain for x in lines]
     sums, window = [0] * len(lines), 0
     for i in reversed(range(len(lines))):
-        window += lengths[i] - (lengths[i + WINDOW] if i + WINDOW < len(lines) else 0)
+        window += weights[i] - (weights[i + WINDOW] if i + WINDOW < len(lines) else 0)
         sums[i] = window
-    kept, on = [], False
-    for i, (line, _, _) in enumerate(lines):
-        on = sums[i] > 0 if on else sums[i] >= threshold
-        if on and lengths[i]:
-            kept.append(line)
+    peak = max(sums, default=0)
+    threshold = min(MARKED * FLOOR, peak * MARKED_SHARE) if marked else min(THRESHOLD, peak * SHARE)
+    kept = []
+    for first, last in runs(weights):
+        if max(sums[first : last + 1]) >= threshold:
+            first, last = _trimmed(lines, weights, first, last, threshold)
+            kept += [x.text for x in lines[first : last + 1] if x is not None]
     return "\n".join(kept)
 
 

@@ -64,13 +64,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-#: The article's blocks by patterns: what the extraction gives on pages of this shape.
+#: The line-block distribution over pages of this shape, by windows: lines, weights, sums of three lines, runs and their surge.
 MAIN_TEXT_SQL = r"""
-WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\z)', 1) AS body FROM pages),
-b AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) AS l FROM a),
-c AS (SELECT page_id, url, list_filter(list_transform(l, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM b),
-d AS (SELECT page_id, url, array_to_string(l, chr(10)) AS text FROM c)
-SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d"""
+WITH s AS (SELECT page_id, url, regexp_replace(html, '(?s)^.*?<body>|<script>.*?</script>|<style>.*?</style>|<nav>.*?</nav>|<footer>.*?(?:</footer>|\z)|</body>|</html>', chr(10), 'g') AS h FROM pages),
+m AS (SELECT page_id, url, replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', '', 'g'), '\s+', ' ', 'g'), '</?(?:p|h1)>', chr(10), 'g'), '</?div[^>]*>', chr(10) || chr(3) || chr(10), 'g'),
+  '<article>', repeat(chr(10) || chr(3), 3) || chr(10) || chr(2) || chr(10)), '</article>', chr(10) || chr(4) || chr(10) || repeat(chr(3) || chr(10), 3)) AS h FROM s),
+p AS (SELECT page_id, unnest(string_split(h, chr(10))) AS x, generate_subscripts(string_split(h, chr(10)), 1) AS i FROM m),
+d AS (SELECT page_id, i, x = chr(2) AS opens, x = chr(4) AS closes, x = chr(3) AS blank,
+  trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', chr(1), 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), chr(1), ''), '\s+', ' ', 'g')) AS x FROM p),
+g AS (SELECT *, sum(opens::INT - closes::INT) OVER (PARTITION BY page_id ORDER BY i) > 0 AS inside FROM d),
+l AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS i, x, CASE WHEN blank THEN 0 WHEN inside THEN 64 * (length(x) + 80) ELSE length(x) END AS w FROM g WHERE blank OR (x <> '' AND NOT opens AND NOT closes)),
+w AS (SELECT *, sum(w) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS sums FROM l),
+t AS (SELECT page_id, least(64 * 80, max(sums) * 0.125) AS threshold FROM w GROUP BY 1),
+f AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY page_id ORDER BY i) <= 3 THEN 0 ELSE 1 END AS fresh FROM w WHERE w > 0),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY i) AS run FROM f),
+k AS (SELECT page_id, run, min(i) AS a, string_agg(x, chr(10) ORDER BY i) AS x FROM r JOIN t USING (page_id) GROUP BY page_id, run, threshold HAVING max(sums) >= threshold),
+o AS (SELECT page_id, string_agg(x, chr(10) ORDER BY a) AS text FROM k GROUP BY 1)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM pages LEFT JOIN o USING (page_id)"""
 
 #: All pairs of a label, and what they reach.
 VECTORS_SQL = """
