@@ -5,19 +5,41 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as Parquet in the folder of spark.checkpoint.dir (a temporary one only where that is unset); later readers recompute nothing."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where that is unset, a temporary one in local mode, where all is one process; on a cluster that would be a folder of one machine, so it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again: later readers recompute nothing, and lost executors lose nothing.
+
+    few: at most two files for each core of the cluster, for tables much smaller than their input.
+    """
+    spark = df.sparkSession
+    if few:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Deletes the files of a cut() that nothing reads any longer."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
