@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructType
 
+from sitequarry.plans.lineage import cut, drop_cut
+
 
 def per_text(make: Callable[[], Callable[[str | None], tuple]], fields: str) -> Callable[[Column], Column]:
     """A function of a text column that gives a struct of fields: make(), called once a task, gives the function of one text.
@@ -35,37 +35,25 @@ def per_text(make: Callable[[], Callable[[str | None], tuple]], fields: str) ->
     return run
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame, few: bool = False) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: later readers recompute nothing, and lost executors lose nothing.
-
-    few: at most two files for each core of the cluster, for tables much smaller than their input.
-    """
-    spark = df.sparkSession
-    if few:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Deletes the files of a cut() that nothing reads any longer."""
-    path = getattr(df, "_cut_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def sampled(rows: DataFrame, keys: list[str], most: int, seed: int) -> DataFrame:
+    """The distinct rows by keys, where those are more than `most` a sample of about that many, taken by a hash of the keys: rows that share an id, or have none, are told apart by their other keys, and repeated rows are taken once."""
+    h = F.xxhash64(*keys, F.lit(seed))
+    n = rows.agg(F.approx_count_distinct(h, 0.02)).first()[0]
+    if n > most:
+        rows = rows.where(F.pmod(h, F.lit(1 << 20)) < int((1 << 20) * most / n))
+    return rows.dropDuplicates(keys)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, held_out: Column, most: int, seed: int = 13) -> DataFrame:
+    """(doc_id, mark, text) of labels 0 and 1 outside the held-out fold, distinct, at most about `most`."""
+    marks = labels.where(F.col(label_col).isin(0, 1) & ~held_out).select("doc_id", F.col(label_col).cast("int").alias("mark"))
+    marks = sampled(marks, ["doc_id", "mark"], most, seed)
+    rows = docs.select("doc_id", "text").join(marks, "doc_id").withColumn("key", F.xxhash64("text"))
+    # an id with many texts: counted without the texts, and sampled by text too
+    n = docs.select("doc_id").join(marks, "doc_id").count()
+    if n > 1.2 * most:
+        rows = sampled(rows, ["doc_id", "mark", "key"], most, seed + 1)
+    return rows.dropDuplicates(["doc_id", "mark", "key"]).select("doc_id", "mark", "text")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -6,8 +6,8 @@ and each hit is verified by Myers' bit-parallel distance over the stretch of tex
 exact for the budget: every occurrence with at most k edits is found.
 
 Items and texts are compared as lower-case letters and digits with single spaces between words. The budget of an item is one
-edit in `per_edit` characters, so pieces have that length at least and chance hits stay rare; items shorter than `least`
-characters, or of no letters, never match.
+edit in `per_edit` characters, less one, so pieces have that length at least and chance hits stay rare; items too short for
+an edit match as whole words only. Items without a letter or digit never match.
 
 The items are sent to every task if they take at most MOST_BYTES (a checked bound); beyond it they are dealt into groups of at
 most that size, and the texts are passed over once for each group.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sitequarry.llm.common import per_text
 
 MOST_BYTES = 32 << 20
-PER_EDIT, LEAST = 12, 32
+PER_EDIT = 12
 _APART = re.compile(r"[\W_]+")
 
 
@@ -119,10 +119,10 @@ class Matcher:
         for k, spans in stretches.items():
             item, e = self.texts[k], self.budgets[k]
             best: tuple[int, int] | None = None
-            at = text.find(item)
+            at = text.find(item) if e else f" {text} ".find(f" {item} ")
             if at >= 0:
                 best = (0, at + len(item))
-            else:
+            elif e:
                 pattern = self.patterns.setdefault(k, Myers(item))
                 for low, high in spans:
                     hit = pattern.best(text[low:high], e if best is None else best[0] - 1)
@@ -133,20 +133,20 @@ class Matcher:
                     yield item_id, best[0], best[1], e
 
 
-def folded_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", least: int = LEAST) -> Iterator[list[tuple[int, str]]]:
+def folded_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
     """The items in groups of at most MOST_BYTES, each read from the table when its turn comes."""
     rows = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     groups = max(1, -(-2 * size // MOST_BYTES))
     for g in range(groups):
         own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(groups)) == g).collect()
-        yield sorted({(r["id"], t) for r in own if len(t := fold(r["text"])) >= least})
+        yield sorted({(r["id"], t) for r in own if (t := fold(r["text"]))})
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT, least: int = LEAST) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT) -> DataFrame:
     """Rows (doc_id, item_id, distance, end, budget): each item that occurs in each text; end counts folded characters."""
     out: DataFrame | None = None
-    for items in folded_items(benchmark, least=least):
+    for items in folded_items(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, per_edit)
@@ -168,10 +168,10 @@ def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return matches(docs, benchmark).select("doc_id", "item_id", "distance", "budget")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT, least: int = LEAST) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT) -> DataFrame:
     """The rows of docs in which no item occurs, with the columns of docs."""
     out = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    for items in folded_items(benchmark, least=least):
+    for items in folded_items(benchmark):
 
         def make(items: list = items):
             matcher = Matcher(items, per_edit)

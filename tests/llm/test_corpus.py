@@ -468,13 +468,25 @@ def test_decontamination_finds_all_within_the_budget(spark):
         folded = decontaminate.fold(t)
         for k, item in enumerate(items):
             own = decontaminate.fold(item)
-            if len(own) >= decontaminate.LEAST and len(folded) < 3000 and (d := best_distance(own, folded)) <= decontaminate.budget(own):
+            if not own or len(folded) >= 3000:
+                continue
+            if not decontaminate.budget(own):
+                if f" {own} " in f" {folded} ":
+                    want[i, k] = 0
+            elif (d := best_distance(own, folded)) <= decontaminate.budget(own):
                 want[i, k] = d
     assert got == want and len(want) > 24
     kept = decontaminate.keep_clean(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in want}
 
 
+def test_short_items_match_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "2 + 2"), (3, "?!"), (4, "one two three")], "item_id long, text string")
+    docs = docs_of(spark, ["he asked: what is the CAPITAL, of france", "capital of france", "2-2=0", "22", "bone two threes", "One, two: three!", "one two three one two three"])
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.op10(docs, bench).collect()} == {(0, 1, 0), (2, 2, 0), (5, 4, 0), (6, 4, 0)}
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()} == {1, 3, 4}
+
+
 def test_decontamination_in_groups_and_of_empty_tables(spark, monkeypatch):
     docs, _, bench, _ = decontamination_tables(spark)
     want = {tuple(r) for r in decontaminate.op10(docs, bench).collect()}
