@@ -4,17 +4,21 @@ Trees are grown on the statistics of labelled rows (boosted, small depth); every
 conjunction of thresholds. A logistic regression with lasso penalty over the rules (and the winsorised statistics) keeps few
 of them, and those are compiled into one Spark column expression over the statistics' columns.
 
-Learned from at most about `most` labelled rows (a documented bound; rows are taken by a hash of their id), applied to every
-whole text.
+Learned from at most about `most` labelled rows (a documented bound; rows are taken by a hash of id, label and text), applied
+to every whole text.
 
 Defined results: null and empty texts have all statistics 0 and are scored like any other; if no row is labelled, or all
 alike, the score is the share of label 1 (one half without labels); labels other than 0 and 1, and null, are left out; several
-labels of one id count each; other columns are ignored.
+labels of one id, and several texts, count each, rows alike in id, label and text once; columns stats and score of the caller
+are replaced.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -22,17 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from sitequarry.llm.common import labelled_texts
+
 _UPPER, _LOWER, _DIGITS = (bytes(range(a, b + 1)) for a, b in ((65, 90), (97, 122), (48, 57)))
 _SPACE = b" \t\n\r\x0b\x0c"
 _STOPS = b".,;:?"
 _MARKS = bytes(b for b in range(33, 127) if b not in _UPPER + _LOWER + _DIGITS + _STOPS + b"'\"-()")
 #: Statistics of a text, in order.
 STATS = ("log_words", "mean_word", "upper_share", "digit_share", "stop_share", "mark_share", "distinct_share", "repeat_share", "line_words", "top_word_share", "high_share", "marked_words", "shout_words")
-BLOCK_WORDS = 1 << 18
 
 
 def statistics(text: str | None) -> tuple[float, ...]:
-    """STATS of one text. Word statistics of texts over BLOCK_WORDS words are means over blocks of that many."""
+    """STATS of one text, over the whole of it."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
     if not words:
@@ -41,16 +46,9 @@ def statistics(text: str | None) -> tuple[float, ...]:
     letters = size - len(data.translate(None, _SPACE))
     solid = size - letters
     count = lambda kinds: size - len(data.translate(None, kinds))
-    distinct = repeats = top = 0.0
-    for at in range(0, n, BLOCK_WORDS):
-        own = words[at : at + BLOCK_WORDS]
-        kinds: dict[bytes, int] = {}
-        for w in own:
-            kinds[w] = kinds.get(w, 0) + 1
-        share = len(own) / n
-        distinct += share * len(kinds) / len(own)
-        top += share * max(kinds.values()) / len(own)
-        repeats += share * sum(a == b for a, b in zip(own, own[1:], strict=False)) / len(own)
+    kinds = Counter(words)
+    distinct, top = len(kinds) / n, max(kinds.values()) / n
+    repeats = sum(map(eq, words, islice(words, 1, None))) / n
     lines = data.count(b"\n") + 1
     marked = sum(w[-1] in _MARKS for w in words)
     shout = sum(len(w) > 1 and w.isupper() for w in words)
@@ -203,11 +201,7 @@ def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 0) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = 12000) -> RuleModel:
     """A model of rows outside the held-out fold. The driver gets the statistics of at most about `most` rows."""
-    marks = labels.where(F.col(label_col).isin(0, 1) & ~held_out()).select("doc_id", F.col(label_col).alias("mark"))
-    n = marks.count()
-    if n > most:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20)) < int((1 << 20) * most / n))
-    rows = with_statistics(docs.select("doc_id", "text").join(marks, "doc_id")).select("doc_id", "mark", "stats.*").collect()
+    rows = with_statistics(labelled_texts(docs, labels, label_col, held_out(), most)).select("doc_id", "mark", "stats.*").collect()
     rows.sort()
     return fit(np.array([r[2:] for r in rows], float).reshape(len(rows), len(STATS)), np.array([r[1] for r in rows], int))
 
