@@ -5,12 +5,13 @@ letters' vectors, each permuted (rotated) by its place in the n-gram; a text's v
 a language's prototype bundles the texts of that language, each scaled to length one. A text gets the language whose
 prototype has the largest cosine with its vector; ties go to the first language by name.
 
-Prototypes are learned from at most about `most` labelled rows (a documented bound: rows are taken by a hash of their id, at a
-rate that follows from their count), prediction runs over every whole text.
+Prototypes are learned from at most about `most` labelled rows (a documented bound: rows are taken by a hash of id, language and
+text, at a rate that follows from the number of distinct ones), prediction runs over every whole text.
 
 Defined results: null texts, and texts without a letter, are `und` with score 0; runs of other characters count as one space;
-without any labelled row everything is `und`; other columns are ignored. Texts are worked through in blocks of BLOCK
-characters; n-grams that would cross two blocks of one text are left out.
+without any labelled row everything is `und`; rows alike in id, language and text teach once; columns lang_pred and score of the
+caller are replaced. Texts are worked through in blocks of BLOCK characters, each of which begins with the last symbols of the
+one before, so that every n-gram of a text counts, wherever it lies.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from sitequarry.llm.common import sampled
+
 DIMENSIONS, GRAM, BLOCK, BATCH = 1024, 3, 1 << 19, 128
 SPACE = 32
 
@@ -68,23 +71,19 @@ def _letters() -> Letters:
     return LETTERS
 
 
-def bundles(texts: list[str]) -> np.ndarray:
-    """A vector for each text; zero where it has no letter."""
+def _symbols(text: str, before: int) -> np.ndarray:
+    """The numbers of a lower-case text: letters, and one 0 for each run of other characters. before: the symbol ahead of it."""
+    numbers = _letters().numbers(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"))
+    # of other characters, the first behind a letter
+    return numbers[(numbers > 0) | (np.concatenate([[before], numbers[:-1]]) > 0)]
+
+
+def _bundle(numbers: np.ndarray, own: np.ndarray, texts: int) -> np.ndarray:
+    """A vector for each text, of the n-grams of numbers that lie in one text (own: whose a number is)."""
     letters = _letters()
-    lowered = [t.lower() for t in texts]
-    codes = np.frombuffer(" ".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
-    own = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])
-    numbers = letters.numbers(codes)
-    # keep letters, and the first of a run of other characters behind a letter; each text ends with one
-    keep = numbers > 0
-    keep[1:] |= (numbers[1:] == 0) & (numbers[:-1] > 0)
-    numbers, own = numbers[keep], own[keep]
-    out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    if not len(numbers):
+    out = np.zeros((texts, DIMENSIONS), np.float32)
+    if len(numbers) < GRAM:
         return out
-    # and each starts with one: a text's first letter follows the space that ends the text before, or the start
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    numbers, own = np.insert(numbers, first, 0), np.insert(own, first, own[first])
     used = np.bincount(numbers, minlength=1)
     local = np.flatnonzero(used)
     place = np.zeros(len(used), np.int64)
@@ -114,11 +113,40 @@ def bundles(texts: list[str]) -> np.ndarray:
             vectors *= table[rest % size]
             rest = rest // size
         inside = (column >= start) & (column < stop)
-        counts = np.bincount(rows[inside] * (stop - start) + column[inside] - start, minlength=len(texts) * (stop - start)).reshape(len(texts), -1)
+        counts = np.bincount(rows[inside] * (stop - start) + column[inside] - start, minlength=texts * (stop - start)).reshape(texts, -1)
         out += counts.astype(np.float32) @ vectors
     return out
 
 
+def bundles(texts: list[str]) -> np.ndarray:
+    """A vector for each text, which begins and ends with a space; zero where it has no letter."""
+    lowered = [t.lower() for t in texts]
+    numbers = _letters().numbers(np.frombuffer(" ".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), "<u4"))
+    own = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])
+    # keep letters, and the first of a run of other characters behind a letter; each text ends with one
+    keep = numbers > 0
+    keep[1:] |= (numbers[1:] == 0) & (numbers[:-1] > 0)
+    numbers, own = numbers[keep], own[keep]
+    if not len(numbers):
+        return np.zeros((len(texts), DIMENSIONS), np.float32)
+    # and each starts with one: a text's first letter follows the space that ends the text before, or the start
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return _bundle(np.insert(numbers, first, 0), np.insert(own, first, own[first]), len(texts))
+
+
+def long_bundle(text: str, block: int = BLOCK) -> np.ndarray:
+    """The vector of one text, block by block: each block starts with the last symbols of the one before."""
+    text = text.lower()
+    total = np.zeros(DIMENSIONS, np.float64)
+    carried = np.zeros(1, np.int64)
+    for at in range(0, len(text), block):
+        piece = text[at : at + block] + (" " if at + block >= len(text) else "")
+        numbers = np.concatenate([carried, _symbols(piece, int(carried[-1]))])
+        total += _bundle(numbers, np.zeros(len(numbers), np.int64), 1)[0]
+        carried = numbers[1 - GRAM :]
+    return total
+
+
 def vectors(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
     """(position, vector) of each text, a bounded number of characters at a time."""
     batch: list[str] = []
@@ -127,10 +155,7 @@ def vectors(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
     for i, text in enumerate(texts):
         text = text or ""
         if len(text) > BLOCK:
-            total = np.zeros(DIMENSIONS, np.float32)
-            for at in range(0, len(text), BLOCK):
-                total += bundles([text[at : at + BLOCK]])[0]
-            yield i, total
+            yield i, long_bundle(text)
             continue
         batch.append(text)
         places.append(i)
@@ -145,9 +170,7 @@ def vectors(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = 6000) -> dict[str, np.ndarray]:
     """Prototypes of unit length by language. The driver gets one vector for each language and each of 8 partitions."""
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    n = rows.select("id").count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int((1 << 20) * most / n))
+    rows = sampled(rows.withColumn("key", F.xxhash64("text")), ["id", "lang", "key"], most, 11)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -160,7 +183,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         if sums:
             yield pd.DataFrame({"lang": list(sums), "v": [v.astype(np.float64) for v in sums.values()]})
 
-    parts = rows.repartition(8, "id").mapInPandas(add, "lang string, v array<double>").collect()
+    parts = rows.repartition(8, "id", "key").mapInPandas(add, "lang string, v array<double>").collect()
     total: dict[str, np.ndarray] = {}
     for r in sorted(parts, key=lambda r: (r["lang"], r["v"])):
         total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["v"])
