@@ -29,7 +29,7 @@ mit|50|expat|expat licen[cs]e
 mit-0|80|mit|mit (no attribution|0)( licen[cs]e)?
 x11|80|x11|x11 licen[cs]e
 bsd-2-clause|90|bsd|(released|licensed|distributed) under (the )?(terms of the )?(simplified|2 clause|two clause) bsd licen[cs]e
-bsd-2-clause|80|bsd|(simplified|2 clause|two clause|freebsd) (bsd )?licen[cs]e
+bsd-2-clause|80|licen|(simplified|2 clause|two clause|freebsd) (bsd )?licen[cs]e
 bsd-2-clause|70|bsd|bsd 2 clause( licen[cs]e)?
 bsd-3-clause|90|bsd|(released|licensed|distributed) under (the )?(terms of the )?(new|revised|modified|3 clause|three clause) bsd licen[cs]e
 bsd-3-clause|80|bsd|(new|revised|modified|3 clause|three clause) bsd licen[cs]e
@@ -113,7 +113,7 @@ artistic-2.0|80|artistic|artistic licen[cs]e (version )?2( 0)?
 artistic-1.0|80|artistic|artistic licen[cs]e (version )?1( 0)?
 artistic|50|artistic|artistic licen[cs]e
 zlib|80|zlib|zlib( libpng)? licen[cs]e
-zlib|60|freely|altered source versions must be plainly marked as such
+zlib|60|altered|altered source versions must be plainly marked as such
 libpng|80|libpng|libpng licen[cs]e
 boost-1.0|80|boost|boost software licen[cs]e (version )?1( 0)?
 boost|50|boost|boost software licen[cs]e
@@ -168,7 +168,7 @@ elastic|50|elastic|elastic licen[cs]e
 commons-clause|80|commons|commons clause( licen[cs]e condition)?( v1 0)?
 polyform-noncommercial|80|polyform|polyform noncommercial licen[cs]e( 1 0 0)?
 polyform|50|polyform|polyform [a-z]+ licen[cs]e
-openrail|80|openrail|(bigscience |creativeml )?open ?rail( m)?( licen[cs]e)?
+openrail|80|rail|(bigscience |creativeml )?open ?rail( m)?( licen[cs]e)?
 llama|80|llama|llama [0-9 ]*community licen[cs]e( agreement)?
 odbl-1.0|80|database|open (data commons open )?database licen[cs]e( version| v)?( 1 0)?
 odbl-1.0|70|odbl|odbl( 1 0)?

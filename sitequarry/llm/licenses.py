@@ -5,8 +5,8 @@ detections, intervals of words, are taken by priority, then length, then place,
 taken is suppressed. Three base phrases are counted beside, at every place.
 
 Defined results: null and empty texts have no words, no places, null first and last word, empty labels and score 0; ties of
-priority go to the longer, then the earlier, then the first label by name; repeated labels appear once; other columns are
-ignored.
+priority go to the longer, then the earlier, then the first label by name; repeated labels appear once; columns of the caller
+with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from re._parser import parse
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,13 +30,23 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+class Rule(NamedTuple):
+    """A signature: priority, label, pattern over whole words with the space before them, and the most bytes that a match spans."""
+
+    priority: int
+    label: str
+    pattern: re.Pattern[bytes]
+    reach: int
+
+
 @lru_cache(maxsize=1)
-def rules() -> dict[bytes, list[tuple[int, str, re.Pattern[bytes]]]]:
-    """By keyword: (priority, label, pattern over whole words)."""
-    out: dict[bytes, list[tuple[int, str, re.Pattern[bytes]]]] = {}
+def rules() -> dict[bytes, list[Rule]]:
+    """By keyword, which every match of the pattern holds."""
+    out: dict[bytes, list[Rule]] = {}
     for line in RULES.strip().splitlines():
         label, priority, keyword, pattern = line.split("|", 3)
-        out.setdefault(keyword.encode(), []).append((int(priority), label, re.compile(rb"(?<= )(?:" + pattern.encode() + rb")(?= )")))
+        own = re.compile(rb" (?:" + pattern.encode() + rb")(?= )")
+        out.setdefault(keyword.encode(), []).append(Rule(int(priority), label, own, parse(own.pattern).getwidth()[1] + 1))
     return out
 
 
@@ -55,19 +67,63 @@ def places(line: bytes, phrase: bytes) -> list[int]:
     return out
 
 
+def _found(line: bytes) -> set[tuple[int, int, int, str]]:
+    """All detections (start, end, priority, label): each rule is tried on the stretches around its keyword only."""
+    out = set()
+    for keyword, own in rules().items():
+        at = line.find(keyword)
+        if at < 0:
+            continue
+        reach = max(r.reach for r in own)
+        stretches: list[list[int]] = []
+        while at >= 0:
+            low, high = max(0, at - reach), at + len(keyword) + reach
+            if stretches and low <= stretches[-1][1]:
+                stretches[-1][1] = high
+            else:
+                stretches.append([low, high])
+            at = line.find(keyword, at + 1)
+        if 4 * sum(high - low for low, high in stretches) > len(line):
+            stretches = [[0, len(line)]]
+        for priority, label, pattern, _ in own:
+            for low, high in stretches:
+                for m in pattern.finditer(line, low, high):
+                    out.add((m.start() + 1, m.end(), priority, label))
+    return out
+
+
+def suppress(found: set[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """Detections by priority, then length, then place, then label, without those that lie inside one taken before. A tree over the starts holds the furthest end of what is taken, so each test takes a logarithm of their number."""
+    starts = sorted({d[0] for d in found})
+    place = {x: i + 1 for i, x in enumerate(starts)}
+    furthest = [0] * (len(starts) + 1)
+    kept = []
+    for d in sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
+        start, end = d[0], d[1]
+        k = place[start]
+        inside = False
+        while k and not inside:
+            inside = furthest[k] >= end
+            k &= k - 1
+        if inside:
+            continue
+        kept.append(d)
+        k = place[start]
+        while k < len(furthest):
+            furthest[k] = max(furthest[k], end)
+            k += k & -k
+    return kept
+
+
 def detections(line: bytes) -> list[tuple[int, int, int, str]]:
     """Kept detections (first word, last word, priority, label), in order of place."""
-    found = set()
-    for keyword, own in rules().items():
-        if keyword in line:
-            for priority, label, pattern in own:
-                for m in pattern.finditer(line):
-                    found.add((m.start(), m.end(), priority, label))
-    kept: list[tuple[int, int, int, str]] = []
-    for start, end, priority, label in sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
-        if not any(a <= start and end <= b for a, b, _, _ in kept):
-            kept.append((start, end, priority, label))
-    return sorted((line.count(b" ", 0, a) - 1, line.count(b" ", 0, b) - 1, p, label) for a, b, p, label in kept)
+    kept = suppress(_found(line))
+    out, seen, word = {}, 0, 0
+    for at in sorted({p for a, b, _, _ in kept for p in (a, b)}):
+        word += line.count(b" ", seen, at)
+        seen = at
+        out[at] = word - 1
+    return sorted((out[a], out[b], p, label) for a, b, p, label in kept)
 
 
 def scan(text: str | None) -> tuple:

@@ -82,6 +82,16 @@ k AS (SELECT page_id, run, min(i) AS a, string_agg(x, chr(10) ORDER BY i) AS x F
 o AS (SELECT page_id, string_agg(x, chr(10) ORDER BY a) AS text FROM k GROUP BY 1)
 SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM pages LEFT JOIN o USING (page_id)"""
 
+#: The base columns of the licence scan, word by word.
+BASE_LICENSE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g'), ' +'), lambda x: x <> '') AS l FROM documents),
+p AS (SELECT doc_id, len(l) AS n_words,
+  list_filter(range(len(l)), lambda i: l[i + 1] = 'cc' AND l[i + 2] = 'by') AS cc,
+  list_filter(range(len(l)), lambda i: l[i + 1] = 'general' AND l[i + 2] = 'public' AND l[i + 3] = 'license') AS gpl,
+  list_filter(range(len(l)), lambda i: l[i + 1] = 'all' AND l[i + 2] = 'rights' AND l[i + 3] = 'reserved') AS res FROM w)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(cc) + len(gpl) + len(res) AS BIGINT) AS n_base, list_min(cc || gpl || res) AS first_word, list_max(cc || gpl || res) AS last_word,
+  array_to_string(list_filter([CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(res) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p"""
+
 #: All pairs of a label, and what they reach.
 VECTORS_SQL = """
 WITH RECURSIVE v AS (
