@@ -2,13 +2,13 @@
 
 A text is first normalised as the model says: at each place the longest prefix that the compiled character map knows is
 replaced, anything else is copied, white space is handled by the model's flags, and for every byte written the place in the
-source is recorded. The normalised text is then segmented by the library, chunk by chunk: a chunk ends where no piece of the
-vocabulary reaches across (before a word mark), so chunks are independent and each distinct one is encoded once a worker
-(the store of chunks is bounded). Piece lengths along the normalised text, looked up in the recorded alignment, give each
-piece's byte span in the source. Decoding is the library's.
+source is recorded. That normalised text, and not the source, is what is segmented: by the library's model with its own
+normaliser taken out. Where no piece of the vocabulary reaches across a word mark, chunks between marks are independent and
+each distinct one is segmented once a worker (the store of chunks is bounded). Piece lengths along the normalised text, looked up
+in the recorded alignment, give each piece's byte span in the source. Decoding is the library's.
 
 Defined results: null and empty texts have the begin and end ids only and decode to the empty text; pieces made of single
-bytes of a character have the span of that character's part; other columns are ignored.
+bytes of a character have the span of that character's part; columns of the caller with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -68,6 +68,9 @@ class CharMap:
 class Pieces:
     """One model: normalise, encode with spans, decode."""
 
+    given: list[bytes] = []
+    suffix = False
+
     def __init__(self, path: str) -> None:
         with open(path, "rb") as file:
             blob = file.read()
@@ -77,16 +80,20 @@ class Pieces:
         spec = proto.normalizer_spec
         self.chars = CharMap(spec.precompiled_charsmap)
         self.squeeze, self.lead, self.escape = spec.remove_extra_whitespaces, spec.add_dummy_prefix, spec.escape_whitespaces
+        self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
         self.begin, self.end = self.model.bos_id(), self.model.eos_id()
         # A piece of a single byte covers that byte; any other its text.
         self.lengths = np.array([1 if p.type == p.BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
+        # Pieces given by the user are copied as they stand, the longest first.
+        self.given = sorted((p.piece.encode() for p in proto.pieces if p.type == p.USER_DEFINED), key=len, reverse=True)
         inside = any(MARK in p.piece.lstrip(MARK) for p in proto.pieces)
-        plain = not spec.precompiled_charsmap and self.lead and self.escape and not self.squeeze and not proto.trainer_spec.treat_whitespace_as_suffix
-        user = any(p.type == p.USER_DEFINED for p in proto.pieces)
-        #: Chunks are independent, and white space is only marked: words can be looked up one by one.
-        self.by_words = plain and not inside and not user
-        self.mark_ids = self._pack([self.model.piece_to_id(MARK)])
-        self.chunks: dict[str, bytes] = {}
+        #: Chunks between marks are independent.
+        self.by_words = self.lead and self.escape and not self.suffix and not inside and not self.given
+        spec.precompiled_charsmap, spec.remove_extra_whitespaces, spec.add_dummy_prefix, spec.escape_whitespaces = b"", False, False, False
+        #: The model over normalised text.
+        self.segment = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        self.mark_ids = self._pack(self.segment.encode(MARK))
+        self.chunks: dict[bytes, bytes] = {}
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -96,7 +103,7 @@ class Pieces:
         """The normalised bytes, and for each of them and the end the place in the source's bytes."""
         data = text.encode("utf-8", "surrogatepass")
         mark = MARK.encode() if self.escape else b" "
-        if not self.chars.units and not self.squeeze:
+        if not self.chars.units and not self.squeeze and not self.given and not self.suffix:
             # Only spaces change: each becomes a mark.
             source = np.frombuffer(data, np.uint8)
             out = (mark if self.lead and data else b"") + data.replace(b" ", mark)
@@ -107,7 +114,10 @@ class Pieces:
         parts: list[tuple[bytes, int, int]] = []
         at = 0
         while at < len(data):
-            length, new = self.chars.longest(data, at)
+            length = next((len(p) for p in self.given if data.startswith(p, at)), 0)
+            new = data[at : at + length]
+            if not length:
+                length, new = self.chars.longest(data, at)
             if not length:
                 first = data[at]
                 length = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
@@ -118,7 +128,7 @@ class Pieces:
             while parts and parts[0][0] == b" ":
                 parts.pop(0)
         out, places = bytearray(), []
-        if parts and self.lead:
+        if parts and self.lead and not self.suffix:
             out += mark
             places += [parts[0][1]] * len(mark)
         spaced = self.squeeze
@@ -135,54 +145,63 @@ class Pieces:
         while self.squeeze and out.endswith(mark):
             end = places[-len(mark)]
             del out[-len(mark) :], places[-len(mark) :]
+        if parts and self.lead and self.suffix:
+            out += mark
+            places += [end] * len(mark)
         return bytes(out), np.array([*places, end], np.int64)
 
-    def _chunk(self, word: str) -> bytes:
+    def _chunk(self, word: bytes) -> bytes:
         """Ids of a mark followed by word."""
         ids = self.chunks.get(word)
         if ids is None:
-            ids = self._pack(self.model.encode(word)) if word else self.mark_ids
+            ids = self._pack(self.segment.encode(MARK + word.decode("utf-8", "replace"))) if word else self.mark_ids
             if len(word) <= LONGEST_CHUNK:
                 if len(self.chunks) >= MOST_CHUNKS:
                     self.chunks.clear()
                 self.chunks[word] = ids
         return ids
 
-    def ids(self, text: str | None) -> np.ndarray:
-        """All ids, begin and end among them."""
-        if not text:
-            body = b""
-        elif not self.by_words:
-            body = self._pack(self.model.encode(text))
-        else:
-            # After the first word each chunk is a run of marks and a word; of a run, all marks but the last belong to the chunk.
-            words = text.replace(MARK, " ").split(" ") if MARK in text else text.split(" ")
-            if "" in words:
-                joined, run = [], ""
-                for w in words[:-1]:
-                    if w:
-                        joined.append(run + w)
-                        run = ""
-                    else:
-                        run += " "
-                joined.append(run + words[-1])
-                words = joined
-            known = self.chunks
-            try:
-                body = b"".join([known[w] for w in words])
-            except KeyError:
-                body = b"".join(map(self._chunk, words))
-        return np.frombuffer(self._pack([self.begin]) + body + self._pack([self.end]), "<u4")
-
-    def spans(self, text: str | None, ids: np.ndarray) -> np.ndarray:
-        """(n x 2) byte spans in the source, of the pieces between begin and end."""
-        out, places = self.normalise(text or "")
+    def _body(self, normal: bytes) -> bytes:
+        """Packed ids of a normalised text."""
+        if not normal:
+            return b""
+        mark = MARK.encode()
+        if not self.by_words or not normal.startswith(mark):
+            return self._pack(self.segment.encode(normal.decode("utf-8", "replace")))
+        # Behind the first mark each chunk is a run of marks and a word; of a run, all marks but the first belong to the chunk.
+        words = normal[len(mark) :].split(mark)
+        if b"" in words:
+            joined, run = [], b""
+            for w in words[:-1]:
+                if w:
+                    joined.append(run + w)
+                    run = b""
+                else:
+                    run += mark
+            joined.append(run + words[-1])
+            words = joined
+        known = self.chunks
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            return b"".join(map(self._chunk, words))
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, begin and end among them, and the (n x 2) byte spans in the source of the pieces between."""
+        normal, places = self.normalise(text or "")
+        ids = np.frombuffer(self._pack([self.begin]) + self._body(normal) + self._pack([self.end]), "<u4")
         ends = np.concatenate([[0], np.cumsum(self.lengths[ids[1:-1]])])
-        if ends[-1] != len(out):
+        if ends[-1] != len(normal):
             # A piece that isn't in the vocabulary has the length of its surface, which only the library knows.
-            ends = np.concatenate([[0], np.cumsum([len(p.encode()) for p in self.model.encode(text or "", out_type=str)])])
-        at = places[np.minimum(ends, len(out))]
-        return np.stack([at[:-1], at[1:]], axis=1)
+            ends = np.concatenate([[0], np.cumsum([len(p.encode()) for p in self.segment.encode(normal.decode("utf-8", "replace"), out_type=str)])])
+        at = places[np.minimum(ends, len(normal))]
+        return ids, np.stack([at[:-1], at[1:]], axis=1)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return self.encode(text)[0]
+
+    def spans(self, text: str | None) -> np.ndarray:
+        return self.encode(text)[1]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.model.decode(ids.tolist())
@@ -200,9 +219,8 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = pieces(model)
         for texts in batches:
-            ids = [own.ids(t) for t in texts]
-            spans = [own.spans(t, i) for t, i in zip(texts, ids, strict=True)]
-            yield pd.DataFrame({"ids": [i.astype(np.int32) for i in ids], "begins": [s[:, 0] for s in spans], "ends": [s[:, 1] for s in spans]})
+            both = [own.encode(t) for t in texts]
+            yield pd.DataFrame({"ids": [i.astype(np.int32) for i, _ in both], "begins": [s[:, 0] for _, s in both], "ends": [s[:, 1] for _, s in both]})
 
     out = docs.withColumn("_encoded", run(F.col(text_col)))
     return out.withColumns({"ids": F.col("_encoded.ids"), "spans": F.expr("zip_with(_encoded.begins, _encoded.ends, (b, e) -> struct(b as begin, e as end))")}).drop("_encoded")
@@ -227,8 +245,7 @@ def digests(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
         own = pieces(model)
 
         def one(text: str | None) -> tuple:
-            ids = own.ids(text)
-            spans = own.spans(text, ids)
+            ids, spans = own.encode(text)
             return (len(ids), *(hashlib.sha256(x).hexdigest() for x in (ids.tobytes(), own.decode(ids).encode("utf-8", "surrogatepass"), spans.astype("<i8").tobytes())))
 
         return one
