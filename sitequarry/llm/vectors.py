@@ -13,8 +13,9 @@ only links to classes of other shards leave it as pairs. A pair of classes that
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and vectors with null label, have no
 links and are their own component; equal vectors of a label link (cosine one); vectors of different length have cosines with
-none but their like; rows are told apart by vec_id, which must be distinct; an empty table gives no rows; other columns are
-ignored.
+none but their like; rows that share a vec_id are rows of their own, with equal ids in their results; rows with null vec_id link
+like others, name a component only where no member has an id (null), and are never kept; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -197,32 +198,35 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def classes_of(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """Distinct comparable vectors of each label: id (smallest vec_id), label, dim, v (unit), n."""
+    """Distinct comparable vectors of each label: id (a hash of label and vector), least (smallest vec_id), label, dim, v (unit), n."""
     good = F.col(label_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.exists(vec_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.where(good).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.transform(vec_col, lambda x: x.cast("double")).alias("raw"))
-    rows = rows.groupBy("label", "raw").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    # adding zero makes -0.0 and 0.0 one
+    rows = vectors.where(good).select(F.col(id_col).alias("least"), F.col(label_col).cast("string").alias("label"), F.transform(vec_col, lambda x: x.cast("double") + F.lit(0.0)).alias("raw"))
+    rows = rows.groupBy("label", "raw").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n"))
     # scaled by the largest component first: no overflow, and no zero by underflow
     top = F.array_max(F.transform("raw", lambda x: F.abs(x)))
     rows = rows.withColumn("top", top).where(F.col("top") > 0).withColumn("v", F.transform("raw", lambda x: x / F.col("top")))
     rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    return rows.select("id", F.concat_ws("|", F.size("raw").cast("string"), "label").alias("label"), F.transform("v", lambda x: x / F.col("norm")).alias("v"), "n", "raw")
+    return rows.select(F.xxhash64("label", "raw").alias("id"), "least", F.concat_ws("|", F.size("raw").cast("string"), "label").alias("label"), F.transform("v", lambda x: x / F.col("norm")).alias("v"), "n", "raw")
 
 
-def centroids(classes: DataFrame, sizes: dict[str, int], shard: int) -> dict[str, np.ndarray]:
-    """Centroids of the labels that are larger than a shard, from a bounded sample."""
-    if not sizes:
+def centroids(classes: DataFrame, large: DataFrame, shard: int) -> dict[str, np.ndarray]:
+    """Centroids of the labels in large(label, size), those of more classes than a shard, from a bounded sample: SAMPLE vectors, or eight for each centroid if that is more."""
+    total = large.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if not total:
         return {}
-    total = sum(sizes.values())
     scale = max(1, -(-total // (shard * MOST_CENTROIDS)))
-    rate = min(1.0, SAMPLE / total)
-    rows = classes.where(F.col("label").isin(list(sizes)) & (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(rate * (1 << 20)))).select("label", "id", "v").collect()
+    rate = min(1.0, max(SAMPLE / total, 8 / (shard * scale)))
+    part = classes.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(rate * (1 << 20)))
+    by_label: dict[str, tuple[int, list]] = {}
+    for r in part.join(large, "label").select("label", "size", "id", "v").collect():
+        by_label.setdefault(r["label"], (r["size"], []))[1].append((r["id"], r["v"]))
     out = {}
-    for label in sorted(sizes):
-        own = sorted((r["id"], r["v"]) for r in rows if r["label"] == label)
-        k = min(len(own), max(2, -(-sizes[label] // (shard * scale))))
+    for label, (size, own) in sorted(by_label.items()):
+        k = min(len(own), max(2, -(-size // (shard * scale))))
         if k < 2:
             continue
-        v = np.array([x for _, x in own])
+        v = np.array([x for _, x in sorted(own)])
         c = v[np.random.default_rng(3).choice(len(v), k, replace=False)]
         for _ in range(8):
             near = (v @ c.T).argmax(axis=1)
@@ -321,8 +325,8 @@ def _search_shard(threshold: float):
 
 def _find(classes: DataFrame, threshold: float, shard: int, overlap: int) -> tuple[DataFrame, DataFrame]:
     """(id, links to other classes' rows) and (u, v) links that join the components."""
-    sizes = {r["label"]: r["n"] for r in classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard).collect()}  # at most one for each shard's worth of rows
-    cents = centroids(classes, sizes, shard)
+    large = classes.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > shard)
+    cents = centroids(classes, large, shard)
     placed = cut(classes.select("id", "label", "v", "n", _assign(cents, overlap)("label", "v").alias("shards")))
     members = placed.withColumn("shard", F.explode("shards"))
     built = cut(members.groupBy("label", "shard").applyInPandas(_build_shard, "label string, shard int, id long, near array<long>, medoid boolean"))
@@ -428,15 +432,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     else:
         counts, edges = _find_all(classes, threshold, shard)
         recall = 1.0
-    linked = components(edges)
-    of_class = (
-        classes.select("id", "n", "label", "raw").join(counts, "id", "left").join(linked.withColumnRenamed("node", "id").withColumnRenamed("label", "component"), "id", "left")
-        .select(F.col("label").alias("of"), "raw", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    )
-    keyed = rows.select("vec_id", F.concat_ws("|", F.size("embedding").cast("string"), F.col("label").cast("string")).alias("of"), F.col("label").isNull().alias("no_label"), F.transform("embedding", lambda x: x.cast("double")).alias("raw"))
-    keyed = keyed.withColumn("of", F.when(F.col("no_label"), None).otherwise(F.col("of"))).drop("no_label")
-    out = keyed.join(of_class, ["of", "raw"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id")), recall
+    linked = components(edges).withColumnRenamed("node", "id").withColumnRenamed("label", "component")
+    found = classes.select("id", "least", "n", "label", "raw").join(counts, "id", "left").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = found.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = found.join(named, "component").select(F.col("label").alias("of"), "raw", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id", F.lit(True).alias("known"))
+    own_label = F.when(F.col("label").isNotNull(), F.concat_ws("|", F.size("embedding").cast("string"), F.col("label").cast("string")))
+    keyed = rows.select("vec_id", own_label.alias("of"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("raw"))
+    out = keyed.join(of_class, ["of", "raw"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), recall
 
 
 def op6(vectors: DataFrame) -> DataFrame:
