@@ -7,7 +7,8 @@ shard and slot. Copies of a text are neighbours in this order and stay in one sh
 a shard; then they are cut like any other run of records.
 
 Defined results: a null text has size 1 and the checksum of no bytes; an empty table gives no rows; repeated rows get a slot
-each; rows with null doc_id come first among copies; other columns are ignored.
+each; rows with null doc_id, told apart by their place in the table that this job writes, come first among copies; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def place(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     text = F.col(text_col)
     rows = cut(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"),
+            F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST + 1) + F.monotonically_increasing_id()).alias("id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"),
         )
