@@ -49,6 +49,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.int64)[0])
 
 
+def vote(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingle hashes as a signed 64-bit integer."""
+    votes = np.zeros(BITS, np.int64)
+    for start in range(0, len(hashes), BLOCK):
+        votes += np.unpackbits(hashes[start : start + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text") -> DataFrame:
     """docs with a column fp (long)."""
 
@@ -224,6 +232,15 @@ def near_copies(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str =
     return rows.join(of_class, "fp").select("doc_id", "key", "fp", "label", "component_id")
 
 
+def near_sets(rows: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of rows(id, fp), sets with their fingerprints, that the search proposes as near copies: each set with the first of its fingerprint, and the firsts of fingerprints within the radius. A group of one fingerprint makes no square of pairs."""
+    firsts = cut(rows.groupBy("fp").agg(F.min("id").alias("first")), few=True)
+    alike = rows.join(firsts, "fp").where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    close = close_pairs(firsts, radius)
+    near = close.join(firsts.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+    return alike.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def op1(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id."""
     return near_copies(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

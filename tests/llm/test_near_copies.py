@@ -57,3 +57,32 @@ def test_near_copy_stage_on_the_given_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute_jaccard_kept({r.doc_id: r.text for r in docs.collect()})
     assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()} == want
+
+
+def test_the_simhash_search_proposes_the_close_ones(spark):
+    import numpy as np
+
+    from sitequarry.llm import jaccard, simhash
+
+    texts = [t for t in jaccard_texts() if t and t.split()]
+    sets = {i: jaccard.shingle_set(t) for i, t in enumerate(texts)}
+    fps = {i: simhash.vote(s) for i, s in sets.items()}
+    assert all(fps[i] == simhash.fingerprint(t, 5) for i, t in enumerate(texts) if len(sets[i]) == max(1, len(t.encode().lower().split()) - 4))
+    got = {(r.a, r.b) for r in simhash.near_sets(spark.createDataFrame(list(fps.items()), "id long, fp long"), 3).collect()}
+    first = {}
+    for i in sorted(fps):
+        first.setdefault(fps[i], i)
+    own = sorted(set(first.values()))
+    want = {(a, b) for k, a in enumerate(own) for b in own[k + 1 :] if bin((fps[a] ^ fps[b]) & (2**64 - 1)).count("1") <= 3} | {(first[f], i) for i, f in fps.items() if first[f] != i}
+    assert got == want and want
+
+
+def test_odd_tables(spark):
+    from sitequarry.llm import jaccard
+
+    rows = [(5, None), (None, ""), (3, " "), (None, "a b c d e f"), (9, "a b c d e f"), (9, "a b c d e f"), (9, "other text that is one of a kind"), (None, "alone without an id")]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, key int, label string")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, " "), (9, "a b c d e f"), (9, "other text that is one of a kind"), (None, "alone without an id")], key=str)
+    assert jaccard.keep_one(df.limit(0)).count() == 0
