@@ -5,8 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the cuts made inside each settled() that runs.
+_MADE: list[list[DataFrame]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share. Where that is unset, a temporary one in local mode, where all is one process; on a cluster that would be a folder of one machine, so it is an error."""
@@ -31,6 +36,22 @@ def cut(df: DataFrame, few: bool = False) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if _MADE:
+        _MADE[-1].append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows, cut; the cuts made on the way are deleted, as nothing reads them any longer."""
+    made: list[DataFrame] = []
+    _MADE.append(made)
+    try:
+        df = make()
+    finally:
+        _MADE.pop()
+    out = cut(df)
+    for one in made:
+        drop_cut(one)
     return out
 
 
