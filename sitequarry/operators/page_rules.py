@@ -181,7 +181,7 @@ _add("noindex-in-raw-html-only", "indexability/error", HUMAN, OBSERVED, lambda t
 _add("canonical-changed-by-js", "canonical/warning", HUMAN, OBSERVED, lambda t: ~c("render_divergence.static_canonical").eqNullSafe(c("render_divergence.rendered_canonical")), ("render_divergence.static_canonical", "render_divergence.rendered_canonical"), "render_divergence")
 _add(
     "content-requires-javascript", "indexability/warning", HUMAN, HEURISTIC,
-    lambda t: (c("render_divergence.word_count_delta") > 0) & (c("render_divergence.word_count_delta") / c("content.word_count") >= t.js_only_content_ratio) & (c("render_divergence.word_count_delta") >= t.thin_content_words),
+    lambda t: (c("render_divergence.word_count_delta") > 0) & (F.try_divide(c("render_divergence.word_count_delta"), c("content.word_count")) >= t.js_only_content_ratio) & (c("render_divergence.word_count_delta") >= t.thin_content_words),
     ("render_divergence.word_count_delta", "content.word_count"), "render_divergence",
 )
 _add(

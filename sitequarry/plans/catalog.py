@@ -12,6 +12,7 @@ from sitequarry.functions import text as tx
 from sitequarry.functions import urls
 from sitequarry.operators import diff, explore, graph, measurements, metrics, page_rules, scoring, similarity, site_rules
 from sitequarry.operators.site_rules import Site
+from sitequarry.plans import derived
 from sitequarry.plans.config import Config
 from sitequarry.plans.lineage import cut
 from sitequarry.sources import crawl, sinks, site_files
@@ -594,9 +595,9 @@ def set_except_all(t: Tables) -> DataFrame:
     return t.orders.where("o_orderstatus = 'F'").select("o_custkey").exceptAll(t.orders.where("o_orderstatus = 'O'").select("o_custkey"))
 
 
-@query("SELECT doc_id, q FROM (SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l USING (doc_id)) ORDER BY q DESC NULLS LAST, doc_id LIMIT 400")
+@query("SELECT doc_id, q FROM (SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l USING (doc_id)) ORDER BY q DESC NULLS LAST, doc_id")
 def nulls_last_sort(t: Tables) -> DataFrame:
-    return explore.sort_rows(t.documents.select("doc_id").join(t.labels.select("doc_id", F.col("quality").alias("q")), "doc_id", "left"), "q", True, "doc_id").limit(400)
+    return explore.sort_rows(t.documents.select("doc_id").join(t.labels.select("doc_id", F.col("quality").alias("q")), "doc_id", "left"), "q", True, "doc_id")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE n_chars BETWEEN 500 AND 900 AND lang IN ('de', 'fr') AND contains(lower(text), 'en')")
@@ -640,6 +641,10 @@ def sitemap_lastmod_verdict(t: Tables) -> DataFrame:
     return out.select(F.col("total").cast("int").alias("total"), F.col("with_lastmod").cast("int").alias("with_lastmod"), F.col("invalid").cast("int").alias("invalid"), "verdict")
 
 
+for _name, (_run_query, _sql) in derived.CHECKS.items():
+    query(_sql, _name)(_run_query)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of all page rules by host, over the raw pages."""
     issues, _ = page_rules.evaluate(crawl.from_html(crawl.first_pages(Tables(spark, sf_dir).pages)))

@@ -50,19 +50,37 @@ PROFILES: dict[str, tuple[str, str]] = {
     "Dataset": ("name description", "license creator url distribution identifier"),
     "ProfilePage": ("mainEntity", "dateCreated dateModified"),
 }
-#: Subtypes follow their parent's profile: by the ending of the type's name, the first that fits.
-PARENTS = (
-    (r"(?:News|Blog|Tech|Scholarly|Satirical|Content)?(?:Article|Posting)$|^Report$", "Article"),
-    (r"(?:Product|ProductModel|Vehicle|^Car|Motorcycle|BusOrCoach)$", "Product"),
-    (r"(?:Event|EventSeries|Festival|Hackathon|CourseInstance)$", "Event"),
-    (r"(?:Review|Recommendation)$", "Review"),
-    (r"(?:Organization|Team|Group|Corporation|NGO|Airline|Consortium|School|Project|OnlineBusiness|CollegeOrUniversity)$", "Organization"),
-    (r"(?:Business|Store|Shop|Restaurant|Establishment|Bakery|Hotel|Motel|Resort|Dentist|Physician|Pharmacy|Clinic|Service|Agency|Repair|Dealer|Salon|Attorney|Hospital|Library|Station|Center|Club)$", "LocalBusiness"),
-    (r"^(?:Web|Mobile)Application$|^VideoGame$", "SoftwareApplication"),
-    (r"^HowToSection$", "HowToStep"),
-    (r"^(?:Barcode|ImageObjectSnapshot)$", "ImageObject"),
-    (r"^Patient$", "Person"),
-)
+#: The subtypes that follow their parent's profile.
+SUBTYPES: dict[str, str] = {
+    "Article": """NewsArticle BlogPosting TechArticle ScholarlyArticle MedicalScholarlyArticle Report SatiricalArticle AdvertiserContentArticle
+        LiveBlogPosting OpinionNewsArticle ReviewNewsArticle AnalysisNewsArticle BackgroundNewsArticle ReportageNewsArticle AskPublicNewsArticle""",
+    "Product": "IndividualProduct ProductModel Vehicle Car Motorcycle BusOrCoach",
+    "Organization": """Corporation NGO EducationalOrganization GovernmentOrganization PerformingGroup SportsOrganization SportsTeam MusicGroup
+        TheaterGroup DanceGroup NewsMediaOrganization Airline Consortium FundingScheme MedicalOrganization LibrarySystem CollegeOrUniversity
+        School Project ResearchProject OnlineBusiness""",
+    "LocalBusiness": """Store Restaurant FoodEstablishment CafeOrCoffeeShop Bakery BarOrPub Brewery Winery Distillery FastFoodRestaurant
+        IceCreamShop LodgingBusiness Hotel BedAndBreakfast Motel Resort Campground Hostel ProfessionalService LegalService Attorney Notary
+        AccountingService FinancialService BankOrCreditUnion InsuranceAgency RealEstateAgent TravelAgency EmploymentAgency AutomotiveBusiness
+        AutoRepair AutoDealer AutoBodyShop AutoPartsStore AutoRental AutoWash GasStation MotorcycleDealer MotorcycleRepair
+        HomeAndConstructionBusiness Electrician Plumber HVACBusiness RoofingContractor GeneralContractor HousePainter Locksmith MovingCompany
+        HealthAndBeautyBusiness BeautySalon HairSalon DaySpa NailSalon TattooParlor HealthClub ExerciseGym SportsActivityLocation GolfCourse
+        SkiResort SwimmingPool TennisComplex BowlingAlley MedicalBusiness Dentist Physician Optician Pharmacy VeterinaryCare MedicalClinic
+        DentistOffice EmergencyService FireStation PoliceStation Hospital ChildCare Preschool DryCleaningOrLaundry EntertainmentBusiness
+        MovieTheater NightClub AmusementPark ArtGallery Casino ComedyClub RecyclingCenter SelfStorage ShoppingCenter
+        TouristInformationCenter GovernmentOffice PostOffice Library InternetCafe ClothingStore GroceryStore HardwareStore JewelryStore
+        BookStore ElectronicsStore FurnitureStore PetStore ToyStore ShoeStore SportingGoodsStore DepartmentStore ConvenienceStore LiquorStore
+        MobilePhoneStore MusicStore OfficeEquipmentStore OutletStore GardenStore FloristShop HobbyShop ComputerStore TireShop WholesaleStore
+        PawnShop""",
+    "Event": """BusinessEvent ChildrensEvent ComedyEvent CourseInstance DanceEvent DeliveryEvent EducationEvent ExhibitionEvent Festival
+        FoodEvent Hackathon LiteraryEvent MusicEvent PublicationEvent SaleEvent ScreeningEvent SocialEvent SportsEvent TheaterEvent
+        VisualArtsEvent BroadcastEvent EventSeries""",
+    "Review": "ClaimReview CriticReview UserReview EmployerReview MediaReview Recommendation",
+    "HowToStep": "HowToSection",
+    "ImageObject": "Barcode ImageObjectSnapshot",
+    "SoftwareApplication": "WebApplication MobileApplication VideoGame",
+    "Person": "Patient",
+}
+PARENT = {name: parent for parent, names in SUBTYPES.items() for name in names.split()}
 #: Endings of types that are known and have no profile; a parameter of report().
 KNOWN = r"(?:Page|Element|Work|Object|Series|Season|Episode|Action|Specification|Place|Thing|Gallery|Listing|Header|Footer|SideBar|Audience|Policy|Type|Enumeration|Value|Set|Term|Code|Country|State|City|Area|Coordinates|Shape|Reservation|Trip|Flight|Residence|Room|House|Apartment|Museum|Park|Venue|Structure|Condition|Entity|Program|Credential|Menu|MenuItem|MenuSection|Role|Membership|Blog|Comment|Table|Clip|Album|Recording|Playlist|Composition|Occupation|Service|Product|Account|Card|Duration|Distance|Mass|Energy|Language|Counter|Information|Item|Tool|Supply|Tip|Direction|Catalog|Download|Grant|Demand|Method|EntryPoint|Certification|Guide|AmpStory)$"
 MOST_ITEMS, MOST_DEPTH = 200, 12
@@ -78,9 +96,7 @@ def short_type(raw: str) -> str:
 
 
 def profile_of(kind: str) -> str | None:
-    if kind in PROFILES:
-        return kind
-    return next((parent for pattern, parent in PARENTS if re.search(pattern, kind)), None)
+    return kind if kind in PROFILES else PARENT.get(kind)
 
 
 def _has(value: object) -> bool:
