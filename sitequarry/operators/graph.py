@@ -91,8 +91,14 @@ def degree_histogram(edges: DataFrame) -> DataFrame:
 
 def link_suggestions(pages: DataFrame, phrases: DataFrame, most: int = 5) -> DataFrame:
     """Pages that mention a phrase (target_id, phrase) of a page that they don't link to, best first, at most `most` for each target."""
-    words = pages.select("page_id", F.explode(F.array_distinct(F.split(F.lower("content.text"), r"[^\p{L}\p{N}]+"))).alias("phrase"))
-    hits = words.join(phrases.select("target_id", F.lower("phrase").alias("phrase")), "phrase").where("page_id != target_id")
+    plain = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))
+    asked = phrases.select("target_id", plain("phrase").alias("phrase")).where("phrase != ''")
+    # texts are cut into runs of as many words as phrases have, and joined on equality
+    lengths = sorted(r["n"] for r in asked.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect())
+    words = pages.select("page_id", F.split(plain("content.text"), " ").alias("w"))
+    runs = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>")) for n in lengths]
+    said = words.select("page_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *runs))).alias("phrase"))
+    hits = said.join(asked, "phrase").where("page_id != target_id")
     _, edges = link_graph(pages)
     new = hits.join(edges.select(F.col("src").alias("page_id"), F.col("dst").alias("target_id")).distinct(), ["page_id", "target_id"], "left_anti")
     scored = new.groupBy("target_id", "page_id").agg(F.count(F.lit(1)).alias("mentions"))

@@ -111,15 +111,13 @@ def page_titles(t: Tables) -> DataFrame:
     return t.pages.select("page_id", title.alias("title"), F.length(title).cast("long").alias("chars"))
 
 
-ENTITY = "trim(regexp_replace(replace(replace(replace({0}, '&quot;', '\"'), '&lt;', '<'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+ENTITY = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&quot;?', '\"', 'g'), '&lt;?', '<', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT page_id, {ENTITY.format(TITLE)} AS title, {ENTITY.format(H1)} AS h1, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS links FROM pages WHERE html NOT LIKE '%&am<%' AND html NOT LIKE '%&a<%' AND html NOT LIKE '%&amp<%' AND NOT regexp_matches({TITLE}, '&[a-z]*$') AND NOT regexp_matches({H1}, '&[a-z]+([^a-z;]|$)')")
+@query(f"SELECT page_id, {ENTITY.format(TITLE)} AS title, {ENTITY.format(H1)} AS h1, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS links FROM pages")
 def extracted_heads(t: Tables) -> DataFrame:
-    """The extractor's title, first heading and number of links, on pages whose character references are whole."""
-    raw = lambda tag: F.regexp_extract("html", rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
-    kept = t.pages.where(~F.col("html").rlike("&am<|&a<|&amp<") & ~raw("title").rlike(r"&[a-z]*$") & ~raw("h1").rlike(r"&[a-z]+([^a-z;]|$)"))
-    p = crawl.from_html(kept)
+    """The extractor's title, first heading and number of links."""
+    p = crawl.from_html(t.pages)
     return p.select(F.col("input_order").alias("page_id"), "title", F.col("headings.h1")[0].alias("h1"), F.size("links").cast("long").alias("links"))
 
 
@@ -319,17 +317,19 @@ def duplicate_documents(t: Tables) -> DataFrame:
 
 
 SHINGLES = r"""
-WITH w AS (SELECT item_id AS id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda x: x <> '') AS l FROM benchmark),
-s AS (SELECT DISTINCT id, array_to_string(l[i:i + 1], ' ') AS s FROM w, generate_series(1, 1000) AS g(i) WHERE i <= len(l) - 1),
+WITH t AS (SELECT min(doc_id) AS id, text FROM documents WHERE text IS NOT NULL GROUP BY text),
+w AS (SELECT id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda x: x <> '') AS l FROM t),
+s AS (SELECT DISTINCT id, array_to_string(l[i:i + 4], ' ') AS s FROM (SELECT id, l, unnest(range(1, len(l) - 3)) AS i FROM w WHERE len(l) >= 5)),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
 c AS (SELECT x.id AS a, y.id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2)
-SELECT a, b, floor(common::DOUBLE / (p.n + q.n - common) * 10000 + 0.5) / 10000 AS jaccard FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE common::DOUBLE / (p.n + q.n - common) >= 0.004"""
+SELECT a, b, floor(common::DOUBLE / (p.n + q.n - common) * 10000 + 0.5) / 10000 AS jaccard FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE common::DOUBLE / (p.n + q.n - common) >= 0.8"""
 
 
 @query(SHINGLES)
 def exact_jaccard_pairs(t: Tables) -> DataFrame:
-    docs = t.benchmark.select(F.col("item_id").alias("id"), tx.shingles(F.col("text"), 2).alias("shingles"))
-    return similarity.jaccard_pairs(docs, threshold=0.004).select("a", "b", tx.round_half_up(F.col("jaccard"), 4).alias("jaccard"))
+    """Near copies among all documents: pairs of the distinct texts, each under its smallest id."""
+    texts = t.documents.where("text is not null").groupBy("text").agg(F.min("doc_id").alias("id"))
+    return similarity.jaccard_pairs(texts.select("id", tx.shingles(F.col("text"), 5).alias("shingles"))).select("a", "b", tx.round_half_up(F.col("jaccard"), 4).alias("jaccard"))
 
 
 @query()
@@ -465,17 +465,16 @@ def kpi_delta_lag(t: Tables) -> DataFrame:
     return measurements.kpi_deltas(daily, "clicks", "search_type", "date")
 
 
-# ---- graph: nations trade through orders and line items ----
+# ---- graph: customers buy from suppliers, suppliers deliver parts, parts go to customers ----
 
-EDGES = "SELECT DISTINCT 'c' || c_nationkey AS src, 's' || (l_suppkey % 40) AS dst FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 45 AND l_linenumber = 1 UNION SELECT DISTINCT 's' || (l_suppkey % 40), 'c' || (l_partkey % 25) FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 2"
+EDGES = "SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 'c' || o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
 
 
 def _edges(t: Tables) -> DataFrame:
-    lines = t.lineitem
-    supplier = F.concat(F.lit("s"), (F.col("l_suppkey") % 40).cast("string"))
-    a = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey")).join(lines.where("l_quantity > 45 and l_linenumber = 1"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), F.col("c_nationkey").cast("string")).alias("src"), supplier.alias("dst"))
-    b = lines.where("l_quantity > 49 and l_linenumber = 2").select(supplier.alias("src"), F.concat(F.lit("c"), (F.col("l_partkey") % 25).cast("string")).alias("dst"))
-    return a.unionByName(b).distinct()
+    named = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(named("c", "o_custkey").alias("c"), named("s", "l_suppkey").alias("s"), named("p", "l_partkey").alias("p"))
+    delivered = t.lineitem.select(named("s", "l_suppkey").alias("src"), named("p", "l_partkey").alias("dst"))
+    return lines.select(F.col("c").alias("src"), F.col("s").alias("dst")).unionByName(delivered).unionByName(lines.select(F.col("p").alias("src"), F.col("c").alias("dst"))).distinct()
 
 
 def _rank_sql(rounds: int) -> str:
@@ -507,9 +506,10 @@ def orphan_parts(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", "p_brand").join(t.lineitem.where("l_quantity > 48"), F.col("p_partkey") == F.col("l_partkey"), "left_anti")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_suppkey % 7 + 1000000 AS b FROM lineitem WHERE l_quantity > 49), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS component FROM u UNION SELECT u.b, r.component FROM r JOIN u ON u.a = r.id) SELECT id, min(component) AS component FROM r GROUP BY 1")
-def supplier_components(t: Tables) -> DataFrame:
-    e = t.lineitem.where("l_quantity > 49").select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") % 7 + 1000000).alias("dst")).distinct()
+@query("WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_custkey + 1000000000000 AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS component FROM u UNION SELECT u.b, r.component FROM r JOIN u ON u.a = r.id) SELECT id, min(component) AS component FROM r GROUP BY 1")
+def order_components(t: Tables) -> DataFrame:
+    """Orders and customers that orders join."""
+    e = t.orders.select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") + F.lit(1000000000000)).alias("dst")).distinct()
     nodes = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     return graph.components(nodes, e)
 
