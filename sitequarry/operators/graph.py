@@ -96,7 +96,11 @@ def link_suggestions(pages: DataFrame, phrases: DataFrame, most: int = 5) -> Dat
     # texts are cut into runs of as many words as phrases have, and joined on equality
     lengths = sorted(r["n"] for r in asked.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect())
     words = pages.select("page_id", F.split(plain("content.text"), " ").alias("w"))
-    runs = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>")) for n in lengths]
+
+    def run(n: int):
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    runs = [run(n) for n in lengths]
     said = words.select("page_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *runs))).alias("phrase"))
     hits = said.join(asked, "phrase").where("page_id != target_id")
     _, edges = link_graph(pages)
