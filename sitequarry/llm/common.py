@@ -47,7 +47,8 @@ def sampled(rows: DataFrame, keys: list[str], most: int, seed: int) -> DataFrame
 def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, held_out: Column, most: int, seed: int = 13) -> DataFrame:
     """(doc_id, mark, text) of labels 0 and 1 outside the held-out fold, distinct, at most about `most`."""
     marks = labels.where(F.col(label_col).isin(0, 1) & ~held_out).select("doc_id", F.col(label_col).cast("int").alias("mark"))
-    marks = sampled(marks, ["doc_id", "mark"], most, seed)
+    # broadcast: at most about `most` rows of an id and a mark, by the sampling
+    marks = F.broadcast(sampled(marks, ["doc_id", "mark"], most, seed))
     rows = docs.select("doc_id", "text").join(marks, "doc_id").withColumn("key", F.xxhash64("text"))
     # an id with many texts: counted without the texts, and sampled by text too
     n = docs.select("doc_id").join(marks, "doc_id").count()
