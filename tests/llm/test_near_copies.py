@@ -52,6 +52,37 @@ def test_near_copy_stage_equals_brute_force_jaccard(spark):
     assert len(got) == len(set(got)) and set(got) == brute_jaccard_kept(texts)
 
 
+def test_a_dense_group_around_the_bound(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(4)
+    base = prose(rng, 150).split()
+    texts = []
+    for _ in range(120):  # pairs of similarity 0.5 to 1: some join in chains, some stay alone
+        words = list(base)
+        for k in range(rng.randint(0, 9)):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    want = brute_jaccard_kept(dict(enumerate(texts)))
+    assert 1 < len(want) < 100
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs_of(spark, texts), SF).collect()} == want
+
+
+def test_parities_and_bands_bound_the_difference():
+    import numpy as np
+
+    from sitequarry.llm import jaccard
+
+    rng = np.random.default_rng(3)
+    factors = rng.integers(0, 1 << 63, jaccard.BANDS * jaccard.DEEP, np.uint64) * 2 + 1
+    for _ in range(60):
+        both = rng.integers(-(1 << 63), 1 << 63, rng.integers(1, 400))
+        a, b = (np.unique(np.concatenate([both, rng.integers(-(1 << 63), 1 << 63, rng.integers(0, 80))])) for _ in range(2))
+        odd = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(jaccard.parity_of(a), jaccard.parity_of(b), strict=True))
+        apart = len(np.setxor1d(a, b))
+        assert odd <= apart and (apart - odd) % 2 == 0
+        assert jaccard.bands_of(a, factors) == jaccard.bands_of(a.copy(), factors) and len(jaccard.bands_of(b, factors)) == jaccard.BANDS
+
+
 def test_near_copy_stage_on_the_given_documents(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
