@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitequarry.llm import decontaminate, htmltext, langid, licenses, pieces, quality, sharding, simhash, toxicity, vectors
+from sitequarry.llm import decontaminate, htmltext, infill, langid, licenses, manifest, packing, pieces, quality, sharding, simhash, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.op11(_table(spark, sf_dir, "documents"))
+
+
+def token_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op12(_table(spark, sf_dir, "documents"), token_file())
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.op13(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_licenses, op3_pieces, op4_sharding, op5_main_text, op6_vectors, op7_language, op8_quality, op9_toxicity, op10_decontamination)
+    own = (op1_simhash, op2_licenses, op3_pieces, op4_sharding, op5_main_text, op6_vectors, op7_language, op8_quality, op9_toxicity, op10_decontamination, op11_manifest, op12_packing, op13_infill)
     return {f.__name__: f for f in own}
 
 
@@ -104,6 +122,46 @@ n AS (SELECT x AS id, count(*) AS n_links FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN n ON n.id = vec_id"""
 
 
+#: Leaves, the levels of every source's tree and of the tree of sources, and every row's siblings level by level.
+MANIFEST_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT *, row_number() OVER () AS rid, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])) & 1 AS low FROM documents, crc),
+f AS (SELECT rid, doc_id, source, low, 'x' AS x,
+  coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+  text, replace(text, chr(10), '') AS bad FROM d),
+l AS (SELECT rid, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  CASE WHEN low = 1 THEN sha256(head || coalesce(strlen(bad) || ':' || bad, '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS bad FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+t(source, level, pos, n, digest) AS (
+  SELECT source, 0, pos, n, leaf FROM p
+  UNION ALL SELECT source, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY source, level, pos // 3, n),
+s AS (SELECT source, digest, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u(level, pos, n, digest) AS (
+  SELECT 0, pos, n, digest FROM s
+  UNION ALL SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 3, n),
+e AS (SELECT source, level, pos // 3 AS run, list(digest ORDER BY pos) AS run_digests FROM t WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT NULL, 1000 + level, pos // 3, list(digest ORDER BY pos) FROM u WHERE n > 1 GROUP BY ALL),
+b AS (SELECT rid, k AS level, (p.pos // (3 ^ k)::BIGINT) AS spot, p.source FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source, range(0, 40) r(k) WHERE k < s.height
+  UNION ALL SELECT rid, 1000 + k, (s.pos // (3 ^ k)::BIGINT), NULL FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source, range(0, 40) r(k) WHERE k < (SELECT max(level) FROM u)),
+o AS (SELECT rid, b.level, array_to_string(run_digests[1:(spot % 3)], '') AS lefts, array_to_string(run_digests[(spot % 3 + 2):], '') AS rights FROM b JOIN e ON e.source IS NOT DISTINCT FROM b.source AND e.level = b.level AND e.run = b.spot // 3),
+q AS (SELECT rid, list(struct_pack(l := lefts, r := rights) ORDER BY level) AS steps, sha256(string_agg(lefts || rights, '' ORDER BY level)) AS proof FROM o GROUP BY 1),
+g AS (SELECT rid, bad AS now, 1 AS k, coalesce(steps, []) AS steps FROM p LEFT JOIN q USING (rid)
+  UNION ALL SELECT rid, sha256(steps[k].l || now || steps[k].r), k + 1, steps FROM g WHERE k <= len(steps)),
+z AS (SELECT rid, now AS folded FROM g WHERE k = len(steps) + 1)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, (SELECT digest FROM u WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = (SELECT digest FROM u WHERE n = 1) AS verified
+FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source JOIN z USING (rid) LEFT JOIN q USING (rid)"""
+
+#: Tokens as a list, cut by two ranks.
+INFILL_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+x AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator; the others are tested against brute force, the library or held-out labels."""
-    return {"op5_main_text": MAIN_TEXT_SQL, "op6_vectors": VECTORS_SQL}
+    return {"op5_main_text": MAIN_TEXT_SQL, "op6_vectors": VECTORS_SQL, "op11_manifest": MANIFEST_SQL, "op13_infill": INFILL_SQL}
