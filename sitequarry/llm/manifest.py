@@ -137,23 +137,27 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return laid.join(runs, [group, "part"]).withColumn("pos", F.col("seq") + F.col("shift")).drop("part", "seq", "shift")
 
 
-def _in_order(table: pa.Table) -> tuple[pa.Table, int]:
-    """A block's rows by place, and its height: HEIGHT, or less where it is its group's only block."""
+def _in_order(table: pa.Table, most: int) -> tuple[pa.Table, int]:
+    """A block's rows by place, and its height: `most`, or less where it is its group's only block."""
     table = table.sort_by("pos")
     n = table["n"][0].as_py()
-    return table, HEIGHT if n > ARITY**HEIGHT else height_of(n)
+    return table, most if n > ARITY**most else height_of(n)
 
 
-def _roots(table: pa.Table) -> pa.Table:
-    table, height = _in_order(table)
-    return pa.table({"key": table["key"][:1], "pos": table["block"][:1], "n": pa.array([-(-table["n"][0].as_py() // ARITY**HEIGHT)], pa.int64()), "digest": [block_root(table["digest"].to_pylist(), height)]})
+def _roots(most: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        table, height = _in_order(table, most)
+        n = pa.array([-(-table["n"][0].as_py() // ARITY**most)], pa.int64())
+        return pa.table({"key": table["key"][:1], "pos": table["block"][:1], "n": n, "digest": [block_root(table["digest"].to_pylist(), height)]})
+
+    return run
 
 
-def _proving(finish: Callable[[dict, Path, list[dict], dict], tuple], fields: list[tuple[str, pa.DataType]], columns: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _proving(finish: Callable[[dict, Path, Path, dict], tuple], fields: list[tuple[str, pa.DataType]], columns: list[str], most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The function of a block's leaves and the row above it: finish(row, path in the block, path above, row above) gives the values of fields."""
 
     def run(leaves: pa.Table, above: pa.Table) -> pa.Table:
-        leaves, height = _in_order(leaves)
+        leaves, height = _in_order(leaves, most)
         top = above.to_pylist()[0]
         upper = [(s["place"], s["others"]) for s in top["path"]]
         rows = zip(*(leaves[c].to_pylist() for c in columns), strict=True)
@@ -169,24 +173,24 @@ def _path_values(row: dict, path: Path, upper: Path, top: dict) -> tuple:
     return row["key"], row["pos"], steps, top["root"]
 
 
-def _blocked(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.expr(f"pos div {ARITY**HEIGHT}"))
+def _blocked(nodes: DataFrame, most: int) -> DataFrame:
+    return nodes.withColumn("block", F.expr(f"pos div {ARITY**most}"))
 
 
-def above_blocks(nodes: DataFrame) -> DataFrame:
+def above_blocks(nodes: DataFrame, height: int = HEIGHT) -> DataFrame:
     """Of nodes (key, pos, n, digest) per block: key, block, the path from the block's root to the group's root, and that root."""
-    roots = cut(_blocked(nodes).groupBy("key", "block").applyInArrow(_roots, "key string, pos long, n long, digest string"))
+    roots = cut(_blocked(nodes, height).groupBy("key", "block").applyInArrow(_roots(height), "key string, pos long, n long, digest string"))
     most = roots.agg(F.max("n")).first()[0] or 0  # one number
     if most <= 1:
         return roots.select("key", F.col("pos").alias("block"), F.array().cast(_PATH).alias("path"), F.col("digest").alias("root"))
-    return paths(roots).withColumnRenamed("pos", "block")
+    return paths(roots, height).withColumnRenamed("pos", "block")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
+def paths(nodes: DataFrame, height: int = HEIGHT) -> DataFrame:
     """Of nodes (key, pos, n, digest) per node: key, pos, path to its group's root, root."""
     fields = [("key", pa.string()), ("pos", pa.int64()), ("path", _PATH_ARROW), ("root", pa.string())]
-    run = _proving(_path_values, fields, ["key", "pos"])
-    left, right = _blocked(nodes).select("key", "block", "pos", "n", "digest").groupBy("key", "block"), above_blocks(nodes).groupBy("key", "block")
+    run = _proving(_path_values, fields, ["key", "pos"], height)
+    left, right = _blocked(nodes, height).select("key", "block", "pos", "n", "digest").groupBy("key", "block"), above_blocks(nodes, height).groupBy("key", "block")
     return left.cogroup(right).applyInArrow(run, f"key string, pos long, path {_PATH}, root string")
 
 
@@ -202,15 +206,15 @@ def _tampered() -> Column:
     return F.when(even & F.col("text").contains("\n"), F.replace(F.col("text"), F.lit("\n"), F.lit("")))
 
 
-def _leaves(docs: DataFrame, tampered: Column) -> tuple[DataFrame, DataFrame]:
+def _leaves(docs: DataFrame, tampered: Column, height: int) -> tuple[DataFrame, DataFrame]:
     """Numbered leaves (key, doc_id, digest, tampered, pos, n), and the rows above their blocks (key, block, path to the dataset's root, subroot, root)."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("key")
     rows = cut(docs.select(key, F.col("doc_id").cast("long").alias("doc_id"), leaf_of(F.col("text")).alias("digest"), F.when(tampered.isNotNull(), leaf_of(tampered)).alias("tampered"), F.monotonically_increasing_id().alias("tie")))
     leaves = numbered(rows, "key", ["doc_id", "digest", "tie"]).drop("tie")
-    blocks = cut(above_blocks(leaves))
+    blocks = cut(above_blocks(leaves, height))
     sources = blocks.groupBy("key").agg(F.min("root").alias("digest")).withColumn("all", F.lit(""))
     placed = cut(numbered(sources, "all", ["key"]).withColumnRenamed("key", "source_key").withColumnRenamed("all", "key"))
-    tops = paths(placed).join(placed.select("pos", F.col("source_key")), "pos").select(F.col("source_key").alias("key"), F.col("path").alias("source_path"), F.col("root").alias("top"))
+    tops = paths(placed, height).join(placed.select("pos", F.col("source_key")), "pos").select(F.col("source_key").alias("key"), F.col("path").alias("source_path"), F.col("root").alias("top"))
     above = blocks.join(tops, "key").select("key", "block", F.concat("path", "source_path").alias("path"), F.col("root").alias("subroot"), F.col("top").alias("root"))
     return leaves, above
 
@@ -219,12 +223,12 @@ def _whole(row: dict, path: Path, upper: Path, top: dict) -> tuple:
     return (row["doc_id"], row["digest"], top["subroot"], top["root"], [{"place": p, "others": o} for p, o in (*path, *upper)])
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     """Per row: doc_id, leaf, subroot (of its source), root, and path, whose steps verify() folds."""
-    leaves, above = _leaves(docs, F.lit(None).cast("string"))
+    leaves, above = _leaves(docs, F.lit(None).cast("string"), height)
     fields = [("doc_id", pa.int64()), ("leaf", pa.string()), ("subroot", pa.string()), ("root", pa.string()), ("path", _PATH_ARROW)]
-    run = _proving(_whole, fields, ["doc_id", "digest"])
-    left = _blocked(leaves).groupBy("key", "block")
+    run = _proving(_whole, fields, ["doc_id", "digest"], height)
+    left = _blocked(leaves, height).groupBy("key", "block")
     return left.cogroup(above.groupBy("key", "block")).applyInArrow(run, f"doc_id long, leaf string, subroot string, root string, path {_PATH}")
 
 
@@ -241,11 +245,11 @@ def _digest(row: dict, path: Path, upper: Path, top: dict) -> tuple:
     return row["doc_id"], row["digest"], top["subroot"], top["root"], proof, folded, folded == top["root"]
 
 
-def op11(docs: DataFrame) -> DataFrame:
+def op11(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
-    leaves, above = _leaves(docs, _tampered())
+    leaves, above = _leaves(docs, _tampered(), height)
     names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root"]
     fields = [(n, pa.int64() if n == "doc_id" else pa.string()) for n in names] + [("verified", pa.bool_())]
-    run = _proving(_digest, fields, ["doc_id", "digest", "tampered"])
-    left = _blocked(leaves).groupBy("key", "block")
+    run = _proving(_digest, fields, ["doc_id", "digest", "tampered"], height)
+    left = _blocked(leaves, height).groupBy("key", "block")
     return left.cogroup(above.groupBy("key", "block")).applyInArrow(run, "doc_id long, " + ", ".join(f"{n} string" for n in names[1:]) + ", verified boolean")
