@@ -157,13 +157,6 @@ def is_unsafe(url: Column, exclude: tuple[str, ...] = ()) -> Column:
     return out
 
 
-def in_scope(url: Column, seed_host: str, aliases: tuple[str, ...] = ()) -> Column:
-    """Whether a URL belongs to the site: the host or one below it, or an alias, www or not."""
-    own = re.sub(r"^www\.", "", seed_host.lower())
-    bare = strip_www(host(url))
-    return (bare == own) | bare.endswith("." + own) | bare.isin([re.sub(r"^www\.", "", a.lower()) for a in aliases])
-
-
 def remap_alias(url: Column, aliases: tuple[str, ...], seed_origin: str) -> Column:
     """URLs of an alias host on the seed's origin."""
     rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)

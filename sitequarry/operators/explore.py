@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitequarry.functions import text as tx
-from sitequarry.functions import urls
+from sitequarry.functions import domains, urls
 from sitequarry.operators.scoring import severity_rank
 
 MOST_ROWS, DEFAULT_ROWS = 200, 50
@@ -172,9 +172,9 @@ def drilldown(pages: DataFrame, name: str, limit: int = 500) -> DataFrame:
     return pages.where(tests[name]).orderBy(F.coalesce("normalized_url", "url")).limit(limit)
 
 
-def frontier(seen: DataFrame, seed_host: str, most_depth: int, aliases: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+def frontier(seen: DataFrame, scope: domains.Scope, rules: tuple[str, ...], most_depth: int, exclude: tuple[str, ...] = ()) -> DataFrame:
     """URLs to crawl from (url, depth, parent_url, source): within caps, scope and depth, safe; one row a URL with the first depth and parent and all sources."""
-    ok = ~urls.exceeds_caps(F.col("url")) & urls.in_scope(F.col("url"), seed_host, aliases) & (F.col("depth") <= most_depth) & ~urls.is_unsafe(F.col("url"), exclude)
+    ok = ~urls.exceeds_caps(F.col("url")) & domains.in_scope(F.col("url"), scope, rules) & (F.col("depth") <= most_depth) & ~urls.is_unsafe(F.col("url"), exclude)
     return seen.where(ok).groupBy("url").agg(F.min("depth").alias("depth"), F.min_by("parent_url", F.struct("depth", "parent_url")).alias("parent_url"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitequarry.functions import domains, urls
 from sitequarry.functions import text as tx
-from sitequarry.functions import urls
 from sitequarry.operators import diff, explore, graph, measurements, metrics, page_rules, scoring, similarity, site_rules
 from sitequarry.operators.site_rules import Site
 from sitequarry.plans import derived
@@ -86,6 +86,37 @@ def host_family_mix(t: Tables) -> DataFrame:
     return t.pages.groupBy(urls.strip_www(h).alias("family")).agg(F.countDistinct(h).alias("hosts"), F.count(F.lit(1)).alias("pages"), F.bool_or(h.startswith("www.")).alias("with_www"), F.bool_or(~h.startswith("www.")).alias("bare"))
 
 
+#: Hosts of the pages moved below suffixes of one and two labels, of a wildcard and of an exception, and addresses: by turns of the id.
+MOVED = rf"CASE page_id % 6 WHEN 0 THEN {HOST} WHEN 1 THEN regexp_replace({HOST}, '[.][^.]*$', '.co.uk') WHEN 2 THEN regexp_replace({HOST}, '[.][^.]*$', '.ck') WHEN 3 THEN regexp_replace({HOST}, '[.][^.]*[.][^.]*$', '.city.kawasaki.jp') WHEN 4 THEN '10.0.0.' || page_id % 250 ELSE regexp_replace({HOST}, '[^.]*[.][^.]*$', 'www.ck') END"
+MOVED_DOMAIN = rf"CASE page_id % 6 WHEN 0 THEN regexp_extract(h, '([^.]*[.][^.]*)$', 1) WHEN 1 THEN regexp_extract(h, '([^.]*[.]co[.]uk)$', 1) WHEN 2 THEN regexp_extract(h, '([^.]*[.][^.]*[.]ck)$', 1) WHEN 3 THEN 'city.kawasaki.jp' WHEN 5 THEN 'www.ck' END"
+
+
+@query(f"WITH m AS (SELECT page_id, {MOVED} AS h FROM pages) SELECT page_id, h AS host, {MOVED_DOMAIN} AS domain FROM m")
+def registrable_domains(t: Tables) -> DataFrame:
+    k, h = F.col("page_id") % 6, urls.host(F.col("url"))
+    moved = (
+        F.when(k == 0, h).when(k == 1, F.regexp_replace(h, "[.][^.]*$", ".co.uk")).when(k == 2, F.regexp_replace(h, "[.][^.]*$", ".ck")).when(k == 3, F.regexp_replace(h, "[.][^.]*[.][^.]*$", ".city.kawasaki.jp"))
+        .when(k == 4, F.concat(F.lit("10.0.0."), (F.col("page_id") % 250).cast("string"))).otherwise(F.regexp_replace(h, "[^.]*[.][^.]*$", "www.ck"))
+    )
+    return t.pages.select("page_id", moved.alias("host")).withColumn("domain", domains.registrable_domain(domains.suffix_rules(t.spark))("host"))
+
+
+@query(rf"""WITH l AS (SELECT a.page_id AS source, b.page_id AS target, {HOST.replace("url", "a.url")} AS h, {HOST.replace("url", "b.url")} AS g FROM pages a JOIN pages b ON b.page_id = a.page_id + 1)
+SELECT source, target, CASE WHEN regexp_extract(h, '([^.]*[.][^.]*)$', 1) = regexp_extract(g, '([^.]*[.][^.]*)$', 1) THEN 'internal' ELSE 'external' END AS type FROM l""")
+def links_by_site(t: Tables) -> DataFrame:
+    """Each page linked to the next one: internal within a registrable domain, whatever the hosts below it."""
+    after = t.pages.select(F.col("page_id").alias("target"), F.col("url").alias("there"), (F.col("page_id") - 1).alias("source"))
+    links = t.pages.select(F.col("page_id").alias("source"), "url").join(after, "source")
+    return domains.typed_links(links, domains.suffix_rules(t.spark), "url", "there").select("source", "target", "type")
+
+
+@query(rf"SELECT page_id, regexp_extract({HOST}, '([^.]*[.][^.]*)$', 1) = 'example.com' OR regexp_replace({HOST}, '^www[.]', '') = 'tionble.example.org' AS inside FROM pages")
+def pages_in_scope(t: Tables) -> DataFrame:
+    rules = domains.suffix_rules(t.spark)
+    scope = domains.derive_scope("https://www.example.com/", rules, ["www.tionble.example.org"])
+    return t.pages.select("page_id", domains.in_scope(F.col("url"), scope, rules).alias("inside"))
+
+
 @query(f"SELECT {HOST} AS host, count(*) FILTER ({SCHEME} = 'http') AS plain, count(*) FILTER ({SCHEME} = 'https') AS secure FROM pages GROUP BY 1 HAVING count(DISTINCT {SCHEME}) > 1")
 def scheme_mix_by_host(t: Tables) -> DataFrame:
     s = urls.scheme(F.col("url"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sitequarry.functions.domains import Suffixes, suffix_rules, suffixes
 from sitequarry.functions.urls import normalize
 from sitequarry.sources import schema_org
 from sitequarry.sources.dom import Node, collapse, parse
@@ -84,8 +85,9 @@ def _int(text: str | None) -> int | None:
 class Page:
     """One parsed page and its facts."""
 
-    def __init__(self, url: str, html: str, headers: dict[str, str]) -> None:
+    def __init__(self, url: str, html: str, headers: dict[str, str], suffixes: Suffixes | None = None) -> None:
         self.url, self.html, self.headers = url, html, {k.lower(): v for k, v in headers.items()}
+        self.suffixes = suffixes or Suffixes()
         self.root = parse(html)
         self.nodes = list(self.root.walk())
         bases = [n.get("href") for n in self.nodes if n.name == "base" and n.get("href")]
@@ -143,17 +145,15 @@ class Page:
         return {"headings": own, "structure": {"headings": order, "paragraphs": count("p"), "ordered_lists": count("ol"), "unordered_lists": count("ul"), "definition_lists": count("dl"), "tables": tables, "preformatted": count("pre"), "quotes": count("blockquote"), "landmarks": marks}}
 
     def links(self) -> dict:
-        host = re.sub(r"^www\.", "", urlsplit(self.url).hostname or "")
-        out = []
+        own, out = self.suffixes.site(normalize(self.url) or self.url), []
         for n in self.all("a"):
             href = (n.get("href") or "").strip()
             if not href or href.startswith("#") or href.lower().startswith(NOT_LINKS):
                 continue
             target = self.resolve(href)
             there = normalize(href, self.base)
-            other = re.sub(r"^www\.", "", urlsplit(there).hostname or "") if there else ""
             rel = _rel(n)
-            inner = other == host or other.endswith("." + host)
+            inner = bool(there and own) and self.suffixes.site(there) == own
             out.append({"target": target, "target_normalized": there, "anchor": collapse(n.text()), "type": "internal" if inner else "external", "rel": n.get("rel"), "nofollow": "nofollow" in rel, "sponsored": "sponsored" in rel, "ugc": "ugc" in rel, "target_attr": n.get("target")})
         return {"links": out}
 
@@ -354,15 +354,15 @@ def schema() -> StructType:
     return StructType.fromDDL(FIELDS)
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html", headers: Column | None = None) -> DataFrame:
-    """pages with the facts of their HTML as columns; null HTML gives null facts."""
-    kind = schema()
+def extract(pages: DataFrame, url: str = "url", html: str = "html", headers: Column | None = None, rules: tuple[str, ...] | None = None) -> DataFrame:
+    """pages with the facts of their HTML as columns; null HTML gives null facts. A link is internal if it stays in the registrable domain of its page, by these rules of public suffixes or those that come with Spark."""
+    kind, rules = schema(), suffix_rules(pages.sparkSession) if rules is None else rules
     names = kind.fieldNames()
 
     @F.pandas_udf(kind)
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for urls, htmls, own in batches:
-            rows = [Page(u or "", h, dict(x) if x is not None else {}).facts() if h is not None else {} for u, h, x in zip(urls, htmls, own, strict=True)]
+            rows = [Page(u or "", h, dict(x) if x is not None else {}, suffixes(rules)).facts() if h is not None else {} for u, h, x in zip(urls, htmls, own, strict=True)]
             yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
     own = headers if headers is not None else F.lit(None).cast("map<string,string>")

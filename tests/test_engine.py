@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitequarry.functions import text as tx
-from sitequarry.functions import urls
+from sitequarry.functions import domains, urls
 from sitequarry.operators import diff, explore, graph, history, measurements, metrics, page_rules, render, scoring, similarity, site_rules
 from sitequarry.operators.site_rules import Site
 from sitequarry.plans.analyze import analyze
@@ -44,7 +44,7 @@ def test_normalize(raw, base, want):
 
 def test_url_columns(spark):
     u = F.lit("https://www.E.com:8443/Blog/Post/index.html?b=1#x")
-    got = spark.range(1).select(urls.scheme(u), urls.host(u), urls.pathname(u), urls.path_and_query(u), urls.section(u), urls.variant_key(u), urls.same_key(u), urls.origin(u), urls.file_format(u), urls.in_scope(u, "e.com"), urls.is_unsafe(u), urls.exceeds_caps(u)).first()
+    got = spark.range(1).select(urls.scheme(u), urls.host(u), urls.pathname(u), urls.path_and_query(u), urls.section(u), urls.variant_key(u), urls.same_key(u), urls.origin(u), urls.file_format(u), domains.in_scope(u, domains.derive_scope("https://e.com", ("com",)), ("com",)), urls.is_unsafe(u), urls.exceeds_caps(u)).first()
     assert tuple(got) == ("https", "www.e.com", "/Blog/Post/index.html", "/Blog/Post/index.html?b=1", "/Blog", "www.e.com/blog/post?b=1", "e.com/Blog/Post/index.html?b=1", "https://www.e.com:8443", "html", True, False, False)
     assert one(spark, urls.pathname(F.lit("https://e.com"))) == "/" and one(spark, urls.pathname(F.lit("no url"))) is None
     assert one(spark, urls.is_unsafe(F.lit("https://e.com/account/log-out"))) and one(spark, urls.exceeds_caps(F.lit("https://e.com/?" + "&".join("abcdefghijk"))))
@@ -377,7 +377,7 @@ def test_listings(run, spark):
     assert (red.hops, red.cross_host, red.to_https, red.kind) == (2, False, True, "chain")
     assert url(explore.drilldown(run.pages, "noindex").withColumn("url", F.col("normalized_url"))) == ["/b"]
     seen = spark.createDataFrame([(f"{BASE}/x", 2, "p", "link"), (f"{BASE}/x", 1, "q", "sitemap"), (f"{BASE}/logout", 1, "p", "link"), ("https://other.org/", 1, "p", "link"), (f"{BASE}/deep", 9, "p", "link")], "url string, depth int, parent_url string, source string")
-    assert [tuple(r) for r in explore.frontier(seen, "e.com", 5).collect()] == [(f"{BASE}/x", 1, "q", ["link", "sitemap"])]
+    assert [tuple(r) for r in explore.frontier(seen, domains.derive_scope("https://e.com", ("com",)), ("com",), 5).collect()] == [(f"{BASE}/x", 1, "q", ["link", "sitemap"])]
 
 
 def test_a_run_holds_a_page_once(spark):
