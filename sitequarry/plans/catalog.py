@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import domains, urls
 from sitequarry.functions import text as tx
-from sitequarry.operators import diff, explore, graph, measurements, metrics, page_rules, scoring, similarity, site_rules
+from sitequarry.operators import cosine, diff, explore, graph, linking, measurements, metrics, page_rules, scoring, similarity, site_rules
 from sitequarry.operators.site_rules import Site
 from sitequarry.plans import derived
 from sitequarry.plans.config import Config
@@ -680,3 +680,68 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of all page rules by host, over the raw pages."""
     issues, _ = page_rules.evaluate(crawl.from_html(crawl.first_pages(Tables(spark, sf_dir).pages)))
     return issues.groupBy(urls.host(F.col("url")).alias("host"), "severity").agg(F.count(F.lit(1)).alias("issues"), F.countDistinct("rule_id").alias("rules"))
+
+
+# ---- internal-link opportunities ----
+
+#: Vectors of pages: sums of five neighbours in the order of their ids, so that close ones are alike.
+BLENDED = "(SELECT page_id, list(x ORDER BY k) AS v FROM (SELECT vec_id - d AS page_id, k, sum(CAST(embedding[k] AS DOUBLE)) AS x FROM embeddings, range(0, 5) r(d), range(1, 65) s(k) WHERE vec_id >= d GROUP BY 1, 2) GROUP BY 1)"
+COSINES = f"b AS MATERIALIZED {BLENDED}, u AS (SELECT x.page_id AS a, y.page_id AS b, list_cosine_similarity(x.v, y.v) AS cosine FROM b x JOIN b y ON x.page_id < y.page_id)"
+
+
+def _blended(t: Tables) -> DataFrame:
+    rows = t.embeddings.select("vec_id", F.posexplode("embedding").alias("k", "x")).select(F.explode(F.sequence(F.col("vec_id") - 4, F.col("vec_id"))).alias("page_id"), "k", F.col("x").cast("double").alias("x")).where("page_id >= 0")
+    return rows.groupBy("page_id", "k").agg(F.sum("x").alias("x")).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("v"))
+
+
+@query(f"WITH {COSINES} SELECT a, b, round(cosine, 6) AS cosine FROM u WHERE cosine >= 0.78 AND cosine < 0.85")
+def cosine_links(t: Tables) -> DataFrame:
+    """Pairs in the band, over all vectors."""
+    classes, _ = cosine.unit_classes(_blended(t), "page_id", "v")
+    pairs, _ = cosine.audited_band(classes)
+    return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query("SELECT 0.9 AS least, true AS reached, 0 AS wrong")
+def cosine_links_audit(t: Tables) -> DataFrame:
+    """Whether the audited recall is what is asked for, and no pair is out of the band."""
+    classes, _ = cosine.unit_classes(_blended(t), "page_id", "v")
+    pairs, _ = cosine.audited_band(classes)
+    report = cosine.audit(classes, pairs)
+    return report.select(F.lit(0.9).cast("decimal(2,1)").alias("least"), (F.col("recall") >= 0.9).alias("reached"), F.col("wrong").cast("int").alias("wrong"))
+
+
+#: Users stand for pages and hours for queries: a view of one at an hour is an impression there.
+SHOWN = "SELECT user_id AS page_id, strftime(ts, '%Y-%m-%d %H') AS query, count(*) AS impressions, avg(value) AS position FROM events GROUP BY 1, 2"
+
+
+def _shown(t: Tables) -> DataFrame:
+    return t.events.groupBy(F.col("user_id").alias("page_id"), F.date_format("ts", "yyyy-MM-dd HH").alias("query")).agg(F.count(F.lit(1)).alias("impressions"), F.avg("value").alias("position"))
+
+
+@query(f"""WITH m AS ({SHOWN}), f AS (SELECT query, page_id AS target_id FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY position, impressions DESC, page_id) = 1)
+SELECT page_id AS source_id, target_id, count(*) AS queries FROM m JOIN f USING (query) WHERE page_id <> target_id GROUP BY 1, 2""")
+def shared_query_pairs(t: Tables) -> DataFrame:
+    return linking.shared_queries(_shown(t))
+
+
+@query(f"""WITH {COSINES}, p AS (SELECT page_id, page_id % 7 <> 0 AS linkable, page_id % 101 AS score, (page_id % 11) / 10.0 AS value FROM b),
+l AS (SELECT DISTINCT page_id AS s, page_id + 1 AS t FROM b WHERE page_id % 3 = 0),
+m AS ({SHOWN}), f AS (SELECT query, page_id AS t FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY position, impressions DESC, page_id) = 1),
+q AS (SELECT page_id AS s, t, count(*) AS queries FROM m JOIN f USING (query) WHERE page_id <> t GROUP BY 1, 2),
+k AS (SELECT a, b, cosine FROM u WHERE cosine >= 0.78 AND cosine < 0.85), c AS (SELECT a AS s, b AS t, cosine FROM k UNION ALL SELECT b, a, cosine FROM k),
+w AS (SELECT coalesce(c.s, q.s) AS s, coalesce(c.t, q.t) AS t, cosine, queries FROM c FULL JOIN q ON c.s = q.s AND c.t = q.t),
+i AS (SELECT t AS page_id, count(*) AS inlinks FROM l GROUP BY 1), o AS (SELECT s AS page_id, count(*) AS outlinks FROM l GROUP BY 1),
+z AS (SELECT w.t AS target_id, w.s AS source_id, cosine, queries,
+  round(0.25 * (1 - ln(1 + least(coalesce(inlinks, 0), 40)) / ln(41)) + 0.2 * pt.value + 0.3 * (0.5 * coalesce(least(1, greatest(0, (cosine - 0.78) / 0.07)), 0) + 0.5 * ((cosine IS NOT NULL)::INT + (coalesce(queries, 0) > 0)::INT) / 3) + 0.15 * (ps.score / 100 / (1 + coalesce(outlinks, 0) / 100)) + 0.1 * 0.25, 6) AS score
+  FROM w JOIN p pt ON pt.page_id = w.t AND pt.linkable JOIN p ps ON ps.page_id = w.s LEFT JOIN i ON i.page_id = w.t LEFT JOIN o ON o.page_id = w.s WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.s = w.s AND l.t = w.t))
+SELECT target_id, source_id, CAST(NULL AS BIGINT) AS mentions, round(cosine, 6) AS cosine, queries, score, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, source_id) AS place FROM z QUALIFY place <= 5""")
+def link_opportunities(t: Tables) -> DataFrame:
+    """The best new sources of every page by similar vectors and shared queries."""
+    vectors = cut(_blended(t))
+    classes, members = cosine.unit_classes(vectors, "page_id", "v")
+    pairs, _ = cosine.audited_band(classes)
+    k = F.col("page_id")
+    pages = vectors.select("page_id", (k % 7 != 0).alias("linkable"), (k % 101).cast("int").alias("score"), ((k % 11) / 10.0).alias("value"))
+    edges = vectors.where(k % 3 == 0).select(k.alias("src"), (k + 1).alias("dst"))
+    return linking.opportunities(pages, edges, similar=linking.both_ways(pairs, members), queries=linking.shared_queries(_shown(t)))
