@@ -13,14 +13,14 @@ depend on the partitions the table is read in, ids don't.
 
 from __future__ import annotations
 
-import os
-import re
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,60 +30,47 @@ from sitequarry.llm.common import cut
 WINDOW, END_ID = 2048, 1
 #: Open windows that a task holds at most (their ids: 8 KB each), and last windows that one task of the second round packs.
 MOST_OPEN, MOST_LAST = 2048, 2048
-#: Known chunks of a worker, the longest that is remembered, and the characters of texts that are encoded at a time.
-MOST_CHUNKS, LONGEST_CHUNK, STRETCH = 400_000, 40, 1 << 19
+END = END_ID.to_bytes(4, "little")
+#: Fixed value: how byte-level tokenizers cut a text before they merge.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()), ("last", pa.bool_())])
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, last boolean"
 
 
-class Chunks:
-    """Ids of texts, by a byte-level tokenizer whose words begin at single spaces.
+def _byte_of() -> dict[str, int]:
+    """The characters by which a byte-level vocabulary writes bytes: printable ones for themselves, the others from 256 on in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
-    A space behind a character that is no white space always begins a word: the chunk from there to the next such space has the
-    same ids wherever it stands, and is remembered.
+
+@lru_cache(maxsize=2)
+def encoding(path: str) -> tiktoken.Encoding:
+    """A byte-level tokenizer file (vocabulary and merges) as ranks, which give the same ids in a third of the time; special strings of the file keep their ids.
+
+    Ids must be ranks: the result of the k-th merge is the next id. That is checked, as is the kind of the file.
     """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    pre = spec["pre_tokenizer"] or {}
+    if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+        raise ValueError(f"{path} isn't a plain byte-level BPE tokenizer")
+    byte, special = _byte_of(), {t["content"]: t["id"] for t in spec["added_tokens"]}
+    vocabulary = spec["model"]["vocab"]
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
+    made = [vocabulary[a + b] for a, b in pairs]
+    if made != list(range(made[0], made[0] + len(made))) if made else False:
+        raise ValueError(f"{path}: ids don't follow the merges")
+    return tiktoken.Encoding(path, pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
 
-    #: Where splitting at every space would be wrong, as the character before one is white space or missing; and the spaces that begin a chunk.
-    ODD, BOUNDARY = re.compile(r"\s |\A "), re.compile(r"(?<=\S) ")
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        #: By chunk without the space that begins it, and of chunks at the begin of a text.
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def split(self, text: str) -> list[str]:
-        """The chunks of a text, without the spaces that begin them."""
-        return self.BOUNDARY.split(text) if self.ODD.search(text) else text.split(" ")
-
-    def _lookup(self, known: dict[str, bytes], wanted: set[str], lead: str) -> dict[str, bytes]:
-        """A table that has all wanted chunks: the remembered one, or one for once where some are too long to remember."""
-        new = [w for w in wanted if w not in known]
-        if not new:
-            return known
-        ids = (np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast([lead + w for w in new], add_special_tokens=False))
-        made = dict(zip(new, ids, strict=True))
-        once = {w: known[w] for w in wanted if w in known} | made if len(known) + len(new) > MOST_CHUNKS or max(map(len, new)) > LONGEST_CHUNK else known
-        if once is not known and len(known) + len(new) > MOST_CHUNKS:
-            known.clear()
-        known.update((w, i) for w, i in made.items() if len(w) <= LONGEST_CHUNK)
-        return once
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text, the end id behind them."""
-        end = np.array([END_ID], "<u4").tobytes()
-        parts = [self.split(t) for t in texts]
-        first = self._lookup(self.first, {p[0] for p in parts}, "")
-        known = self._lookup(self.known, {w for p in parts for w in p[1:]}, " ")
-        return [b"".join([first[p[0]], *[known[w] for w in p[1:]], end]) for p in parts]
 
+def ids_of(own: tiktoken.Encoding, text: str | None) -> bytes:
+    """Packed ids of a text, the end id behind them."""
+    return own.encode_to_numpy(text or "", allowed_special="all").astype("<u4").tobytes() + END
 
-@lru_cache(maxsize=2)
-def chunks(path: str) -> Chunks:
-    return Chunks(path)
+
+_NEVER = np.iinfo(np.int64).max // 2
 
 
 class Packer:
@@ -91,34 +78,38 @@ class Packer:
 
     def __init__(self, window: int = WINDOW, most_open: int = MOST_OPEN) -> None:
         self.window, self.most_open = window, most_open
-        #: Open windows of each fill level; levels 0 and `window` are no open windows and stay 0.
+        #: The level array: open windows of each fill level. Levels 0 and `window` are no open windows and stay 0.
         self.count = np.zeros(window + 1, np.int64)
+        #: What the sum of squares gains if a window leaves this level, where there is one, and if one comes to it; full windows don't count.
+        self.leaves, self.comes = np.full(window + 1, _NEVER), np.ones(window + 1, np.int64)
+        self.comes[window] = 0
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
         self.n_open = 0
 
     def level(self, size: int) -> int:
-        """The fill level that makes the sum of squared counts smallest once a piece of `size` is added; 0 is a new window."""
-        c, w = self.count, self.window
-        # From level g to g + size: -2 c[g] + 1 for the one, 2 c[g + size] + 1 for the other, which a full window has not.
-        change = np.full(w - size + 1, np.iinfo(np.int64).max)
-        if size < w:
-            here = c[1 : w - size + 1]
-            change[1:] = np.where(here > 0, 1 - 2 * here, change[1:])
-            change[1:-1] += np.where(here[:-1] > 0, 2 * c[size + 1 : w] + 1, 0)
-            change[0] = 2 * c[size] + 1
-        return w - size - int(np.argmin(change[::-1]))
+        """The fill level that makes the sum of squared counts smallest once a piece of `size` is added, of equal ones the fullest; 0 is a new window."""
+        change = self.leaves[1 : self.window - size + 1] + self.comes[size + 1 :]
+        if not len(change):
+            return 0
+        best = len(change) - 1 - int(np.argmin(change[::-1]))
+        return best + 1 if change[best] <= self.comes[size] else 0
+
+    def _counted(self, fill: int, by: int) -> None:
+        c = self.count[fill] + by
+        self.count[fill] = c
+        self.leaves[fill] = 1 - 2 * c if c else _NEVER
+        self.comes[fill] = 2 * c + 1
+        self.n_open += by
 
     def _put(self, pieces: list, fill: int) -> list | None:
         if fill == self.window:
             return pieces
         self.open[fill].append(pieces)
-        self.count[fill] += 1
-        self.n_open += 1
+        self._counted(fill, 1)
         return None
 
     def _take(self, fill: int) -> list:
-        self.count[fill] -= 1
-        self.n_open -= 1
+        self._counted(fill, -1)
         return self.open[fill].pop()
 
     def add(self, doc_id: int | None, start: int, ids: bytes, doc_tokens: int) -> Iterator[list]:
@@ -141,8 +132,10 @@ class Packer:
     def pour(self) -> Iterator[list]:
         """Pours the emptiest windows into the fullest until at most one is open; gives the full ones."""
         order = [(fill, p) for fill in range(self.window - 1, 0, -1) for p in self.open[fill]]
-        self.open, self.n_open = [[] for _ in range(self.window + 1)], 0
-        self.count[:] = 0
+        for fill, own in enumerate(self.open):
+            if own:
+                self._counted(fill, -len(own))
+                self.open[fill] = []
         low, high = 0, len(order) - 1
         while low < high:
             (fill, to), (left, source) = order[low], order[high]
@@ -205,21 +198,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (little-endian unsigned 32-bit) if asked for."""
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = chunks(tokenizer)
+        own = encoding(tokenizer)
 
         def pieces() -> Iterator[tuple]:
             for batch in batches:
-                at = 0
-                while at < batch.num_rows:
-                    # so many texts at a time that their ids stay small
-                    texts: list[str] = []
-                    size = 0
-                    while at + len(texts) < batch.num_rows and (not texts or size < STRETCH):
-                        texts.append(batch.column(1)[at + len(texts)].as_py() or "")
-                        size += len(texts[-1])
-                    for k, ids in enumerate(own.ids(texts)):
-                        yield batch.column(0)[at + k].as_py(), 0, ids, len(ids) // 4
-                    at += len(texts)
+                for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                    ids = ids_of(own, text.as_py())
+                    yield doc_id.as_py(), 0, ids, len(ids) // 4
 
         yield from _rows(_packed(pieces(), TaskContext.get().partitionId() << 32, window), with_ids)
 

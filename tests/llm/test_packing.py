@@ -67,26 +67,30 @@ def test_every_id_once_and_one_open_window(sizes, most_open):
         assert [i for _, ids in sorted(parts[k]) for i in ids] == list(range(size))
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab1.,'s \n\t\r\x1c\x85\xa0　é漢😀<|endoftext|>", max_size=60))
-def test_chunks_have_the_ids_of_the_whole_text(text):
-    own = packing.chunks(token_file())
-    library = Tokenizer.from_file(token_file()) if not hasattr(test_chunks_have_the_ids_of_the_whole_text, "lib") else test_chunks_have_the_ids_of_the_whole_text.lib
-    test_chunks_have_the_ids_of_the_whole_text.lib = library
+LIBRARY = Tokenizer.from_file(token_file())
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=40), st.text(alphabet="ab1.,'s \n\t\r\x1c\x85\xa0\u3000é漢😀<|endoftext|>", max_size=60)))
+def test_ids_are_the_library_s(text):
+    own = packing.encoding(token_file())
     for t in (text, " " + text, text + "<|endoftext|> " + text):
-        (got,) = own.ids([t])
-        assert np.frombuffer(got, "<u4").tolist() == ids_of(library, t)
-
-
-def test_forgetting_keeps_ids(library, monkeypatch):
-    monkeypatch.setattr(packing, "MOST_CHUNKS", 20)
-    monkeypatch.setattr(packing, "LONGEST_CHUNK", 4)
-    own = packing.Chunks(token_file())
-    rng = random.Random(2)
-    for _ in range(30):
-        texts = [" ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(0, 30))) for _ in range(3)]
-        assert [np.frombuffer(i, "<u4").tolist() for i in own.ids(texts)] == [ids_of(library, t) for t in texts]
-        assert len(own.known) <= 20 + 90
+        assert np.frombuffer(packing.ids_of(own, t), "<u4").tolist() == ids_of(LIBRARY, t)
+
+
+@pytest.mark.parametrize("text", [" " * 300_000, "z" * 200_000, "\n \t" * 50_000, "é" * 100_000, "1234567890" * 20_000, "!?" * 50_000])
+def test_ids_of_long_runs(text):
+    assert np.frombuffer(packing.ids_of(packing.encoding(token_file()), text), "<u4").tolist() == ids_of(LIBRARY, text)
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    spec = json.loads(open(token_file(), encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            packing.encoding.__wrapped__(str(tmp_path / "t.json"))
 
 
 def _check(rows, pieces, library, window=2048):
