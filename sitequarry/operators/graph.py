@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitequarry.functions import urls
-from sitequarry.plans.lineage import cut
+from sitequarry.plans.lineage import cut, drop_cut
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: int = 100, epsilon: float = 1e-6, fixed: int | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: in
     n = base.count()
     if not n:
         return base.select("id", F.lit(0.0).alias("rank"))
-    now = base.withColumn("rank", F.lit(1.0 / n))
+    now = base.withColumn("rank", F.lit(1.0 / n)).withColumn("change", F.lit(0.0))
     dangling = base.where("leads is null").count() / n
     tiny = sys.float_info.epsilon
     for k in range(fixed or most):
@@ -31,9 +31,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: in
         rank = F.greatest(F.lit(tiny), F.lit((1 - damping) / n + damping * dangling / n) + damping * F.coalesce("gain", F.lit(0.0)))
         after = cut(now.join(gained, "id", "left").select("id", "leads", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change")))
         change, dangling = after.agg(F.max("change"), F.coalesce(F.sum(F.when(F.col("leads").isNull(), F.col("rank"))), F.lit(0.0))).first()
-        now = after.drop("change")
+        drop_cut(now)
+        now = after
         if not fixed and change < epsilon:
             break
+    for one in (links, base):
+        drop_cut(one)
     return now.select("id", "rank")
 
 
@@ -69,7 +72,7 @@ def simple_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
-    """(id, component): the smallest id that links reach, by rounds in which every node takes the least label around it and its label's label."""
+    """(id, component): the smallest id that links reach, by rounds in which every node takes the least label around it and its label's label. Each round replaces the one before."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
     now = cut(nodes.select("id", F.col("id").alias("component")))
@@ -78,10 +81,11 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
         step = now.join(around, "id", "left").select("id", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         jump = step.join(step.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left")
         after = cut(jump.select("id", F.least("component", "up").alias("component"), "was"))
-        moved = after.where("component != was").limit(1).count()
-        now = after.select("id", "component")
-        if not moved:
-            return now
+        drop_cut(now)
+        now = after
+        if not after.where("component != was").limit(1).count():
+            drop_cut(both)
+            return now.select("id", "component")
     raise RuntimeError("components: not done")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -52,32 +54,123 @@ def with_signature(pages: DataFrame, shingle_size: int = 5, size: int = 128) ->
     return pages.withColumn("sig", run("text"))
 
 
-def candidates(signed: DataFrame, size: int = 128, rows: int = 8) -> DataFrame:
-    """Pairs (a, b), a < b, that share a band of `rows` places (one band if the size isn't a multiple)."""
-    bands = size // rows if size % rows == 0 else 1
-    width = rows if size % rows == 0 else size
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * width + 1, width)))
-    banded = signed.where("sig is not null").select("id", F.explode(keys).alias("key"))
-    # buckets of one page make no pair: dropped by a count that is combined before the shuffle
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    kept = banded.join(shared, "key")
-    return kept.select(F.col("id").alias("a"), "key").join(kept.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
+def bands_of(size: int, threshold: float, recall: float = 0.98) -> tuple[int, int]:
+    """(bands, rows) of a signature: the most rows for which a pair at the threshold shares a band with this probability."""
+    rows = next((r for r in range(size, 1, -1) if 1 - (1 - threshold**r) ** (size // r) >= recall), 1)
+    return size // rows, rows
+
+
+def signature_classes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): one row (id, sig) for each different signature, id the least of its pages; (member, id) for each page. Copies with equal signatures are told once from here on."""
+    kept = signed.where("sig is not null")
+    classes = cut(kept.groupBy("sig").agg(F.min("id").alias("id")).select("id", "sig"))
+    return classes, kept.select(F.col("id").alias("member"), "sig").join(classes, "sig").select("member", "id")
+
+
+def _places(sig: pa.ChunkedArray) -> np.ndarray:
+    rows = sig.combine_chunks()
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.uint32).reshape(len(rows), -1)
+
+
+def _same(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Equal places of each row of one with each of two."""
+    out = np.zeros((len(one), len(two)), np.int16)
+    for k in range(one.shape[1]):
+        out += one[:, k, None] == two[None, :, k]
+    return out
+
+
+def _blocks(rows: DataFrame, group: list[str], block: int) -> DataFrame:
+    """rows(id, *group, ...) of groups of any size, dealt by a hash of the id into blocks, once for each pair of blocks (one <= two) of their group."""
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other")).drop("other", "blocks")
+
 
+def _link_block(least: int) -> Callable[[pa.Table], pa.Table]:
+    """Of two blocks of a bucket: links (a, b) between components, no more than would join them all."""
 
-def near_duplicates(pages: DataFrame, size: int = 5, threshold: float = 0.75, signature_size: int = 128) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, part, sig = table["id"].to_pylist(), table["part"].to_numpy(), _places(table["sig"])
+        names, component = np.unique(np.array(table["component"].to_pylist(), object), return_inverse=True)
+        root = np.arange(len(names))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        left, right = np.flatnonzero(part == table["one"][0].as_py()), np.flatnonzero(part == table["two"][0].as_py())
+        made: list[tuple] = []
+        for at in range(0, len(left), 256):
+            own = left[at : at + 256]
+            i, j = np.nonzero((component[own][:, None] != component[right][None, :]) & (_same(sig[own], sig[right]) >= least))
+            for a, b in zip(own[i], right[j], strict=True):
+                x, y = find(component[a]), find(component[b])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    made.append((ids[a], ids[b]))
+        return pa.table({"a": pa.array([a for a, _ in made], table["id"].type), "b": pa.array([b for _, b in made], table["id"].type)})
+
+    return run
+
+
+def _least_block(table: pa.Table) -> pa.Table:
+    """Of two blocks of a cluster: the least number of equal places of two of its classes."""
+    part, sig = table["part"].to_numpy(), _places(table["sig"])
+    left, right = np.flatnonzero(part == table["one"][0].as_py()), np.flatnonzero(part == table["two"][0].as_py())
+    low = min((int(_same(sig[left[at : at + 256]], sig[right]).min()) for at in range(0, len(left) if len(right) else 0, 256)), default=sig.shape[1])
+    return pa.table({"component": table["component"][:1], "low": pa.array([low], pa.int32())})
+
+
+def linked_classes(classes: DataFrame, threshold: float, size: int = 128, rows: int | None = None, block: int = 1024) -> DataFrame:
+    """(id, component) of classes(id, sig): connected by pairs that share a band and whose estimate reaches the threshold; classes without a link don't appear.
+
+    A bucket's members are first verified against its least member, which makes one row a member, and joined. Only buckets that
+    still hold several components are compared whole, in blocks, between components; each pair of blocks gives no more links
+    than join its components. So rows grow with the members of buckets, never with their pairs.
+    """
+    bands, width = (size // rows, rows) if rows else bands_of(size, threshold)
+    least = math.ceil(threshold * size - 1e-9)
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * width + 1, width)))
+    banded = classes.select("id", F.explode(keys).alias("key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
+    kept = cut(banded.join(shared, "key"))
+    star = _estimated(kept.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), classes, size).where(F.col("estimate") >= threshold - 1e-9)
+    edges = cut(star.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    once = components(classes.select("id"), edges)
+    named = kept.select("id", "key").join(once, "id")
+    apart = named.groupBy("key").agg((F.min("component") != F.max("component")).alias("apart")).where("apart").select("key")
+    open_ = _blocks(named.join(apart, "key").join(classes, "id"), ["key"], block)
+    kind = classes.schema["id"].dataType.simpleString()
+    more = open_.groupBy("key", "one", "two").applyInArrow(_link_block(least), f"a {kind}, b {kind}")
+    edges = cut(edges.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    return components(nodes, edges)
+
+
+def near_duplicates(pages: DataFrame, size: int = 5, threshold: float = 0.75, signature_size: int = 128, rows: int | None = None, block: int = 1024) -> DataFrame:
     """Clusters of near-duplicate pages(id, text, word_count, content_hash): (cluster_id, id, similarity), similarity the least estimate between two of a cluster.
 
-    Pages whose text recurs, and pages of fewer words than a shingle, are left out.
+    Pages whose text recurs, and pages of fewer words than a shingle, are left out. rows: of a band; as many as keep the recall
+    of a pair at the threshold at 0.98 where not given.
     """
     repeated = pages.where("word_count > 0").groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("content_hash")
     kept = pages.where(F.col("word_count") >= size).join(repeated, "content_hash", "left_anti").select("id", "text")
     signed = cut(with_signature(spread(kept), size, signature_size).select("id", "sig"))
-    pairs = cut(_estimated(candidates(signed, signature_size), signed, signature_size).where(F.col("estimate") >= threshold))
-    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    members = cut(components(nodes, pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    inside = members.select(F.col("id").alias("a"), "component").join(members.select(F.col("id").alias("b"), "component"), "component").where("a < b")
-    least = _estimated(inside.select("a", "b", "component"), signed, signature_size).groupBy("component").agg(F.min("estimate").alias("m"))
-    return members.join(least, "component").select(F.col("component").alias("cluster_id"), "id", tx.round_half_up(F.col("m"), 3).alias("similarity"))
+    classes, members = signature_classes(signed)
+    members = cut(members)
+    linked = cut(linked_classes(classes, threshold, signature_size, rows, block))
+    # Pages of one signature are a cluster even without another class.
+    alone = members.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id").join(linked, "id", "left_anti").select("id", F.col("id").alias("component"))
+    clusters = cut(linked.unionByName(alone))
+    signs = clusters.join(classes, "id")
+    low = _blocks(signs, ["component"], block).groupBy("component", "one", "two").applyInArrow(_least_block, f"component {clusters.schema['component'].dataType.simpleString()}, low int")
+    low = low.groupBy("component").agg(F.min("low").alias("low"))
+    named = members.join(clusters, "id").join(low, "component")
+    return named.select(F.col("component").alias("cluster_id"), F.col("member").alias("id"), tx.round_half_up(F.col("low") / F.lit(float(signature_size)), 3).alias("similarity"))
 
 
 def _estimated(pairs: DataFrame, signed: DataFrame, size: int) -> DataFrame:
