@@ -55,12 +55,16 @@ def settled(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files of a cut() that nothing reads any longer."""
     path = getattr(df, "_cut_path", None)
     if path:
-        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        drop_path(df.sparkSession, path)
 
 
 def spread(df: DataFrame) -> DataFrame:
