@@ -1,15 +1,16 @@
 """Main-text extraction by line-block distribution.
 
-Markup is stripped to lines, one for each block of text; a boundary of a container leaves an empty line, that of the marked
+Markup is stripped to lines, one for each block of text; a boundary of a container leaves an empty line, that of a marked
 article a window of them. A line weighs its characters outside links. Lines in elements, roles or named parts that belong to
-the page and not to its article (menus, forms, comments and the like) are stripped as markup. A mark (article, main, or their
-role) is a prior, no verdict: a line inside weighs MARKED times its characters and a floor, links included.
+the page and not to its article (menus, forms, comments, adverts and the like) are stripped as markup. In a marked article
+(article, main, or their role) a line that has any weight weighs BONUS times its characters and LIFT more: so much and no more.
 
 Weights are summed over sliding windows of WINDOW lines. Lines between windows of nothing are a run. A run counts where a sum
-surges to the threshold; its text begins where the weight rises and ends where it dives to nothing, less the containers at
-either end that hold no surge of their own. The threshold follows the largest sum of the page, within fixed limits. So text
-beside a marked article - adverts, notices, captions of the layout - is left out because its windows don't surge beside the
-article's, and a page whose text stands outside a tiny marked card keeps it.
+surges to the threshold, a share of the page's largest sum up to a limit; its text begins where the weight rises and ends where it dives to
+nothing. So a teaser, a notice or an unnamed advert beside the article goes because its windows don't surge beside the
+article's, a list of links at the end of an article goes because it has no weight, and a page whose text stands outside a small
+marked card keeps it. Outside marks the containers at either end of a run go that hold no surge, no title and no sentence, and
+so do copyright lines.
 
 Defined results: null and empty pages give the empty text; character references are decoded as HTML does, within one text
 node, without the semicolon too; white space in a block becomes one space; blocks are joined by a newline; an element left open
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 
 from sitequarry.llm.common import per_text
 
-#: Lines of a window, the most that a surge asks of a page without marks, its share of the page's largest sum, with and without marks.
-WINDOW, THRESHOLD, SHARE, MARKED_SHARE = 3, 80, 0.5, 0.125
-#: The prior of a marked article: its lines weigh so many times (characters + floor).
-MARKED, FLOOR = 64, 80
+#: Lines of a window; the share of the page's largest sum that a surge reaches, and the limit of that, without and with marks.
+WINDOW, SHARE, LIMIT, MARKED_SHARE, MARKED_LIMIT = 3, 0.5, 80, 0.4, 3000
+#: What a mark gives a line of weight: so many times its characters, and so many more.
+BONUS, LIFT = 8, 100
 #: Elements whose boundaries leave an empty line.
 CONTAINERS = frozenset("div section table td main header footer nav aside form figure center details fieldset".split())
 BLOCKS = frozenset(
@@ -40,10 +41,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "textarea", "iframe", "noembed", "noframes", "xmp", "noscript", "template", "svg", "math", "object", "canvas", "select", "button", "audio", "video")
 ASIDE = frozenset("nav footer aside form dialog menu head title fieldset label datalist dir".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form note tablist".split())
-#: Names (class or id) of parts that are never the article.
-_PARTS = re.compile(r"^(?:comments?|comment-?(?:list|section|area)|disqus(?:[_-]thread)?|respond|replies|side-?bar|breadcrumbs?|cookie-?(?:banner|bar|consent|notice)|newsletter(?:-signup)?|share-?(?:bar|buttons|links)|related-?(?:articles|posts|links|stories)?|site-?(?:header|footer|nav)|nav-?(?:bar|menu)|pagination|skip-link)$", re.IGNORECASE)
-#: Names of adverts and notices: asked inside a marked article and on pages that mark none; elsewhere their windows tell.
-_ADVERTS = re.compile(r"^(?:ads?|ad-?(?:box|banner|slot|unit|container|wrapper)|adverts?|advertisements?|adsbygoogle|sponsored|promo|popup|modal|notice|alert|banner|menu)$", re.IGNORECASE)
+#: Words of a name (class or id) that say a part is no article, and whole names.
+_WORDS = frozenset("comment comments disqus replies sidebar breadcrumb breadcrumbs cookie cookies newsletter pagination ad ads advert adverts advertisement advertisements adsbygoogle sponsored".split())
+_NAMES = re.compile(r"^(?:respond|side-?bar|share-?(?:bar|buttons|links)|related-?(?:articles|posts|links|stories)?|site-?(?:header|footer|nav)|nav-?(?:bar|menu)|skip-link)$", re.IGNORECASE)
+_APART = re.compile(r"[-_]+")
+#: A line that is a sentence, and one that states a copyright.
+_SENTENCE = re.compile(r"[.!?\u2026\u3002]['\")\]\u2019\u201d\u00bb]*$")
+_COPYRIGHT = re.compile(r"^(?:\u00a9|\(c\)|copyright\b|all rights reserved)", re.IGNORECASE)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
@@ -55,47 +59,52 @@ def _attributes(text: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _kind(name: str, attributes: str, in_article: bool) -> int:
-    """STRIPPED for an element that is not part of the article, ADVERT if only its name says so, else 0."""
+def _stripped(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is no part of the article."""
     if name in ASIDE or (name == "header" and not in_article):
-        return STRIPPED
+        return True
     if not attributes or name in ("html", "body", "article", "main"):
-        return 0
+        return False
     a = _attributes(attributes)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES:
-        return STRIPPED
+        return True
     names = f"{a.get('class', '')} {a.get('id', '')}".split()
-    return STRIPPED if any(map(_PARTS.match, names)) else ADVERT if any(map(_ADVERTS.match, names)) else 0
-
-
-ADVERT, STRIPPED = 1, 2
+    return any(_NAMES.match(n) or _WORDS.intersection(_APART.split(n.lower())) for n in names)
 
 
 class Line(NamedTuple):
-    """A block's text, its characters outside links, whether it stands in an advert by name, and inside a marked article; a title counts as a surge of its own."""
+    """A block's text, its characters outside links, and whether it stands inside a marked article; a title counts as a surge of its own."""
 
     text: str
     plain: int
-    advert: bool
     inside: bool
     title: bool
 
+    @property
+    def weight(self) -> int:
+        return BONUS * self.plain + LIFT if self.inside and self.plain else self.plain
+
+    @property
+    def furniture(self) -> bool:
+        """Nothing that a text begins or ends with, unless it surges."""
+        return not _SENTENCE.search(self.text) or bool(_COPYRIGHT.search(self.text))
+
 
 def lines_of(html: str) -> tuple[list[Line | None], bool]:
     """The lines that are not stripped, None for an empty line, and whether the page marks an article."""
     out: list[Line | None] = []
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, bool, bool]] = []
     opened: dict[str, int] = {}
     parts: list[str] = []
     at, marked, linked = 0, False, 0
-    beside, inside = 0, False
+    beside, inside = False, False
 
     def flush(title: bool = False) -> None:
         nonlocal linked
         if parts:
             line = " ".join("".join(parts).split())
-            if line and beside != STRIPPED:
-                out.append(Line(line, max(0, len(line) - linked), beside == ADVERT, inside, title))
+            if line and not beside:
+                out.append(Line(line, max(0, len(line) - linked), inside, title))
             parts.clear()
             linked = 0
 
@@ -153,13 +162,13 @@ def lines_of(html: str) -> tuple[list[Line | None], bool]:
             continue
         stack.append((name, beside, inside))
         opened[name] = opened.get(name, 0) + 1
-        kind = _kind(name, attributes, inside)
+        kind = _stripped(name, attributes, inside)
         article = not beside and not kind and (name in ("article", "main") or 'role="main"' in attributes or 'itemprop="articleBody"' in attributes)
         if name in CONTAINERS or (article and not inside):
             gap(WINDOW if article else 1)
         if article:
             inside = marked = True
-        beside = max(beside, kind)
+        beside = beside or kind
     text(html[at:])
     flush()
     return out, marked
@@ -178,19 +187,21 @@ def runs(weights: list[int]) -> list[tuple[int, int]]:
 
 
 def _trimmed(lines: list[Line | None], weights: list[int], first: int, last: int, threshold: float) -> tuple[int, int]:
-    """The run without the containers at either end that hold no surge and no title."""
+    """The run without the containers at either end that are page furniture: no title, no sentence, and no surge unless of a copyright."""
 
     def group(i: int, step: int) -> tuple[int, bool]:
-        """The place behind the container that i is in, and whether the container holds a surge."""
+        """The place behind the container that i is in, and whether it stays."""
         own: list[int] = []
-        while first <= i <= last and lines[i] is not None:
-            if lines[i].title or lines[i].inside:
+        stays = False
+        while first <= i <= last and (line := lines[i]) is not None:
+            if line.title or line.inside:
                 return i, True
-            own.append(weights[i])
+            stays = stays or not line.furniture
+            own.append(0 if _COPYRIGHT.search(line.text) else weights[i])
             i += step
         while first <= i <= last and lines[i] is None:
             i += step
-        return i, any(sum(own[k : k + WINDOW]) >= threshold for k in range(len(own)))
+        return i, stays or any(sum(own[k : k + WINDOW]) >= threshold for k in range(len(own)))
 
     while first < last and (after := group(first, 1))[0] <= last and not after[1]:
         first = after[0]
@@ -204,14 +215,16 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     lines, marked = lines_of(html)
-    lines = [None if x is not None and x.advert and (x.inside or not marked) else x for x in lines]
-    weights = [0 if x is None else MARKED * (len(x.text) + FLOOR) if x.inside else x.plain for x in lines]
+    weights = [0 if x is None else x.weight for x in lines]
+    if marked:
+        # A title that is a link has no weight of its own; beside its article it belongs to it.
+        weights = [w or (LIFT if x is not None and x.title and x.inside else 0) for w, x in zip(weights, lines, strict=True)]
     sums, window = [0] * len(lines), 0
     for i in reversed(range(len(lines))):
         window += weights[i] - (weights[i + WINDOW] if i + WINDOW < len(lines) else 0)
         sums[i] = window
     peak = max(sums, default=0)
-    threshold = min(MARKED * FLOOR, peak * MARKED_SHARE) if marked else min(THRESHOLD, peak * SHARE)
+    threshold = min(MARKED_LIMIT, peak * MARKED_SHARE) if marked else min(LIMIT, peak * SHARE)
     kept = []
     for first, last in runs(weights):
         if max(sums[first : last + 1]) >= threshold:

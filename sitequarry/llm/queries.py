@@ -91,9 +91,9 @@ p AS (SELECT page_id, unnest(string_split(h, chr(10))) AS x, generate_subscripts
 d AS (SELECT page_id, i, x = chr(2) AS opens, x = chr(4) AS closes, x = chr(3) AS blank,
   trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', chr(1), 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), chr(1), ''), '\s+', ' ', 'g')) AS x FROM p),
 g AS (SELECT *, sum(opens::INT - closes::INT) OVER (PARTITION BY page_id ORDER BY i) > 0 AS inside FROM d),
-l AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS i, x, CASE WHEN blank THEN 0 WHEN inside THEN 64 * (length(x) + 80) ELSE length(x) END AS w FROM g WHERE blank OR (x <> '' AND NOT opens AND NOT closes)),
+l AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS i, x, CASE WHEN blank THEN 0 WHEN inside THEN 8 * length(x) + 100 ELSE length(x) END AS w FROM g WHERE blank OR (x <> '' AND NOT opens AND NOT closes)),
 w AS (SELECT *, sum(w) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS sums FROM l),
-t AS (SELECT page_id, least(64 * 80, max(sums) * 0.125) AS threshold FROM w GROUP BY 1),
+t AS (SELECT page_id, least(3000, max(sums) * 0.4) AS threshold FROM w GROUP BY 1),
 f AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY page_id ORDER BY i) <= 3 THEN 0 ELSE 1 END AS fresh FROM w WHERE w > 0),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY i) AS run FROM f),
 k AS (SELECT page_id, run, min(i) AS a, string_agg(x, chr(10) ORDER BY i) AS x FROM r JOIN t USING (page_id) GROUP BY page_id, run, threshold HAVING max(sums) >= threshold),
