@@ -41,8 +41,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "textarea", "iframe", "noembed", "noframes", "xmp", "noscript", "template", "svg", "math", "object", "canvas", "select", "button", "audio", "video")
 ASIDE = frozenset("nav footer aside form dialog menu head title fieldset label datalist dir".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form note tablist".split())
-#: Words of a name (class or id) that say a part is no article, and whole names.
+#: Words of a name (class or id) that say a part is no article, words that say it only has such a part, and whole names.
 _WORDS = frozenset("comment comments disqus replies sidebar breadcrumb breadcrumbs cookie cookies newsletter pagination ad ads advert adverts advertisement advertisements adsbygoogle sponsored".split())
+_HOLDS = frozenset("has have with without no and layout page wrapper".split())
 _NAMES = re.compile(r"^(?:respond|side-?bar|share-?(?:bar|buttons|links)|related-?(?:articles|posts|links|stories)?|site-?(?:header|footer|nav)|nav-?(?:bar|menu)|skip-link)$", re.IGNORECASE)
 _APART = re.compile(r"[-_]+")
 #: A line that is a sentence, and one that states a copyright.
@@ -69,7 +70,7 @@ def _stripped(name: str, attributes: str, in_article: bool) -> bool:
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES:
         return True
     names = f"{a.get('class', '')} {a.get('id', '')}".split()
-    return any(_NAMES.match(n) or _WORDS.intersection(_APART.split(n.lower())) for n in names)
+    return any(_NAMES.match(n) or (_WORDS.intersection(words := _APART.split(n.lower())) and not _HOLDS.intersection(words)) for n in names)
 
 
 class Line(NamedTuple):
