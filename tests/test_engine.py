@@ -640,3 +640,13 @@ def test_queries_equal_their_sql(spark):
         a = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=key)
         b = sorted((tuple(norm(r[i]) for i in at) for r in want.fetchall()), key=key)
         assert a == b, name
+
+
+def test_known_schema_types():
+    """Every listed type is known, with a profile or without; invented ones with familiar endings are not."""
+    assert len(schema_org.KNOWN) > 200
+    status = lambda kind: schema_org.validate([kind], {"name": "x"})["status"]
+    assert {status(k) for k in schema_org.KNOWN - set(schema_org.PARENT) - set(schema_org.PROFILES)} == {"known-type"}
+    assert {status(k) for k in ("FooPage", "BananaAction", "MyCustomSet", "Prodcut", "page", "WebPages", "")} == {"unknown-type"}
+    assert {status(k) for k in (*schema_org.PARENT, *schema_org.PROFILES)} <= {"valid", "incomplete"}
+    assert schema_org.validate(["Nonsense", "Zoo"], {})["status"] == "known-type"
