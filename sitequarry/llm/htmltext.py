@@ -43,7 +43,7 @@ ASIDE = frozenset("nav footer aside form dialog menu head title fieldset label d
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form note tablist".split())
 #: Words of a name (class or id) that say a part is no article, words that say it only has such a part, and whole names.
 _WORDS = frozenset("comment comments disqus replies sidebar breadcrumb breadcrumbs cookie cookies newsletter pagination ad ads advert adverts advertisement advertisements adsbygoogle sponsored".split())
-_HOLDS = frozenset("has have with without no and layout page wrapper".split())
+_HOLDS = frozenset("has have with without no".split())
 _NAMES = re.compile(r"^(?:respond|side-?bar|share-?(?:bar|buttons|links)|related-?(?:articles|posts|links|stories)?|site-?(?:header|footer|nav)|nav-?(?:bar|menu)|skip-link)$", re.IGNORECASE)
 _APART = re.compile(r"[-_]+")
 #: A line that is a sentence, and one that states a copyright.
