@@ -1,16 +1,12 @@
-"""The event log as a stream: replay, rollups by minute, sessions, and two stateful detectors.
+"""The event log as a stream: replay, rollups by minute, sessions, and the detectors over tables; those over streams are in states.
 
 The same functions of columns run on batch and stream frames; on a stream they carry a watermark, so state stays bounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 EVENT = "seq long, run_id string, kind string, at timestamp, url string, status_code int, message string, detail map<string, string>"
@@ -71,23 +67,6 @@ def calibration(samples: DataFrame, key: str = "run_id", order: str = "seq", gai
     return out.withColumn("stop", (F.col("samples") >= first) & (F.col("without_gain") / F.col("samples") >= least))
 
 
-def calibration_stream(samples: DataFrame, first: int = 10, least: float = 0.9) -> DataFrame:
-    """The same on a stream of (run_id, seq, gained): one row for a run when its tenth sample has come; state is two counters."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, lost = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for gained in rows["gained"]:
-            if n >= first:
-                break
-            n, lost = n + 1, lost + (0 if gained else 1)
-            if n == first:
-                yield pd.DataFrame({"run_id": [key[0]], "samples": [n], "without_gain": [lost], "stop": [lost / n >= least]})
-        state.update((n, lost))
-
-    return samples.groupBy("run_id").applyInPandasWithState(step, "run_id string, samples long, without_gain long, stop boolean", "n long, lost long", "append", GroupStateTimeout.NoTimeout)
-
-
 def auth_loss(events: DataFrame) -> DataFrame:
     """The first 401 or 403 of a run after a success: the session was lost."""
     ok = F.min(F.when(F.col("status_code").between(200, 299), F.col("seq"))).over(Window.partitionBy("run_id"))
@@ -95,22 +74,6 @@ def auth_loss(events: DataFrame) -> DataFrame:
     return lost.groupBy("run_id").agg(F.min("seq").alias("seq"), F.min_by("url", "seq").alias("url"))
 
 
-def auth_loss_stream(events: DataFrame) -> DataFrame:
-    """The same on a stream: one warning a run; state is two flags."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ok, warned = state.get if state.exists else (False, False)
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if 200 <= r.status_code <= 299:
-                ok = True
-            elif r.status_code in (401, 403) and ok and not warned:
-                warned = True
-                yield pd.DataFrame({"run_id": [key[0]], "seq": [r.seq], "url": [r.url]})
-        state.update((ok, warned))
-
-    return events.where(F.col("status_code").isNotNull()).groupBy("run_id").applyInPandasWithState(step, "run_id string, seq long, url string", "ok boolean, warned boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def held_failures(events: DataFrame) -> DataFrame:
     """Failures of URLs that never succeeded later."""
     good = events.where("kind = 'page'").select("run_id", "url", F.col("seq").alias("ok_seq"))
@@ -122,11 +85,6 @@ def latest_state(events: DataFrame, key: str, state: str, order: str) -> DataFra
     return events.groupBy(key).agg(F.max_by(state, order).alias(state), F.max(order).alias(order))
 
 
-def queue_positions(jobs: DataFrame) -> DataFrame:
-    """Waiting jobs by priority, then age."""
-    return jobs.where("status = 'queued'").withColumn("place", F.row_number().over(Window.orderBy(F.col("priority").desc(), "submitted_at", "job_id")))
-
-
 def replay(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over what there is now into a table in memory, for small results, and reads it."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
