@@ -15,7 +15,7 @@ from sitequarry.operators.site_rules import Site
 from sitequarry.plans import derived
 from sitequarry.plans.config import Config
 from sitequarry.plans.lineage import cut
-from sitequarry.sources import crawl, sinks, site_files
+from sitequarry.sources import crawl, sinks, site_files, sitemaps
 from sitequarry.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -656,20 +656,60 @@ def nation_revenue(t: Tables) -> DataFrame:
 
 # ---- stored site files ----
 
-ROBOTS = ((1, "User-agent: GPTBot\nDisallow: /\n\nUser-agent: *\nDisallow: /private\nAllow: /private/ok\n"), (2, "User-agent: *\nDisallow:\n"), (3, "User-agent: CCBot\nUser-agent: ClaudeBot\nDisallow: /x\n"))
+#: robots.txt of the pages, by turns of the id.
+ROBOTS = ("User-agent: GPTBot\nDisallow: /\n\nUser-agent: *\nDisallow: /private\nAllow: /private/ok\n", "User-agent: *\nDisallow:\n", "User-agent: CCBot\nUser-agent: ClaudeBot\nDisallow: /x\n")
 
 
-@query("SELECT host, agent, access FROM (VALUES (1, 'GPTBot', 'blocked'), (1, 'CCBot', 'partly blocked'), (1, 'ClaudeBot', 'partly blocked'), (1, 'ChatGPT-User', 'ignores robots.txt'), (2, 'GPTBot', 'allowed'), (2, 'CCBot', 'allowed'), (2, 'ClaudeBot', 'allowed'), (2, 'ChatGPT-User', 'ignores robots.txt'), (3, 'GPTBot', 'allowed'), (3, 'CCBot', 'partly blocked'), (3, 'ClaudeBot', 'partly blocked'), (3, 'ChatGPT-User', 'ignores robots.txt')) v(host, agent, access)")
+def _robots(t: Tables) -> DataFrame:
+    return t.pages.select(F.col("page_id").cast("string").alias("host"), F.element_at(F.array(*map(F.lit, ROBOTS)), (F.col("page_id") % 3 + 1).cast("int")).alias("body"))
+
+
+@query("""SELECT CAST(page_id AS VARCHAR) AS host, agent, CASE WHEN agent = 'ChatGPT-User' THEN 'ignores robots.txt' WHEN page_id % 3 = 0 AND agent = 'GPTBot' THEN 'blocked' WHEN page_id % 3 = 0 OR page_id % 3 = 2 AND agent IN ('CCBot', 'ClaudeBot') THEN 'partly blocked' ELSE 'allowed' END AS access
+FROM pages, (VALUES ('GPTBot'), ('CCBot'), ('ClaudeBot'), ('ChatGPT-User')) a(agent)""")
 def robots_verdicts(t: Tables) -> DataFrame:
-    bodies = t.spark.createDataFrame(list(ROBOTS), "host int, body string")
-    return site_files.ai_access(site_files.parse_robots(bodies), t.spark).where(F.col("agent").isin("GPTBot", "CCBot", "ClaudeBot", "ChatGPT-User")).select("host", "agent", "access")
+    return site_files.ai_access(site_files.parse_robots(_robots(t)), t.spark).where(F.col("agent").isin("GPTBot", "CCBot", "ClaudeBot", "ChatGPT-User")).select("host", "agent", "access")
+
+
+@query("""SELECT CAST(page_id AS VARCHAR) AS host, "group", agent, directive, value, line FROM pages JOIN (VALUES
+  (0, 0, 'gptbot', 'user-agent', 'GPTBot', 1), (0, 0, 'gptbot', 'disallow', '/', 2), (0, 1, '*', 'user-agent', '*', 4), (0, 1, '*', 'disallow', '/private', 5), (0, 1, '*', 'allow', '/private/ok', 6), (1, 0, '*', 'user-agent', '*', 1), (1, 0, '*', 'disallow', '', 2),
+  (2, 0, 'ccbot', 'user-agent', 'CCBot', 1), (2, 0, 'claudebot', 'user-agent', 'ClaudeBot', 2), (2, 0, 'ccbot', 'disallow', '/x', 3), (2, 0, 'claudebot', 'disallow', '/x', 3)) r(k, "group", agent, directive, value, line) ON k = page_id % 3""")
+def robots_rules(t: Tables) -> DataFrame:
+    return site_files.parse_robots(_robots(t))
+
+
+def _sitemaps(t: Tables) -> DataFrame:
+    """Sitemaps of a hundred pages each, s0, s1, ..., and a tree of indexes over them: i0 is the root, each lists its sitemap, up to four further indexes, and the root again."""
+    url = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    number = F.expr("page_id div 100")
+    entry = F.concat(F.lit("<url><loc>"), url, F.lit("</loc><priority>0.5</priority></url>"))
+    bodies = t.pages.select(number.alias("k"), F.struct("page_id", entry.alias("e")).alias("e")).groupBy("k").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    maps = bodies.select(F.concat(F.lit("s"), "k").alias("url"), F.concat(F.lit("<?xml version='1.0'?><urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>"), F.array_join(F.transform("e", lambda e: e["e"]), ""), F.lit("</urlset>")).alias("content"))
+    numbers = bodies.select("k")
+    listed = numbers.select("k", F.explode(F.expr("transform(sequence(1, 4), x -> 4 * k + x)")).alias("child")).join(numbers.select(F.col("k").alias("child")), "child").groupBy("k").agg(F.array_sort(F.collect_list("child")).alias("more"))
+    names = F.concat(F.array(F.concat(F.lit("s"), "k")), F.transform(F.coalesce("more", F.array().cast("array<long>")), lambda x: F.concat(F.lit("i"), x)), F.array(F.lit("i0")))
+    indexes = numbers.join(listed, "k", "left").select(F.concat(F.lit("i"), "k").alias("url"), F.concat(F.lit("<sitemapindex>"), F.array_join(F.transform(names, lambda n: F.concat(F.lit("<sitemap><loc>"), n, F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("content"))
+    return maps.unionByName(indexes)
+
+
+@query("""WITH e AS (SELECT url AS loc, 's' || page_id // 100 AS source_sitemap, CAST(floor(ln(3 * (page_id // 100) + 1) / ln(4) + 1e-9) AS INT) + 1 AS level, row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) - 1 AS input_order FROM pages)
+SELECT loc, source_sitemap, level, input_order FROM e QUALIFY row_number() OVER (PARTITION BY loc ORDER BY level, source_sitemap, input_order) = 1""")
+def sitemap_listings(t: Tables) -> DataFrame:
+    """Every listed location, found through indexes of any depth that lead back to the root."""
+    return sitemaps.discover(_sitemaps(t), ["i0"]).select("loc", "source_sitemap", "level", "input_order")
+
+
+@query("""WITH n AS (SELECT DISTINCT page_id // 100 AS k FROM pages), c AS (SELECT p.k, count(*) AS more FROM n p JOIN n ON n.k BETWEEN 4 * p.k + 1 AND 4 * p.k + 4 GROUP BY 1)
+SELECT 's' || page_id // 100 AS url, 'urlset' AS kind, count(*) AS entries, 0 AS children, count(*) - count(DISTINCT url) AS repeated FROM pages GROUP BY 1 UNION ALL SELECT 'i' || k, 'index', 0, 2 + coalesce(more, 0), 0 FROM n LEFT JOIN c USING (k)""")
+def sitemap_files(t: Tables) -> DataFrame:
+    return sitemaps.per_file(sitemaps.parse(_sitemaps(t))).drop("error")
 
 
-@query("SELECT 4 AS total, 3 AS with_lastmod, 1 AS invalid, 'suspect-invalid' AS verdict")
+@query("""WITH o AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN 'yesterday' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS lastmod FROM orders)
+SELECT count(*) AS total, count(lastmod) AS with_lastmod, count(*) FILTER (lastmod = 'yesterday') AS invalid, count(DISTINCT lastmod) AS distinct_values, CASE WHEN count(*) FILTER (lastmod = 'yesterday') > 0 THEN 'suspect-invalid' ELSE 'partial' END AS verdict FROM o""")
 def sitemap_lastmod_verdict(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-02-01T10:00:00Z"), ("c", "yesterday"), ("d", None)], "loc string, lastmod string")
-    out = site_files.lastmod_trust(rows, F.lit("2024-06-01").cast("timestamp"))
-    return out.select(F.col("total").cast("int").alias("total"), F.col("with_lastmod").cast("int").alias("with_lastmod"), F.col("invalid").cast("int").alias("invalid"), "verdict")
+    k = F.col("o_orderkey") % 10
+    rows = t.orders.select(F.when(k == 0, None).when(k == 1, "yesterday").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("lastmod"))
+    return site_files.lastmod_trust(rows, F.lit("2030-06-01").cast("timestamp")).select("total", "with_lastmod", "invalid", "distinct_values", "verdict")
 
 
 for _name, (_run_query, _sql) in derived.CHECKS.items():

@@ -1,17 +1,14 @@
-"""robots.txt, sitemaps, feeds and llms.txt from stored bodies."""
+"""robots.txt and llms.txt from stored bodies, and how far the dates of a sitemap can be trusted."""
 
 from __future__ import annotations
 
-import gzip
-import json
 import re
-import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from sitequarry.functions import text as tx
 from sitequarry.functions import urls
@@ -22,7 +19,6 @@ AI_AGENTS = (
     ("PerplexityBot", "Perplexity", True), ("CCBot", "Common Crawl", True), ("Bytespider", "ByteDance", True), ("cohere-ai", "Cohere", True), ("Google-Extended", "Google", True),
     ("Google-CloudVertexBot", "Google", True), ("Google-Agent", "Google", False), ("Google-NotebookLM", "Google", False),
 )
-MOST_ENTRIES, MOST_DEPTH, MOST_BYTES = 50_000, 5, 64 << 20
 
 
 def robots_rules(body: str | None) -> list[tuple[int, str, str, str, int]]:
@@ -68,14 +64,17 @@ def is_allowed(rules: list[tuple[int, str, str, str, int]], agent: str, path: st
 
 
 def parse_robots(bodies: DataFrame, key: str = "host", body: str = "body") -> DataFrame:
-    """A row for each rule of each body."""
-    kind = "array<struct<group:int,agent:string,directive:string,value:string,line:int>>"
+    """A row for each rule of each body: key, group, agent, directive, value, line."""
 
-    @F.udf(kind)
-    def run(text):
-        return robots_rules(text)
+    @F.arrow_udtf(returnType=f"{key} string, group int, agent string, directive string, value string, line int")
+    class Rules:
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            for name, text in zip(batch.column(0), batch.column(1), strict=True):
+                rules = robots_rules(text.as_py())
+                group, agent, directive, value, line = zip(*rules, strict=True) if rules else [()] * 5
+                yield pa.table({key: pa.array([name.as_py()] * len(rules), pa.string()), "group": pa.array(group, pa.int32()), "agent": pa.array(agent, pa.string()), "directive": pa.array(directive, pa.string()), "value": pa.array(value, pa.string()), "line": pa.array(line, pa.int32())})
 
-    return bodies.select(key, F.explode(run(body)).alias("r")).select(key, "r.*")
+    return Rules(bodies.select(F.col(key).cast("string"), F.col(body).cast("string")).asTable())
 
 
 def check_allowed(requests: DataFrame, bodies: DataFrame, agent: str, key: str = "host") -> DataFrame:
@@ -122,104 +121,6 @@ def llms_txt(status: Column, content_type: Column, body: Column) -> Column:
     return (status == 200) & ~F.coalesce(content_type, F.lit("")).contains("html") & (F.trim(F.coalesce(body, F.lit(""))) != "") & ~F.lower(F.trim(body)).startswith("<!doctype") & ~F.lower(F.trim(body)).startswith("<html")
 
 
-# ---- sitemaps and feeds ----
-
-
-def _local(tag: str) -> str:
-    return tag.rpartition("}")[2].lower()
-
-
-def _child(node: ET.Element, name: str) -> str | None:
-    return next((c.text.strip() for c in node if _local(c.tag) == name and c.text and c.text.strip()), None)
-
-
-def _children(node: ET.Element, name: str, fields: tuple[str, ...]) -> list[dict]:
-    out = [{f: _child(c, f) for f in fields} for c in node if _local(c.tag) == name]
-    return [o for o in out if o[fields[0]]]
-
-
-def parse_sitemap(body: bytes | str | None) -> dict:
-    """kind (urlset, index, rss, atom, json, text, invalid), entries and children of a file; gzip by its magic bytes."""
-    data = body.encode() if isinstance(body, str) else bytes(body or b"")
-    if data[:2] == b"\x1f\x8b":
-        try:
-            data = gzip.decompress(data)[:MOST_BYTES]
-        except (OSError, EOFError):
-            return {"kind": "invalid", "entries": [], "children": []}
-    text = data.decode("utf-8-sig", "replace").strip()
-    if text.startswith("{"):
-        try:
-            items = json.loads(text).get("items", [])
-        except (ValueError, AttributeError):
-            return {"kind": "invalid", "entries": [], "children": []}
-        rows = [{"loc": i.get("url") or i.get("id"), "lastmod": i.get("date_modified") or i.get("date_published")} for i in items if isinstance(i, dict)]
-        return {"kind": "json", "entries": [r for r in rows if r["loc"]], "children": []}
-    if not text.startswith("<"):
-        return {"kind": "text", "entries": [{"loc": line.strip()} for line in text.splitlines() if re.match(r"https?://", line.strip())], "children": []}
-    if "<!ENTITY" in text[:2000]:
-        return {"kind": "invalid", "entries": [], "children": []}
-    try:
-        root = ET.fromstring(text)
-    except ET.ParseError:
-        return {"kind": "invalid", "entries": [], "children": []}
-    kind = _local(root.tag)
-    if kind == "sitemapindex":
-        return {"kind": "index", "entries": [], "children": [loc for c in root if (loc := _child(c, "loc"))]}
-    if kind == "urlset":
-        rows = []
-        for u in root:
-            if _local(u.tag) != "url" or not (loc := _child(u, "loc")):
-                continue
-            rows.append({"loc": loc, "lastmod": _child(u, "lastmod"), "changefreq": _child(u, "changefreq"), "priority": _child(u, "priority"), "images": [i["loc"] for i in _children(u, "image", ("loc",))], "videos": [v["title"] for v in _children(u, "video", ("title",))], "news": [n["title"] for n in _children(u, "news", ("title",))]})
-        return {"kind": "urlset", "entries": rows, "children": []}
-    if kind == "feed":
-        rows = []
-        for e in root:
-            if _local(e.tag) == "entry":
-                links = [c for c in e if _local(c.tag) == "link" and c.get("href")]
-                best = next((c.get("href") for c in links if c.get("rel", "alternate") == "alternate"), None) or _child(e, "id")
-                rows += [{"loc": best, "lastmod": _child(e, "updated")}] if best else []
-        return {"kind": "atom", "entries": rows, "children": []}
-    if kind in ("rss", "rdf"):
-        rows = []
-        for e in root.iter():
-            if _local(e.tag) == "item":
-                guid = next((c for c in e if _local(c.tag) == "guid" and c.get("isPermaLink", "true") != "false" and c.text), None)
-                loc = _child(e, "link") or (guid.text.strip() if guid is not None else None)
-                rows += [{"loc": loc, "lastmod": _child(e, "pubdate")}] if loc else []
-        return {"kind": "rss", "entries": rows, "children": []}
-    return {"kind": "invalid", "entries": [], "children": []}
-
-
-SITEMAP = "kind string, entries array<struct<loc:string,lastmod:string,changefreq:string,priority:string,images:array<string>,videos:array<string>,news:array<string>>>, children array<string>"
-
-
-def parse_sitemaps(files: DataFrame, body: str = "content") -> DataFrame:
-    """files with kind, entries and children."""
-    kind = StructType.fromDDL(SITEMAP)
-
-    @F.udf(kind)
-    def run(data):
-        return parse_sitemap(data)
-
-    out = files.withColumn("_s", run(body))
-    return out.select(*files.columns, "_s.*")
-
-
-def discover_sitemaps(files: DataFrame, roots: list[str]) -> DataFrame:
-    """Entries reachable from the root sitemaps over stored files (url, content): indexes are followed to a fixed depth, each file once; the first listing of a URL wins."""
-    parsed = parse_sitemaps(files).select("url", "kind", "entries", "children")
-    spark = files.sparkSession
-    level = spark.createDataFrame([(r, 0) for r in roots], "url string, level int")
-    seen = level
-    for k in range(1, MOST_DEPTH + 1):
-        children = level.join(parsed.where("kind = 'index'"), "url").select(F.explode("children").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("level", F.lit(k))
-        seen, level = seen.unionByName(children), children
-    rows = seen.join(parsed, "url").select(F.col("url").alias("source_sitemap"), "level", F.posexplode("entries").alias("input_order", "e")).select("source_sitemap", "level", "input_order", "e.*")
-    first = rows.groupBy("loc").agg(F.min_by(F.struct("source_sitemap", "level", "input_order", "lastmod", "changefreq", "priority"), F.struct("level", "source_sitemap", "input_order")).alias("f")).select("loc", "f.*")
-    return first.orderBy("level", "source_sitemap", "input_order").limit(MOST_ENTRIES).withColumn("normalized_loc", urls.normalize_url("loc"))
-
-
 def lastmod_trust(entries: DataFrame, now: Column) -> DataFrame:
     """How far the dates of a sitemap can be trusted: counts and one verdict."""
     at = tx.w3c_time(F.col("lastmod"))

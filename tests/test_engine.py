@@ -429,19 +429,6 @@ def test_robots(spark):
     assert one(spark, site_files.llms_txt(F.lit(200), F.lit("text/plain"), F.lit("# x"))) and not one(spark, site_files.llms_txt(F.lit(200), F.lit("text/html"), F.lit("# x")))
 
 
-def test_sitemaps(spark):
-    urlset = '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:image="i"><url><loc> https://e.com/a </loc><lastmod>2024-01-01</lastmod><image:image><image:loc>i.png</image:loc></image:image><image:image/></url><url/></urlset>'
-    parsed = site_files.parse_sitemap(gzip.compress(urlset.encode()))
-    assert parsed["kind"] == "urlset" and len(parsed["entries"]) == 1 and parsed["entries"][0]["images"] == ["i.png"]
-    assert [e["loc"] for e in site_files.parse_sitemap('<rss><channel><item><guid>https://e.com/g</guid></item><item><guid isPermaLink="false">x</guid></item><item><link>https://e.com/l</link></item></channel></rss>')["entries"]] == ["https://e.com/g", "https://e.com/l"]
-    assert [e["loc"] for e in site_files.parse_sitemap('<feed xmlns="a"><entry><link rel="self" href="s"/><link href="https://e.com/t"/></entry><entry><id>urn:1</id></entry></feed>')["entries"]] == ["https://e.com/t", "urn:1"]
-    assert site_files.parse_sitemap('{"items":[{"url":"https://e.com/j"},{"id":"k"},{}]}')["entries"][1]["loc"] == "k"
-    assert [site_files.parse_sitemap(x)["kind"] for x in (None, "<a", "<html/>", b"\x1f\x8bbad", "https://e.com/x")] == ["text", "invalid", "invalid", "invalid", "text"]
-    files = spark.createDataFrame([("r", "<sitemapindex><sitemap><loc>a</loc></sitemap><sitemap><loc>r</loc></sitemap><sitemap><loc>gone</loc></sitemap></sitemapindex>"), ("a", urlset)], "url string, content string")
-    found = site_files.discover_sitemaps(files, ["r"]).collect()
-    assert [(r.loc, r.source_sitemap, r.normalized_loc) for r in found] == [("https://e.com/a", "a", "https://e.com/a")]
-
-
 @pytest.mark.parametrize("dates,want", [([], "absent"), ([None], "absent"), (["2024-01-01", None], "partial"), (["2024-01-01", "2024-01-02"], "trustworthy"), (["2024-01-01"] * 2, "suspect-uniform"), (["2024-06-01T00:10:00Z", "2024-06-01T00:20:00Z"], "suspect-stamped-now"), (["2025-01-01", "x"], "suspect-future"), (["x", "2024-01-01"], "suspect-invalid")])
 def test_lastmod(spark, dates, want):
     rows = spark.createDataFrame([(d,) for d in dates], "lastmod string")
