@@ -64,8 +64,8 @@ def percentiles(rows: DataFrame, value: str, points: tuple[float, ...] = (0.5, 0
     return rows.where(F.col(value).isNotNull()).agg(*cols, F.max(value).cast("double").alias("max"), tx.round_half_up(F.avg(value), 1).alias("mean"), F.median(value).cast("double").alias("median"))
 
 
-def measurements(site: Site, external: DataFrame | None = None, discovered: int | None = None) -> DataFrame:
-    """(measurement, value, available, sample, reason), all page-wise ones in one pass."""
+def measurements(site: Site, external: DataFrame | None = None, discovered: int | None = None, loaded: DataFrame | None = None) -> DataFrame:
+    """(measurement, value, available, sample, reason), all page-wise ones in one pass. loaded: rows of resource_measurements(), in place of those that pages alone can't tell."""
     p = site.own
     n = F.count(F.lit(1))
     count = lambda test: F.count_if(F.coalesce(test, F.lit(False))).cast("double")
@@ -119,6 +119,9 @@ def measurements(site: Site, external: DataFrame | None = None, discovered: int
         out = out.unionByName(one("outbound-links-refused", external, F.count_if(F.col("status_code").isin(*AUTH))))
     if discovered is not None:
         out = out.unionByName(one("pages-discovered", p, F.lit(discovered)))
+    if loaded is not None:
+        told = loaded.select("measurement", "value", F.col("sample").cast("double").alias("sample"), F.lit("not measured").alias("reason"))
+        out = out.join(told.select("measurement"), "measurement", "left_anti").unionByName(told)
     available = F.col("sample") > 0
     return out.select("measurement", F.when(available, F.col("value")).alias("value"), available.alias("available"), F.col("sample").cast("long").alias("sample"), F.when(~available, F.col("reason")).alias("reason"))
 

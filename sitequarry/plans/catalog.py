@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import domains, urls
 from sitequarry.functions import text as tx
-from sitequarry.operators import cosine, diff, explore, graph, linking, measurements, metrics, page_rules, scoring, similarity, site_rules
+from sitequarry.operators import cosine, diff, explore, graph, linking, measurements, metrics, page_rules, resources, scoring, similarity, site_rules
 from sitequarry.operators.site_rules import Site
 from sitequarry.plans import derived
 from sitequarry.plans.config import Config
@@ -785,3 +785,56 @@ def link_opportunities(t: Tables) -> DataFrame:
     pages = vectors.select("page_id", (k % 7 != 0).alias("linkable"), (k % 101).cast("int").alias("score"), ((k % 11) / 10.0).alias("value"))
     edges = vectors.where(k % 3 == 0).select(k.alias("src"), (k + 1).alias("dst"))
     return linking.opportunities(pages, edges, similar=linking.both_ways(pairs, members), queries=linking.shared_queries(_shown(t)))
+
+
+# ---- what pages load: orders are pages, line items their requests ----
+
+REQUESTS = """r AS (SELECT l_orderkey AS page_id, 'https://cdn.example.com/p' || l_partkey AS key, arg_max(k, (coalesce(b, -1), k)) AS kind, max(b) AS bytes,
+  min(l_quantity * 10) AS start_ms, max(l_quantity * 10 + l_discount * 2000) AS end_ms, bool_or(l_returnflag = 'R') AS deferred
+  FROM (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN 'script' WHEN 1 THEN 'stylesheet' ELSE 'image' END AS k, CASE WHEN l_linestatus = 'O' THEN CAST(floor(l_extendedprice * 10) AS BIGINT) END AS b FROM lineitem) GROUP BY 1, 2)"""
+PAINTS = "p AS (SELECT o_orderkey AS page_id, CAST(floor(o_totalprice % 400) AS BIGINT) AS first_paint_ms, CAST(floor(o_totalprice) AS BIGINT) AS html_bytes FROM orders)"
+
+
+def _requests(t: Tables) -> DataFrame:
+    n = F.col("l_linenumber") % 3
+    rows = t.lineitem.select(
+        F.col("l_orderkey").alias("page_id"), F.concat(F.lit("https://CDN.example.com:443/p"), "l_partkey", F.lit("?utm_source=x")).alias("url"), F.when(n == 0, "script").when(n == 1, "stylesheet").otherwise("image").alias("kind"),
+        F.when(F.col("l_linestatus") == "O", F.floor(F.col("l_extendedprice") * 10)).alias("bytes"), (F.col("l_quantity") * 10).alias("start_ms"), (F.col("l_quantity") * 10 + F.col("l_discount") * 2000).alias("end_ms"), (F.col("l_returnflag") == "R").alias("deferred"),
+    )
+    return resources.per_request(resources.keyed(rows))
+
+
+def _paints(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_orderkey").alias("page_id"), F.floor(F.col("o_totalprice") % 400).alias("first_paint_ms"), F.floor("o_totalprice").alias("html_bytes"))
+
+
+def _sized(t: Tables, requests: DataFrame) -> DataFrame:
+    images = t.lineitem.where("l_linenumber % 3 = 2").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("https://cdn.example.com/p"), "l_partkey").alias("src_key"))
+    return resources.image_bytes(images, requests)
+
+
+@query(f"""WITH {REQUESTS}, {PAINTS},
+i AS (SELECT p.page_id, key, start_ms, least(end_ms, first_paint_ms) AS until FROM r JOIN p USING (page_id) WHERE kind IN ('script', 'stylesheet') AND NOT deferred AND start_ms < first_paint_ms AND end_ms > start_ms),
+e AS (SELECT page_id, start_ms AS tick FROM i UNION SELECT page_id, until FROM i),
+s AS (SELECT page_id, tick, lead(tick) OVER (PARTITION BY page_id ORDER BY tick) AS nxt FROM e),
+c AS (SELECT s.page_id, sum(nxt - tick) AS blocked_ms FROM s WHERE nxt IS NOT NULL AND EXISTS (SELECT 1 FROM i WHERE i.page_id = s.page_id AND i.start_ms <= s.tick AND i.until >= s.nxt) GROUP BY 1),
+l AS (SELECT page_id, count(*) AS blocking, arg_max(key, (until, key)) AS last FROM i GROUP BY 1)
+SELECT p.page_id, coalesce(blocking, 0) AS blocking, round(coalesce(blocked_ms, 0), 3) AS blocked_ms, last FROM p LEFT JOIN l USING (page_id) LEFT JOIN c USING (page_id)""")
+def paint_blocking(t: Tables) -> DataFrame:
+    """Every page's blocking requests; the SQL cuts time at all ends and counts the pieces that a request covers."""
+    return resources.render_blocking(_requests(t), _paints(t)).withColumn("blocked_ms", F.round("blocked_ms", 3))
+
+
+@query(f"""WITH {REQUESTS}, a AS (SELECT key, max(bytes) AS m FROM r GROUP BY 1), i AS (SELECT l_orderkey AS page_id, l_linenumber AS position, 'https://cdn.example.com/p' || l_partkey AS key FROM lineitem WHERE l_linenumber % 3 = 2)
+SELECT i.page_id, position, coalesce(r.bytes, a.m) AS bytes FROM i LEFT JOIN r ON r.page_id = i.page_id AND r.key = i.key LEFT JOIN a ON a.key = i.key""")
+def image_sizes(t: Tables) -> DataFrame:
+    return _sized(t, _requests(t)).select("page_id", "position", "bytes")
+
+
+@query(f"""WITH {REQUESTS}, {PAINTS}, w AS (SELECT page_id, html_bytes + coalesce(s, 0) AS weight FROM p LEFT JOIN (SELECT page_id, sum(bytes) AS s FROM r GROUP BY 1) USING (page_id)),
+a AS (SELECT key, max(bytes) AS m FROM r GROUP BY 1), i AS (SELECT l_orderkey AS page_id, 'https://cdn.example.com/p' || l_partkey AS key FROM lineitem WHERE l_linenumber % 3 = 2), z AS (SELECT coalesce(r.bytes, a.m) AS bytes FROM i LEFT JOIN r ON r.page_id = i.page_id AND r.key = i.key LEFT JOIN a ON a.key = i.key),
+b AS (SELECT DISTINCT p.page_id FROM r JOIN p USING (page_id) WHERE kind IN ('script', 'stylesheet') AND NOT deferred AND start_ms < first_paint_ms AND end_ms > start_ms)
+SELECT 'heavy-images' AS measurement, CAST(count(*) FILTER (bytes > 204800) AS DOUBLE) AS value, count(bytes) AS sample FROM z UNION ALL SELECT 'average-page-weight', round(avg(weight), 1), count(*) FROM w UNION ALL SELECT 'render-blocking', CAST((SELECT count(*) FROM b) AS DOUBLE), count(*) FROM p""")
+def resource_measurements(t: Tables) -> DataFrame:
+    requests = cut(_requests(t))
+    return resources.resource_measurements(_sized(t, requests), resources.page_weights(_paints(t), requests), resources.render_blocking(requests, _paints(t)))
