@@ -12,7 +12,7 @@ from sitequarry.functions import domains, urls
 from sitequarry.functions import text as tx
 from sitequarry.operators import cosine, diff, explore, graph, linking, measurements, metrics, page_rules, resources, scoring, similarity, site_rules
 from sitequarry.operators.site_rules import Site
-from sitequarry.plans import derived
+from sitequarry.plans import derived, markup
 from sitequarry.plans.config import Config
 from sitequarry.plans.lineage import cut
 from sitequarry.sources import crawl, sinks, site_files, sitemaps
@@ -715,6 +715,9 @@ def sitemap_lastmod_verdict(t: Tables) -> DataFrame:
 for _name, (_run_query, _sql) in derived.CHECKS.items():
     query(_sql, _name)(_run_query)
 
+for _name, (_run, _sql) in markup.checks().items():
+    QUERIES[_name], SQL[_name] = _run, _sql
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of all page rules by host, over the raw pages."""
