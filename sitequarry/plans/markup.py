@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitequarry.functions.domains import suffix_rules
+from sitequarry.operators import page_rules
+from sitequarry.plans.config import Config
+from sitequarry.sources import crawl
 from sitequarry.sources.extract import extract
 
 #: (condition or None, HTML) in the order of the page; {k} is the id, {text} the escaped text, both put in by Spark SQL.
@@ -180,6 +183,27 @@ FACTS: dict[str, tuple[Callable[[], dict[str, Column]], str]] = {
 }
 
 
+#: Rules over the extracted facts, and the pages that each finds.
+RULES: dict[str, str] = {
+    "title-multiple": "k % 7 = 0", "meta-description-missing": "k % 3 = 0", "meta-description-multiple": "k % 6 = 1", "canonical-absent": "k % 4 = 0 AND k % 7 <> 3", "noindex": "k % 9 IN (0, 1)", "nofollow": "k % 9 = 1 OR k % 7 = 3",
+    "meta-refresh-present": "k % 11 = 0", "viewport-missing": "k % 4 = 3", "viewport-blocks-zoom": "k % 4 <> 3", "charset-missing": "k % 5 = 0", "base-href-cross-origin": "k % 8 = 5", "head-signal-stranded": "k % 7 = 3",
+    "favicon-not-declared": "k % 3 <> 0", "font-preload-missing-crossorigin": "k % 4 = 1", "third-party-font-host": "k % 4 = 2", "h1-multiple": "k % 3 = 1", "heading-hierarchy-skip": "k % 3 = 1", "image-missing-alt": "true",
+    "image-empty-alt": "k % 3 = 0", "twitter-missing": "k % 3 <> 0", "main-landmark-missing": "k % 2 = 1", "structured-data-unknown-type": "k % 6 = 3", "structured-data-missing-context": "k % 6 = 2",
+    "structured-data-invalid-context": "k % 6 = 3", "structured-data-empty-block": "k % 6 = 3", "structured-data-missing-required-property": "k % 6 IN (1, 2)", "structured-data-missing-type": "k % 9 = 2", "video-embed-without-schema": "k % 5 = 2",
+}
+
+
+def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, rule_id) of the rules over facts that were extracted, not set."""
+    pages = raw_pages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    own = crawl.from_html(pages, order="k").withColumn("page_id", F.col("input_order").cast("string"))
+    config = Config(disabled=frozenset(r.id for r in page_rules.RULES) - RULES.keys())
+    return page_rules.evaluate(own, config)[0].select(F.col("page_id").cast("long").alias("k"), "rule_id").distinct()
+
+
+RULE_SQL = "WITH d AS (SELECT doc_id AS k FROM documents) " + " UNION ALL ".join(f"SELECT k, '{rule}' AS rule_id FROM d WHERE {test}" for rule, test in RULES.items())
+
+
 def _query(columns: Callable[[], dict[str, Column]]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages = raw_pages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -191,4 +215,4 @@ def _query(columns: Callable[[], dict[str, Column]]) -> Callable[[SparkSession,
 
 def checks() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     """Per query: the facts of every document's page, and their SQL."""
-    return {f"markup_{name}": (_query(columns), D + "SELECT k, " + (sql if " FROM (" in sql else f"{sql} FROM d")) for name, (columns, sql) in FACTS.items()}
+    return {"markup_rule_hits": (rule_hits, RULE_SQL)} | {f"markup_{name}": (_query(columns), D + "SELECT k, " + (sql if " FROM (" in sql else f"{sql} FROM d")) for name, (columns, sql) in FACTS.items()}
