@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sitequarry.functions import text as tx
 from sitequarry.functions import domains, urls
 from sitequarry.operators.scoring import severity_rank
+from sitequarry.operators.search import Index
 
 MOST_ROWS, DEFAULT_ROWS = 200, 50
 
@@ -30,9 +31,11 @@ def page_rows(pages: DataFrame, issues: DataFrame | None = None, graph: DataFram
     return rows
 
 
-def filter_pages(rows: DataFrame, *, status: str | int | None = None, q: str | None = None, min_words: int | None = None, max_words: int | None = None, depth: int | None = None, section: str | None = None, rendered: str | None = None, severity: str | None = None, rule: str | None = None, indexable: bool | None = None) -> DataFrame:
-    """Rows that meet every condition given; a missing word count counts as 0."""
+def filter_pages(rows: DataFrame, *, status: str | int | None = None, q: str | None = None, min_words: int | None = None, max_words: int | None = None, depth: int | None = None, section: str | None = None, rendered: str | None = None, severity: str | None = None, rule: str | None = None, indexable: bool | None = None, index: Index | None = None) -> DataFrame:
+    """Rows that meet every condition given; a missing word count counts as 0. With an index over the rows' URLs and titles, q is looked up there first."""
     tests: list[Column] = []
+    if q and index is not None:
+        rows = rows.join(index.search(rows.sparkSession, q).select(index.id_col), index.id_col, "left_semi")
     if status is not None:
         tests.append(F.col("status_class") == status if isinstance(status, str) else F.col("status_code") == status)
     if q:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import domains, urls
 from sitequarry.functions import text as tx
-from sitequarry.operators import cosine, diff, explore, graph, linking, measurements, metrics, page_rules, resources, scoring, similarity, site_rules
+from sitequarry.operators import cosine, diff, explore, graph, linking, measurements, metrics, page_rules, resources, scoring, search, similarity, site_rules
 from sitequarry.operators.site_rules import Site
 from sitequarry.plans import derived, markup
 from sitequarry.plans.config import Config
-from sitequarry.plans.lineage import cut
+from sitequarry.plans.lineage import cut, shared_folder
 from sitequarry.sources import crawl, sinks, site_files, sitemaps
 from sitequarry.streaming import events as ev
 
@@ -790,6 +791,20 @@ def link_opportunities(t: Tables) -> DataFrame:
     return linking.opportunities(pages, edges, similar=linking.both_ways(pairs, members), queries=linking.shared_queries(_shown(t)))
 
 
+# ---- search ----
+
+#: What is sought: rare and common parts of URLs and titles, in either case, signs, one that is shorter than a trigram, and one that nothing holds.
+SOUGHT = ("TION", "blog.", "ththth", "page=", "&&&", "en", "no such page")
+
+
+@query("SELECT page_id, sought FROM (SELECT *, " + TITLE + " AS title FROM pages) p, (VALUES " + ", ".join(f"('{s}')" for s in SOUGHT) + ") v(sought) WHERE contains(lower(url), lower(sought)) OR contains(lower(title), lower(sought))")
+def search_pages(t: Tables) -> DataFrame:
+    """Every page that holds one of the words, by an index of all pages."""
+    rows = t.pages.select("page_id", "url", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    index = search.build(rows, f"{shared_folder(t.spark)}/search-{uuid.uuid4().hex}", buckets=16, shelves=16)
+    return reduce(DataFrame.unionByName, [index.search(t.spark, s).select("page_id", F.lit(s).alias("sought")) for s in SOUGHT])
+
+
 # ---- what pages load: orders are pages, line items their requests ----
 
 REQUESTS = """r AS (SELECT l_orderkey AS page_id, 'https://cdn.example.com/p' || l_partkey AS key, arg_max(k, (coalesce(b, -1), k)) AS kind, max(b) AS bytes,
