@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitequarry.llm import decontaminate, htmltext, infill, langid, licenses, manifest, packing, pieces, quality, sharding, simhash, toxicity, vectors
 
@@ -77,8 +78,24 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.op13(_table(spark, sf_dir, "documents"))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of the licence scan, which SQL can express."""
+    return licenses.op2(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def planted_vectors(embeddings: DataFrame) -> DataFrame:
+    """Of each vector three rows: itself, one with its first component negated, and one with its first three: cosines on both sides of the threshold."""
+    turned = lambda n: F.transform("embedding", lambda x, k: F.when(k < n, -x).otherwise(x))
+    return embeddings.select("label", F.explode(F.array(*[F.struct((F.col("vec_id") * 3 + k).alias("vec_id"), turned(n).alias("embedding")) for k, n in enumerate((0, 1, 3))])).alias("v")).select("v.vec_id", "v.embedding", "label")
+
+
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 over the planted vectors."""
+    return vectors.op6(planted_vectors(_table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_licenses, op3_pieces, op4_sharding, op5_main_text, op6_vectors, op7_language, op8_quality, op9_toxicity, op10_decontamination, op11_manifest, op12_packing, op13_infill)
+    own = (op1_simhash, op2_licenses, op3_pieces, op4_sharding, op5_main_text, op6_vectors, op7_language, op8_quality, op9_toxicity, op10_decontamination, op11_manifest, op12_packing, op13_infill, license_base, near_vectors)
     return {f.__name__: f for f in own}
 
 
@@ -122,6 +139,9 @@ n AS (SELECT x AS id, count(*) AS n_links FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN n ON n.id = vec_id"""
 
 
+#: The same over the planted vectors.
+PLANTED_SQL = VECTORS_SQL.replace("WITH RECURSIVE v AS", "WITH RECURSIVE planted AS (SELECT vec_id * 3 + k AS vec_id, label, list_transform(embedding, lambda x, i: CASE WHEN i <= n THEN -x ELSE x END) AS embedding FROM embeddings, (VALUES (0, 0), (1, 1), (2, 3)) p(k, n)), v AS").replace("FROM embeddings\n", "FROM planted\n").replace("FROM embeddings UNION", "FROM planted UNION").replace("FROM embeddings JOIN", "FROM planted JOIN")
+
 #: Leaves, the levels of every source's tree and of the tree of sources, and every row's siblings level by level.
 MANIFEST_SQL = r"""
 WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
@@ -164,4 +184,4 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator; the others are tested against brute force, the library or held-out labels."""
-    return {"op5_main_text": MAIN_TEXT_SQL, "op6_vectors": VECTORS_SQL, "op11_manifest": MANIFEST_SQL, "op13_infill": INFILL_SQL}
+    return {"op5_main_text": MAIN_TEXT_SQL, "license_base": BASE_LICENSE_SQL, "near_vectors": PLANTED_SQL, "op6_vectors": VECTORS_SQL, "op11_manifest": MANIFEST_SQL, "op13_infill": INFILL_SQL}
