@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sitequarry.functions import urls
@@ -29,8 +29,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: in
     for k in range(fixed or most):
         gained = links.join(now.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("gain"))
         rank = F.greatest(F.lit(tiny), F.lit((1 - damping) / n + damping * dangling / n) + damping * F.coalesce("gain", F.lit(0.0)))
-        after = cut(now.join(gained, "id", "left").select("id", "leads", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change")))
-        change, dangling = after.agg(F.max("change"), F.coalesce(F.sum(F.when(F.col("leads").isNull(), F.col("rank"))), F.lit(0.0))).first()
+        told = Observation()
+        step = now.join(gained, "id", "left").select("id", "leads", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change"))
+        # the two numbers come with the rows as they are written: no second pass
+        after = cut(step.observe(told, F.max("change").alias("change"), F.coalesce(F.sum(F.when(F.col("leads").isNull(), F.col("rank"))), F.lit(0.0)).alias("dangling")))
+        change, dangling = told.get["change"], told.get["dangling"]
         drop_cut(now)
         now = after
         if not fixed and change < epsilon:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import text as tx
 from sitequarry.functions import urls
+from sitequarry.plans.lineage import cut
 from sitequarry.plans.config import Config, Thresholds
 
 EVIDENCE = "array<struct<field: string, value: string>>"
@@ -253,8 +254,8 @@ def chosen(config: Config) -> list[Rule]:
     return [r for r in RULES if r.id not in config.disabled]
 
 
-def evaluate(pages: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """(issues, evaluated): a row for each issue, and for each rule over how many pages it was evaluated and how many failed."""
+def evaluate(pages: DataFrame, config: Config = Config(), both: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(issues, evaluated): a row for each issue, and for each rule over how many pages it was evaluated and how many failed. both: the rules run once for both tables, whose results are written in between."""
     t, rules = config.thresholds, chosen(config)
     none = F.array().cast(f"array<{EVIDENCE}>")
     results = F.array(*[
@@ -264,7 +265,8 @@ def evaluate(pages: DataFrame, config: Config = Config()) -> tuple[DataFrame, Da
         )
         for r in rules
     ])
-    run = pages.select("run_id", "page_id", "url", "normalized_url", F.explode(results).alias("r")).select("run_id", "page_id", "url", "normalized_url", "r.*")
+    ran = pages.select("run_id", "page_id", "url", "normalized_url", results.alias("results"))
+    run = (cut(ran) if both else ran).select("run_id", "page_id", "url", "normalized_url", F.explode("results").alias("r")).select("run_id", "page_id", "url", "normalized_url", "r.*")
     issues = run.select("run_id", "rule_id", "category", "severity", F.lit("page").alias("scope"), "page_id", F.coalesce("normalized_url", "url").alias("url"), F.explode("issues").alias("evidence"))
     counts = run.groupBy("run_id", "rule_id", "category", "severity").agg(F.count("issues").alias("evaluated"), F.count_if(F.size("issues") > 0).alias("failed"))
     return issues, counts

@@ -31,7 +31,7 @@ def analyze(site: Site, config: Config = Config(), mutes: DataFrame | None = Non
     if site.near_duplicates is None:
         near = similarity.near_duplicates(site.pages.select(F.col("page_id").alias("id"), F.col("content.text").alias("text"), F.col("content.word_count").alias("word_count"), F.col("content.content_hash").alias("content_hash")), threshold=config.thresholds.near_dup_similarity)
         site = replace(site, near_duplicates=near.withColumnRenamed("id", "page_id"))
-    page_issues, page_counts = page_rules.evaluate(site.pages, config)
+    page_issues, page_counts = page_rules.evaluate(site.pages, config, both=True)
     site_issues, site_counts = site_rules.evaluate(site, config)
     issues = cut(page_issues.unionByName(site_issues))
     evaluated = cut(page_counts.unionByName(site_counts))

@@ -237,7 +237,7 @@ SELECT score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN scor
 def health_of_shown_rules(t: Tables) -> DataFrame:
     """The health score over the rules of page_rule_hits alone."""
     pages = cut(crawl.from_html(t.pages).withColumn("page_id", F.col("input_order").cast("string")))
-    issues, counts = page_rules.evaluate(pages, Config(disabled=frozenset(r.id for r in page_rules.RULES) - frozenset(RULE_IDS)))
+    issues, counts = page_rules.evaluate(pages, Config(disabled=frozenset(r.id for r in page_rules.RULES) - frozenset(RULE_IDS)), both=True)
     return scoring.health_score(cut(issues), cut(counts)).select("score", "grade")
 
 
@@ -248,7 +248,7 @@ def site_rule_counts(t: Tables) -> DataFrame:
 
 @query()
 def health_score(t: Tables) -> DataFrame:
-    issues, counts = page_rules.evaluate(_run(t))
+    issues, counts = page_rules.evaluate(_run(t), both=True)
     return scoring.health_score(cut(issues), cut(counts))
 
 
@@ -260,7 +260,7 @@ def worst_pages(t: Tables) -> DataFrame:
 @query()
 def findings_priority(t: Tables) -> DataFrame:
     pages = _run(t)
-    issues, counts = page_rules.evaluate(pages)
+    issues, counts = page_rules.evaluate(pages, both=True)
     return scoring.findings(cut(issues), cut(counts), scoring.importance(pages)).drop("sample_urls")
 
 

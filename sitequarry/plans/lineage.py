@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths of the cuts made inside each settled() that runs.
-_MADE: list[list[DataFrame]] = []
+#: Cuts made inside each settled() that runs, by thread: queries that run at once don't see each other's.
+_MADE = threading.local()
+
+
+def _open() -> list[list[DataFrame]]:
+    if not hasattr(_MADE, "stack"):
+        _MADE.stack = []
+    return _MADE.stack
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,19 +43,19 @@ def cut(df: DataFrame, few: bool = False) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
-    if _MADE:
-        _MADE[-1].append(out)
+    if _open():
+        _open()[-1].append(out)
     return out
 
 
 def settled(make: Callable[[], DataFrame]) -> DataFrame:
     """make()'s rows, cut; the cuts made on the way are deleted, as nothing reads them any longer."""
     made: list[DataFrame] = []
-    _MADE.append(made)
+    _open().append(made)
     try:
         df = make()
     finally:
-        _MADE.pop()
+        _open().pop()
     out = cut(df)
     for one in made:
         drop_cut(one)
