@@ -13,6 +13,7 @@ from sitequarry.functions import text as tx
 from sitequarry.functions import domains, urls
 from sitequarry.operators.scoring import severity_rank
 from sitequarry.operators.search import Index
+from sitequarry.operators.site_rules import Site
 
 MOST_ROWS, DEFAULT_ROWS = 200, 50
 
@@ -165,14 +166,41 @@ def work_queue(rows: DataFrame, thin: int = 80) -> DataFrame:
     return rows.withColumn("labels", labels).where(F.size("labels") > 0)
 
 
-def drilldown(pages: DataFrame, name: str, limit: int = 500) -> DataFrame:
-    """Pages behind a measurement."""
-    tests = {
-        "missing-title": F.col("title").isNull() | (F.trim("title") == ""), "missing-meta-description": F.col("meta_description").isNull() | (F.trim("meta_description") == ""),
-        "missing-h1": F.size("headings.h1") == 0, "multiple-h1": F.size("headings.h1") > 1, "thin-content": F.col("content.word_count") < 80, "noindex": F.col("robots.noindex"),
+def behind() -> dict[str, Column]:
+    """Tests of the pages behind each measurement that a page alone decides."""
+    https = urls.scheme(F.coalesce("final_url", "url")) == "https"
+    return {
+        "pages-crawled": F.lit(True), "missing-title": F.col("title").isNull() | (F.trim("title") == ""), "missing-meta-description": F.col("meta_description").isNull() | (F.trim("meta_description") == ""),
+        "missing-h1": F.size("headings.h1") == 0, "multiple-h1": F.size("headings.h1") > 1, "title-too-wide": tx.estimate_px(F.col("title"), tx.TITLE_PX) > 561, "thin-content": F.col("content.word_count") < 80, "noindex": F.col("robots.noindex"),
         "deep-pages": F.col("depth") > 3, "needs-javascript": F.col("rendered_with") == "playwright", "redirects": F.size("redirect_chain") > 0, "missing-open-graph": F.size(F.map_keys("social.og")) == 0,
+        "broken-pages": F.col("status_code") >= 400, "incomplete-schema": F.exists("schema_items", lambda x: F.size(x["missing_required"]) > 0), "images-without-alt": F.exists("images", lambda x: x["alt"].isNull()),
+        "mixed-content": https & (F.exists("images", lambda x: x["src"].startswith("http://")) | F.exists("videos", lambda x: x["url"].startswith("http://"))),
     }
-    return pages.where(tests[name]).orderBy(F.coalesce("normalized_url", "url")).limit(limit)
+
+
+def drilldown(pages: DataFrame, name: str, limit: int | None = None) -> DataFrame:
+    """Pages behind a measurement, by URL: all of them, or the first `limit`."""
+    rows = pages.where(F.coalesce(behind()[name], F.lit(False))).orderBy(F.coalesce("normalized_url", "url"))
+    return rows if limit is None else rows.limit(limit)
+
+
+def drilldown_counts(pages: DataFrame) -> DataFrame:
+    """(measurement, pages): how many pages stand behind each measurement, of all in one pass."""
+    tests = behind()
+    counts = pages.agg(*[F.count_if(F.coalesce(t, F.lit(False))).alias(f"n{k}") for k, t in enumerate(tests.values())])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measurement"), F.col(f"n{k}").alias("pages")) for k, n in enumerate(tests)])).alias("m")).select("m.*")
+
+
+def site_drilldown(site: Site, name: str) -> DataFrame:
+    """Pages behind a measurement that needs the whole run: copies of a text, pages with a broken internal link, images over the limit are in resources."""
+    own = site.own
+    if name == "duplicate-content":
+        again = own.where("content.word_count > 0").groupBy(F.col("content.content_hash").alias("h")).agg(F.countDistinct("key").alias("n")).where("n > 1").select("h")
+        return own.join(again, own["content.content_hash"] == again["h"], "left_semi")
+    if name == "broken-internal-links":
+        bad = site.resolved.where((F.col("status") >= 400) & ~F.col("status").isin(401, 403)).select("page_id").distinct()
+        return own.join(bad, "page_id", "left_semi")
+    raise ValueError(f"no drilldown: {name}")
 
 
 def frontier(seen: DataFrame, scope: domains.Scope, rules: tuple[str, ...], most_depth: int, exclude: tuple[str, ...] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitequarry.functions import text as tx
+from sitequarry.functions import urls
 
 
 def in_range(rows: DataFrame, start: str, end: str, search_type: str | None = None) -> DataFrame:
@@ -19,15 +20,15 @@ def _weighted(position: str = "position") -> Column:
     return F.sum(F.col(position) * F.col("impressions")) / F.sum("impressions")
 
 
-def page_rollup(rows: DataFrame, most: int = 1000) -> DataFrame:
-    """Pages by impressions: sums, ratio of sums, weighted position, days. A page of one row keeps its stored figures."""
+def page_rollup(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """All pages, or the `most` of the most impressions: sums, ratio of sums, weighted position, days. A page of one row keeps its stored figures."""
     one = F.count(F.lit(1)) == 1
     out = rows.groupBy("page_url").agg(
         F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"),
         F.when(one, F.first("ctr")).otherwise(F.when(F.sum("impressions") > 0, F.sum("clicks") / F.sum("impressions")).otherwise(0.0)).alias("ctr"),
         F.when(one, F.first("position")).otherwise(F.when(F.sum("impressions") > 0, _weighted()).otherwise(0.0)).alias("position"), F.count(F.lit(1)).alias("days"),
     )
-    return out.orderBy(F.col("impressions").desc(), "page_url").limit(most)
+    return out if most is None else out.orderBy(F.col("impressions").desc(), "page_url").limit(most)
 
 
 def daily_trend(rows: DataFrame) -> DataFrame:
@@ -76,10 +77,30 @@ def provisional(rows: DataFrame, today: Column) -> DataFrame:
     return rows.where(tx.is_provisional(F.col("date"), today))
 
 
-def inspection_candidates(urls: DataFrame, inspected: DataFrame, traffic: DataFrame, today: Column, quota: int = 2000, rest_days: int = 7) -> DataFrame:
+def with_crawl(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """(key, page_id, clicks, impressions, position, crawled, shown) of all pages of a crawl and all URLs that were shown, joined on the normalised URL.
+
+    rows(page_url, clicks, impressions, position), pages(page_id, normalized_url). Rows of one identity are summed before the join;
+    of pages that share one the first by page_id is named.
+    """
+    shown = rows.withColumn("key", F.coalesce(urls.normalize_url("page_url"), F.col("page_url"))).groupBy("key").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), _weighted().alias("position"))
+    own = pages.select(F.coalesce("normalized_url", F.lit(None).cast("string")).alias("key"), "page_id").where("key is not null").groupBy("key").agg(F.min("page_id").alias("page_id"))
+    both = own.withColumn("crawled", F.lit(True)).join(shown.withColumn("shown", F.lit(True)), "key", "full_outer")
+    return both.select("key", "page_id", F.coalesce("clicks", F.lit(0)).alias("clicks"), F.coalesce("impressions", F.lit(0)).alias("impressions"), "position", F.coalesce("crawled", F.lit(False)).alias("crawled"), F.coalesce("shown", F.lit(False)).alias("shown"))
+
+
+def asked_and_allowed(asked: DataFrame, allowed: DataFrame, most: int | None = None) -> DataFrame:
+    """URLs that were asked for and may be inspected, in the order they were asked for (url, place), `most` of them if given: an intersection on the normalised URL that keeps the first way a URL was written."""
+    key = F.coalesce(urls.normalize_url("url"), F.col("url"))
+    first = asked.withColumn("key", key).groupBy("key").agg(F.min(F.struct("place", "url")).alias("f")).select("key", "f.*")
+    kept = first.join(allowed.select(key.alias("key")).distinct(), "key", "left_semi").select("url", "place")
+    return kept if most is None else kept.orderBy("place", "url").limit(most)
+
+
+def inspection_candidates(pages: DataFrame, inspected: DataFrame, traffic: DataFrame, today: Column, quota: int = 2000, rest_days: int = 7) -> DataFrame:
     """URLs not inspected of late, most impressions first, within the quota."""
     late = inspected.where(F.datediff(today, F.col("inspected_on")) < rest_days).select("url")
-    rows = urls.select("url").unionByName(traffic.select("url")).distinct().join(late, "url", "left_anti")
+    rows = pages.select("url").unionByName(traffic.select("url")).distinct().join(late, "url", "left_anti")
     seen = traffic.groupBy("url").agg(F.sum("impressions").alias("impressions"))
     return rows.join(seen, "url", "left").na.fill(0, ["impressions"]).orderBy(F.col("impressions").desc(), "url").limit(quota)
 

@@ -470,7 +470,7 @@ def _metrics(t: Tables) -> DataFrame:
     return rows.withColumn("ctr", F.col("clicks") / F.col("impressions"))
 
 
-@query(f"WITH m AS ({METRIC}) SELECT page_url, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, floor(sum(clicks)::DOUBLE / sum(impressions) * 10000 + 0.5) / 10000 AS ctr, floor(sum(position * impressions)::DOUBLE / sum(impressions) * 10000 + 0.5) / 10000 AS position, count(*) AS days FROM m WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' GROUP BY 1 ORDER BY impressions DESC, page_url LIMIT 1000")
+@query(f"WITH m AS ({METRIC}) SELECT page_url, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, floor(sum(clicks)::DOUBLE / sum(impressions) * 10000 + 0.5) / 10000 AS ctr, floor(sum(position * impressions)::DOUBLE / sum(impressions) * 10000 + 0.5) / 10000 AS position, count(*) AS days FROM m WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' GROUP BY 1")
 def metric_page_rollup(t: Tables) -> DataFrame:
     rows = metrics.page_rollup(metrics.in_range(_metrics(t), "2024-01-03", "2024-01-20"))
     return rows.withColumns({"ctr": tx.round_half_up(F.col("ctr"), 4), "position": tx.round_half_up(F.col("position"), 4)})
@@ -791,6 +791,25 @@ def link_opportunities(t: Tables) -> DataFrame:
     return linking.opportunities(pages, edges, similar=linking.both_ways(pairs, members), queries=linking.shared_queries(_shown(t)))
 
 
+
+@query("""WITH s AS (SELECT 'https://shop.example.com/u' || user_id AS key, CAST(sum(event_id % 3) AS BIGINT) AS clicks, CAST(sum(event_id % 3 + 1) AS BIGINT) AS impressions, sum(value * (event_id % 3 + 1)) / sum(event_id % 3 + 1) AS position FROM events GROUP BY 1),
+c AS (SELECT 'https://shop.example.com/u' || c_custkey AS key, c_custkey AS page_id FROM customer)
+SELECT coalesce(c.key, s.key) AS key, page_id, coalesce(clicks, 0) AS clicks, coalesce(impressions, 0) AS impressions, round(position, 6) AS position, page_id IS NOT NULL AS crawled, s.key IS NOT NULL AS shown FROM c FULL JOIN s ON s.key = c.key""")
+def metrics_with_crawl(t: Tables) -> DataFrame:
+    """All customers' pages and all URLs that events stand for."""
+    k = F.col("event_id") % 3
+    rows = t.events.select(F.concat(F.lit("HTTPS://Shop.example.com:443/u"), "user_id", F.lit("?utm_medium=x#top")).alias("page_url"), k.alias("clicks"), (k + 1).alias("impressions"), F.col("value").alias("position"))
+    pages = t.customer.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://shop.example.com/u"), "c_custkey").alias("normalized_url"))
+    return metrics.with_crawl(rows, pages).withColumn("position", F.round("position", 6))
+
+
+@query("SELECT 'HTTPS://Shop.example.com/u' || user_id AS url, min(event_id) AS place FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
+def inspection_requests(t: Tables) -> DataFrame:
+    asked = t.events.select(F.concat(F.lit("HTTPS://Shop.example.com/u"), "user_id").alias("url"), F.col("event_id").alias("place"))
+    allowed = t.customer.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("https://shop.example.com/u"), "c_custkey", F.lit("/")).alias("url"))
+    return metrics.asked_and_allowed(asked, allowed)
+
+
 # ---- search ----
 
 #: What is sought: rare and common parts of URLs and titles, in either case, signs, one that is shorter than a trigram, and one that nothing holds.

@@ -252,7 +252,14 @@ CHECKS: dict[str, tuple] = {
         lambda t: explore.work_queue(explore.page_rows(pages(t.part))).select("url", F.array_join("labels", ",").alias("labels")),
         f"WITH {TABLES_SQL}, w AS (SELECT url, list_filter([CASE WHEN status >= 400 THEN 'broken' END, CASE WHEN words < 80 THEN 'thin' END, CASE WHEN coalesce(status, 200) >= 300 OR k % 17 = 0 THEN 'not indexable' END, CASE WHEN k % 13 < 2 THEN 'no title' END], lambda x: x IS NOT NULL) AS l FROM c) SELECT url, array_to_string(l, ',') AS labels FROM w WHERE len(l) > 0",
     ),
-    "drilldown_noindex": (lambda t: explore.drilldown(pages(t.part), "noindex").select("url"), f"WITH {TABLES_SQL} SELECT url FROM c WHERE k % 17 = 0 ORDER BY url LIMIT 500"),
+    "drilldown_noindex": (lambda t: explore.drilldown(pages(t.part), "noindex").select("url"), f"WITH {TABLES_SQL} SELECT url FROM c WHERE k % 17 = 0"),
+    "drilldown_pages": (
+        lambda t: explore.drilldown_counts(pages(t.part)).where("measurement != 'title-too-wide'"),
+        f"WITH {TABLES_SQL} " + " UNION ALL ".join(f"SELECT '{m}' AS measurement, count(*) AS pages FROM c WHERE {test}" for m, test in {
+            "pages-crawled": "true", "missing-title": "k % 13 < 2", "missing-meta-description": "k % 9 = 0", "missing-h1": "k % 12 = 0", "multiple-h1": "k % 12 = 1", "thin-content": "words < 80", "noindex": "k % 17 = 0", "deep-pages": "depth > 3", "needs-javascript": "k % 7 = 0",
+            "redirects": "hops > 0", "missing-open-graph": "k % 28 = 0", "broken-pages": "status >= 400", "incomplete-schema": "k % 30 IN (3, 6)", "images-without-alt": "k % 26 = 0", "mixed-content": "k % 26 = 4 AND (k % 11 = 0 OR k % 23 <> 5)",
+        }.items()),
+    ),
     "section_pages": (lambda t: explore.section_rollup(explore.page_rows(pages(t.part))).select("section", "pages", "n_2xx", "n_4xx", "n_5xx"), f"WITH {TABLES_SQL} SELECT '/p' AS section, count(*) AS pages, count(*) FILTER (status = 200) AS n_2xx, count(*) FILTER (status BETWEEN 400 AND 499) AS n_4xx, count(*) FILTER (status >= 500) AS n_5xx FROM c"),
     "explorer_kinds": (lambda t: explore.explorer_rows(_site(t).pages, _site(t).failures.withColumn("depth", F.lit(None).cast("int")), _site(t).blocked).groupBy("kind").agg(F.count(F.lit(1)).alias("rows")), f"WITH {TABLES_SQL} SELECT 'page' AS kind, count(*) AS \"rows\" FROM c UNION ALL SELECT 'failure', count(*) FROM f UNION ALL SELECT 'blocked', count(*) FROM p WHERE k % 29 = 0"),
     "issue_changes": (
