@@ -134,6 +134,7 @@ _add("noindex", "indexability/error", HUMAN, OBSERVED, lambda t: c("robots.noind
 _add("canonical-mismatch", "indexability/warning", HUMAN, OBSERVED, lambda t: urls.is_url(c("canonical")) & (urls.same_key(c("canonical")) != urls.same_key(F.coalesce(c("final_url"), c("url")))), ("canonical", "url"))
 _add("canonical-absent", "indexability/notice", SAFE, OBSERVED, lambda t: c("canonical").isNull(), ("canonical",))
 _add("nofollow", "indexability/warning", HUMAN, OBSERVED, lambda t: c("robots.nofollow"), ("robots.meta",), "robots")
+#: Fixed value: phrases by which a page says that it is none.
 SOFT_404 = r"(?i)\b(404|page not found|not found|doesn'?t exist|no longer available|nothing here)\b"
 _add(
     "soft-404", "indexability/warning", HUMAN, HEURISTIC,

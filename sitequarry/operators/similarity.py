@@ -185,9 +185,10 @@ def jaccard_pairs(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Dat
     Prefix filter: shingles are ordered by how rare they are, and two sets this similar share one of their first
     n - ceil(threshold * n) + 1. Only those are joined, so frequent shingles make no pairs; hits are verified on the whole sets.
     """
-    long = docs.select("id", F.explode("shingles").alias("s"))
+    # shingles are hashed before they are shuffled: a number each instead of their words
+    long = docs.select("id", F.explode(F.transform("shingles", lambda x: F.xxhash64(x))).alias("s"))
     counted = long.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    sets = cut(long.join(counted, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x")).select("id", F.transform("x", lambda e: F.xxhash64(e["s"])).alias("x"), F.size("x").alias("n")))
+    sets = cut(long.join(counted, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x")).select("id", F.transform("x", lambda e: e["s"]).alias("x"), F.size("x").alias("n")))
     prefix = F.slice("x", F.lit(1), F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1)
     index = sets.select("id", "n", F.explode(prefix).alias("k"))
     pairs = index.select(F.col("id").alias("a"), F.col("n").alias("na"), "k").join(index.select(F.col("id").alias("b"), F.col("n").alias("nb"), "k"), "k")

@@ -50,9 +50,11 @@ needs_js boolean
 NOISE = frozenset("script style noscript template".split())
 BLOCK = frozenset("address article aside blockquote dd details dt div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main nav ol p pre section table td th tr ul".split())
 SECTIONS = ("article", "section", "aside", "nav")
+#: Landmark elements.
 LANDMARKS = ("main", "header", "footer", "nav", "aside", "search", "form")
 #: Schemes of references that are no links.
 NOT_LINKS = ("mailto:", "tel:", "javascript:", "sms:", "fax:")
+#: Attributes in which lazy loaders keep an image's address.
 SRC_ATTRIBUTES = ("src", "data-src", "data-lazy-src", "data-original", "data-lazy", "data-srcset", "data-url", "data-img", "data-image", "data-hi-res-src")
 #: Names of site-verification tags and who they are for.
 VERIFICATION = {"google-site-verification": "google", "msvalidate.01": "bing", "p:domain_verify": "pinterest", "facebook-domain-verification": "facebook", "yandex-verification": "yandex", "norton-safeweb-site-verification": "norton-safeweb", "ahrefs-site-verification": "ahrefs"}
@@ -66,6 +68,7 @@ STRANDED: tuple[tuple[str, bool, str, Callable[[Node], bool]], ...] = (
     ("open-graph", False, "meta", lambda n: (n.get("property") or "").startswith("og:")),
     ("twitter-card", False, "meta", lambda n: (n.get("name") or n.get("property") or "").startswith("twitter:")),
 )
+#: Hosts that serve fonts.
 FONT_HOSTS = ("fonts.googleapis.com", "fonts.gstatic.com", "use.typekit.net", "p.typekit.net", "fonts.bunny.net", "use.fontawesome.com", "kit.fontawesome.com", "cloud.typography.com", "fast.fonts.net")
 
 

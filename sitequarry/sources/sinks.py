@@ -51,3 +51,15 @@ def export(df: DataFrame, path: str, form: str = "csv", dataset: str | None = No
 def replace_slice(df: DataFrame, path: str, by: tuple[str, ...]) -> None:
     """Writes df over the partitions that it has rows of; other partitions stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def save(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """A table of a run (pages, failures, graph, raw HTML, ...) at a path, in place of what is there: Parquet, or JSON lines."""
+    df.write.mode("overwrite").format(form).save(path)
+
+
+def save_raw(pages: DataFrame, path: str, html: str = "html", files: int | None = None) -> None:
+    """Raw HTML by page: (page_id, url, sha256, html), compressed; pages without HTML are left out. files: into so many, by page."""
+    rows = pages.where(F.col(html).isNotNull()).select("page_id", "url", F.sha2(html, 256).alias("sha256"), F.col(html).alias("html"))
+    rows = rows.repartition(files, "page_id") if files else rows
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)

@@ -73,15 +73,15 @@ def test_recall_at_the_threshold():
 
 
 def test_large_group_makes_linear_rows(spark):
-    """20 000 signatures around one: joined by their buckets' least members; no bucket is left to compare in pairs of blocks."""
+    """6 000 signatures around one: joined by their buckets' least members; no bucket is left to compare in pairs of blocks."""
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**32, 128)
-    sig = np.repeat(base[None, :], 20_000, axis=0)
+    sig = np.repeat(base[None, :], 6_000, axis=0)
     for row in sig:
         row[rng.integers(0, 128, 8)] = rng.integers(0, 2**32, 8)
     classes = spark.createDataFrame([(k, [int(x) for x in s]) for k, s in enumerate(sig)], "id long, sig array<long>").repartition(4)
     done = similarity.linked_classes(classes, 0.75)
-    assert done.count() == 20_000 and done.select("component").distinct().count() == 1
+    assert done.count() == 6_000 and done.select("component").distinct().count() == 1
 
 
 def test_copies_of_one_signature(spark):
