@@ -19,20 +19,24 @@ from sitequarry.plans.lineage import cut, spread
 
 #: Bases of the two hashes from which all others are mixed.
 BASES = (0x811C9DC5, 0x9747B28C)
-MODULUS = np.uint64(0xFFFFFFFF)
 
 
-def signature(shingles: list[str], size: int = 128) -> list[int]:
-    """Minima over the shingles of h1 + i * h2, modulo 2^32, for i below size."""
-    h1, h2 = (tx.fnv1a_all(shingles, b) for b in BASES)
-    steps = np.arange(size, dtype=np.uint64)
-    least = np.full(size, MODULUS)
-    for at in range(0, len(h1), 2048):
-        mixed = (h1[at : at + 2048, None] + h2[at : at + 2048, None] * steps) & MODULUS
+def _minima(h1: np.ndarray, h2: np.ndarray, size: int) -> list[int]:
+    """Minima of h1 + i * h2, modulo 2^32 (as 32-bit numbers wrap), for i below size."""
+    steps = np.arange(size, dtype=np.uint32)
+    least = np.full(size, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(h1), 1024):
+        mixed = h2[at : at + 1024, None] * steps
+        mixed += h1[at : at + 1024, None]
         np.minimum(least, mixed.min(axis=0), out=least)
     return least.astype(np.int64).tolist()
 
 
+def signature(shingles: list[str], size: int = 128) -> list[int]:
+    """Minima over the shingles of h1 + i * h2, modulo 2^32, for i below size."""
+    return _minima(*(tx.fnv1a_all(shingles, b).astype(np.uint32) for b in BASES), size)
+
+
 _APART = re.compile(r"[\W_]+")
 
 
@@ -42,14 +46,36 @@ def shingles_of(text: str | None, size: int) -> list[str]:
     return list(dict.fromkeys(" ".join(words[i : i + size]) for i in range(len(words) - size + 1)))
 
 
+def text_signature(text: str | None, shingle_size: int, size: int = 128) -> list[int] | None:
+    """signature() of a text's shingles, None if it has none: they are hashed where they stand in the words put together, by both bases at once, unit by unit over all that are long enough."""
+    words = [w for w in _APART.split(text.lower()) if w] if text else []
+    n = len(words) - shingle_size + 1
+    if n < 1:
+        return None
+    flat = np.frombuffer(" ".join(words).encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint32)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    if lengths.sum() + len(words) - 1 != len(flat):  # some characters take two units
+        lengths = np.array([len(w.encode("utf-16-le", "surrogatepass")) // 2 for w in words])
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[:n]
+    spans = ends[shingle_size - 1 :] - starts
+    order = np.argsort(-spans, kind="stable")
+    at, spans = starts[order], spans[order]
+    h = np.repeat(np.array(BASES, np.uint32)[:, None], n, axis=1)
+    for k, live in enumerate(np.searchsorted(-spans, -np.arange(spans[0]), "left").tolist()):
+        part = h[:, :live]
+        part ^= flat[at[:live] + k]
+        part *= np.uint32(16777619)
+    return _minima(h[0], h[1], size)
+
+
 def with_signature(pages: DataFrame, shingle_size: int = 5, size: int = 128) -> DataFrame:
     """pages(text) with sig, null for texts of fewer words than a shingle. Shingles never leave the function: they are several times the text."""
 
     @F.pandas_udf(ArrayType(LongType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            own = (shingles_of(t, shingle_size) for t in texts)
-            yield pd.Series([signature(s, size) if s else None for s in own])
+            yield pd.Series([text_signature(t, shingle_size, size) for t in texts])
 
     return pages.withColumn("sig", run("text"))
 

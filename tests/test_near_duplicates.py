@@ -6,11 +6,24 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sitequarry.functions import text as tx
 from sitequarry.operators import similarity
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab é漢😀\n-_İß", max_size=80), st.integers(1, 4))
+def test_signature_of_a_text(text, size):
+    shingles = similarity.shingles_of(text, size)
+    assert similarity.text_signature(text, size, 16) == (similarity.signature(shingles, 16) if shingles else None)
+    if shingles:
+        hashes = [[tx.fnv1a(s, b) for b in similarity.BASES] for s in shingles]
+        assert similarity.signature(shingles, 16) == [min((a + i * b) % 2**32 for a, b in hashes) for i in range(16)]
+
+
 def _docs(seed, families, each, words=80):
     rng = random.Random(seed)
     out = []
