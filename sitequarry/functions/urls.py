@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import parse_qsl, quote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
@@ -61,10 +62,16 @@ def normalize(raw: str | None, base: str | None = None) -> str | None:
     return urlunsplit((scheme, where, path, "&".join(f"{_form(k)}={_form(v)}" for k, v in kept), ""))
 
 
+@lru_cache(maxsize=1 << 16)
+def remembered(raw: str | None) -> str | None:
+    """normalize() of what a worker has seen of late: links and resources recur on many pages."""
+    return normalize(raw)
+
+
 @F.pandas_udf(StringType())
 def normalize_url(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for urls in batches:
-        yield pd.Series([normalize(u) for u in urls], dtype=object)
+        yield pd.Series([remembered(u) for u in urls], dtype=object)
 
 
 @F.pandas_udf(StringType())
