@@ -266,8 +266,8 @@ def evaluate(pages: DataFrame, config: Config = Config(), both: bool = False) ->
         )
         for r in rules
     ])
-    ran = pages.select("run_id", "page_id", "url", "normalized_url", results.alias("results"))
-    run = (cut(ran) if both else ran).select("run_id", "page_id", "url", "normalized_url", F.explode("results").alias("r")).select("run_id", "page_id", "url", "normalized_url", "r.*")
+    ids = ("run_id", "page_id", "url", "normalized_url")
+    run = (cut(pages.select(*ids, results.alias("results"))).select(*ids, F.explode("results").alias("r")) if both else pages.select(*ids, F.explode(results).alias("r"))).select(*ids, "r.*")
     issues = run.select("run_id", "rule_id", "category", "severity", F.lit("page").alias("scope"), "page_id", F.coalesce("normalized_url", "url").alias("url"), F.explode("issues").alias("evidence"))
     counts = run.groupBy("run_id", "rule_id", "category", "severity").agg(F.count("issues").alias("evaluated"), F.count_if(F.size("issues") > 0).alias("failed"))
     return issues, counts
