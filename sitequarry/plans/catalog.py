@@ -713,11 +713,11 @@ def sitemap_lastmod_verdict(t: Tables) -> DataFrame:
     return site_files.lastmod_trust(rows, F.lit("2030-06-01").cast("timestamp")).select("total", "with_lastmod", "invalid", "distinct_values", "verdict")
 
 
-for _name, (_run_query, _sql) in derived.CHECKS.items():
-    query(_sql, _name)(_run_query)
+for _name, (_derived_query, _sql) in derived.CHECKS.items():
+    query(_sql, _name)(_derived_query)
 
-for _name, (_run, _sql) in markup.checks().items():
-    QUERIES[_name], SQL[_name] = _run, _sql
+for _name, (_markup_query, _sql) in markup.checks().items():
+    QUERIES[_name], SQL[_name] = _markup_query, _sql
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
