@@ -15,6 +15,8 @@ from sitequarry.plans.lineage import cut
 
 #: Rows that a bucket, or a block of a larger one, should have.
 BLOCK = 2048
+#: Rows of the largest block of the exact search, and cosines that a task holds at once.
+MOST_BLOCK, CELLS = 32_768, 1 << 23
 
 
 def plan_tables(n: int, low: float, recall: float, block: int = BLOCK) -> tuple[int, int]:
@@ -61,8 +63,9 @@ def _compare(low: float, high: float, bits: int, tables: int, seed: int) -> Call
         keys = _keys(m, bits, tables, seed)[:, :table]
         left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for at in range(0, len(left), 512):
-            own = left[at : at + 512]
+        step = max(1, min(512, CELLS // max(1, len(right))))
+        for at in range(0, len(left), step):
+            own = left[at : at + step]
             cosine = m[own] @ m[right].T
             i, j = np.nonzero((cosine >= low - 1e-12) & (cosine < high) & ((ids[own][:, None] < ids[right][None, :]) if one == two else True))
             if table and len(i):
@@ -130,9 +133,13 @@ def audited_band(classes: DataFrame, low: float = 0.78, high: float = 0.85, leas
     return cut(all_pairs(classes, low, high, block)), 1.0
 
 
-def all_pairs(classes: DataFrame, low: float, high: float, block: int = BLOCK) -> DataFrame:
-    """The exact band: every block against every other, in the square of the rows."""
-    blocks = max(1, math.ceil(classes.count() / block))
+def all_pairs(classes: DataFrame, low: float = 0.78, high: float = 0.85, block: int | None = None) -> DataFrame:
+    """The exact band: every block against every other, in the square of the rows.
+
+    A row is sent once for each block, so blocks grow with the rows up to MOST_BLOCK: some eight of them keep all cores busy.
+    """
+    n = classes.count()
+    blocks = max(1, math.ceil(n / (block or min(MOST_BLOCK, max(BLOCK, n // 8)))))
     part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     dealt = classes.select("id", "v", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     dealt = dealt.select("id", "v", F.lit(0).alias("tab"), "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))

@@ -740,10 +740,9 @@ def _blended(t: Tables) -> DataFrame:
 
 @query(f"WITH {COSINES} SELECT a, b, round(cosine, 6) AS cosine FROM u WHERE cosine >= 0.78 AND cosine < 0.85")
 def cosine_links(t: Tables) -> DataFrame:
-    """Pairs in the band, over all vectors."""
+    """All pairs in the band, over all vectors."""
     classes, _ = cosine.unit_classes(_blended(t), "page_id", "v")
-    pairs, _ = cosine.audited_band(classes)
-    return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return cosine.all_pairs(classes).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query("SELECT 0.9 AS least, true AS reached, 0 AS wrong")
@@ -784,7 +783,7 @@ def link_opportunities(t: Tables) -> DataFrame:
     """The best new sources of every page by similar vectors and shared queries."""
     vectors = cut(_blended(t))
     classes, members = cosine.unit_classes(vectors, "page_id", "v")
-    pairs, _ = cosine.audited_band(classes)
+    pairs = cut(cosine.all_pairs(classes))
     k = F.col("page_id")
     pages = vectors.select("page_id", (k % 7 != 0).alias("linkable"), (k % 101).cast("int").alias("score"), ((k % 11) / 10.0).alias("value"))
     edges = vectors.where(k % 3 == 0).select(k.alias("src"), (k + 1).alias("dst"))
