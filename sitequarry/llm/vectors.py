@@ -29,6 +29,8 @@ from sitequarry.llm.common import components, cut
 
 #: Classes in a shard, clusters a class belongs to, links kept of a class, beam of a search.
 SHARD, OVERLAP, DEGREE, BEAM, ALPHA = 2000, 2, 16, 32, 1.2
+#: Classes of a block of the exact check.
+CHECKED = 8192
 #: Sampled vectors for the centroids, the most centroids, and the sample of the audit.
 SAMPLE, MOST_CENTROIDS, AUDITED = 20_000, 8192, 200
 
@@ -419,12 +421,16 @@ def audit(classes: DataFrame, counts: DataFrame, threshold: float, audited: int
     return sum(min(r["links"], true.get(i, 0)) for i, r in sample.items()) / wanted if wanted else 1.0
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", shard: int = SHARD, overlap: int = OVERLAP, least_recall: float = 0.95) -> tuple[DataFrame, float]:
-    """(vec_id, n_links, component_id, kept) for each row, and the audited recall."""
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", shard: int = SHARD, overlap: int = OVERLAP, least_recall: float = 0.95, complete: bool = False) -> tuple[DataFrame, float]:
+    """(vec_id, n_links, component_id, kept) for each row, and the audited recall. complete: an exact check of every pair of a label follows the search, so that no link is missing however few the audit would let pass."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"), F.col(label_col).alias("label"))
     classes = cut(classes_of(rows, "vec_id", "embedding", "label"))
     for _ in range(3):
         counts, edges = _find(classes, threshold, shard, overlap)
+        if complete:
+            counts, missed = _find_all(classes, threshold, CHECKED)
+            edges, recall = edges.unionByName(missed), 1.0
+            break
         recall = audit(classes, counts, threshold)
         if recall >= least_recall:
             break
