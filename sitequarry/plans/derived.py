@@ -133,9 +133,9 @@ def parts(part: DataFrame) -> DataFrame:
 
 
 def pages(part: DataFrame, lineitem: DataFrame | None = None) -> DataFrame:
-    """The crawled pages, with their links if lineitem is given."""
+    """The crawled pages, with their links if lineitem is given. A part is few bytes and much work as a page: however few files and row groups hold them, they are dealt over all cores."""
     kinds = {f.name: f.dataType for f in crawl.page_schema().fields}
-    rows = parts(part).where("k % 19 != 0")
+    rows = parts(part).where("k % 19 != 0").repartition(2 * part.sparkSession.sparkContext.defaultParallelism)
     if lineitem is not None:
         target = f"concat(CASE WHEN l_linenumber = 6 THEN 'http://shop.example.com' WHEN l_linenumber = 5 THEN 'https://www.shop.example.com' ELSE '{HOST}' END, '/p/', l_orderkey)"
         link = f"named_struct('target', {target}, 'target_normalized', {target}, 'anchor', CASE WHEN l_quantity <= 10 THEN '' WHEN l_quantity <= 20 THEN 'Read more' ELSE 'goods' END, 'type', if(l_returnflag = 'R', 'external', 'internal'))"
@@ -184,6 +184,11 @@ def _issues(t) -> DataFrame:
     return cut(page_rules.evaluate(pages(t.part), config)[0])
 
 
+def _changes(t) -> DataFrame:
+    found = _issues(t)
+    return diff.issue_diff(found.where("rule_id in ('noindex', 'nofollow')"), found.where("rule_id in ('noindex', 'title-missing')"))
+
+
 def _site(t) -> Site:
     return site(t.part, t.lineitem)
 
@@ -263,7 +268,7 @@ CHECKS: dict[str, tuple] = {
     "section_pages": (lambda t: explore.section_rollup(explore.page_rows(pages(t.part))).select("section", "pages", "n_2xx", "n_4xx", "n_5xx"), f"WITH {TABLES_SQL} SELECT '/p' AS section, count(*) AS pages, count(*) FILTER (status = 200) AS n_2xx, count(*) FILTER (status BETWEEN 400 AND 499) AS n_4xx, count(*) FILTER (status >= 500) AS n_5xx FROM c"),
     "explorer_kinds": (lambda t: explore.explorer_rows(_site(t).pages, _site(t).failures.withColumn("depth", F.lit(None).cast("int")), _site(t).blocked).groupBy("kind").agg(F.count(F.lit(1)).alias("rows")), f"WITH {TABLES_SQL} SELECT 'page' AS kind, count(*) AS \"rows\" FROM c UNION ALL SELECT 'failure', count(*) FROM f UNION ALL SELECT 'blocked', count(*) FROM p WHERE k % 29 = 0"),
     "issue_changes": (
-        lambda t: diff.issue_diff(_issues(t).where("rule_id in ('noindex', 'nofollow')"), _issues(t).where("rule_id in ('noindex', 'title-missing')")),
+        _changes,
         hits_sql() + " SELECT rule_id, url, CASE rule_id WHEN 'noindex' THEN 'persisting' WHEN 'nofollow' THEN 'resolved' ELSE 'new' END AS change FROM h WHERE rule_id IN ('noindex', 'nofollow', 'title-missing')",
     ),
     "schema_type_use": (lambda t: diff.schema_types(pages(t.part), pages(t.part).where("status_code = 200")).select("type", "ours", "theirs"), f"WITH {TABLES_SQL} SELECT CASE WHEN k % 30 = 5 THEN 'VideoObject' ELSE 'Product' END AS type, count(*) AS ours, count(*) FILTER (status = 200) AS theirs FROM c WHERE k % 30 <> 0 GROUP BY 1"),
