@@ -5,14 +5,14 @@ alike. Texts with the same set are one class, with a fingerprint voted by its sh
 classes within RADIUS bits; those of similarity `least` or more join. Two sets of similarity 0.8 differ in about ten of 64
 bits, more than any radius for which the pigeonhole search stays selective, so the rest is searched exactly: shingles are put
 in one order, those frequent in a bounded sample last, the most frequent at the end (the order decides the cost only); of two
-sets of similarity `least`, the first n - ceil(least * n) + s of each share s places, or all they need if that is less, where s
-grows with n from 1 to 3 (long sets can pay for a stricter test; in short ones it would reach the frequent shingles). Values
-before a shared one that no other prefix has are missing in the other set, which bounds what a pair can share. In values that
-many classes share, classes are first compared with a few of them only, and those found alike join; classes still apart are
-then put into buckets by bands of minima of their whole sets, and each is compared with one class of each of its buckets, a
-number of pairs in proportion to the classes. Last, all pairs of classes not yet joined that share enough places are compared,
-so that no link between groups is lost; in values that many classes share, only pairs leave the join whose parities allow the
-similarity.
+sets of similarity `least`, the first n - ceil(least * n) + s of each share s places, or all they need if that is less, where
+s grows with n from 1 to 3 (long sets can pay for a stricter test; in short ones it would reach the frequent shingles).
+Values before a shared one that no other prefix has are missing in the other set, which bounds what a pair can share. In
+values that more than STARRED classes share, classes are first compared with a few of them only, and those found alike join;
+classes of values that more than LARGE share and that are still apart are then put into buckets by bands of minima of their
+whole sets, and each is compared with one class of each of its buckets, a number of pairs in proportion to the classes. Last,
+all pairs of classes not yet joined that share enough places are compared, so that no link between groups is lost; only pairs
+leave the join whose parities allow the similarity.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from sitequarry.llm.simhash import near_sets, vote
 from sitequarry.plans.lineage import drop_cut, settled
 
 SEED, WORDS, LEAST, RADIUS = 42, 5, 0.8, 3
-#: Sizes of sets from which a pair must share 2 and 3 places of the prefix; members from which a value is first compared in stars, and centres of a star.
-TWO, THREE, LARGE, CENTRES = 60, 150, 16, 2
+#: Sizes of sets from which a pair must share 2 and 3 places of the prefix; members above which a value is first compared in stars, and above which classes still apart are put into buckets by bands; centres of a star.
+TWO, THREE, STARRED, LARGE, CENTRES = 60, 150, 3, 16, 2
 #: Bands of minima, minima of a band, rounds of comparing within buckets: these decide the cost only, not the links.
 BANDS, DEEP, ROUNDS = 24, 12, 2
 #: Numbers of 64 bits of a set's parities.
@@ -68,15 +68,15 @@ def _prefixes(words: int, least: float, frequent: np.ndarray, rank: np.ndarray):
         def one(text: str | None) -> tuple:
             s = shingle_set(text, words)
             if not len(s):
-                return 0, 0, [], 0
+                return 0, 0, [], 0, []
             at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
             last = frequent[at] == s if len(frequent) else np.zeros(len(s), bool)
             ordered = np.concatenate([s[~last], s[last][np.argsort(rank[at[last]])]])
-            return xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63), len(s), ordered[: len(s) - needed(len(s), least) + shared(len(s))].tolist(), vote(s)
+            return xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63), len(s), ordered[: len(s) - needed(len(s), least) + shared(len(s))].tolist(), vote(s), parity_of(s)
 
         return one
 
-    return per_text(make, "id long, n int, prefix array<long>, fp long")
+    return per_text(make, "id long, n int, prefix array<long>, fp long, p array<long>")
 
 
 def _sets(words: int):
@@ -163,16 +163,6 @@ def parity_of(x: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
-def _parities(sets: DataFrame) -> DataFrame:
-    """(id, p) of sets(id, x)."""
-
-    @F.pandas_udf("array<long>")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series([parity_of(np.asarray(s, np.int64)) for s in x])
-
-    return sets.select("id", run("x").alias("p"))
-
-
 def _by_bands(sets: DataFrame, least: float, seed: int) -> DataFrame:
     """(u, v): links found by comparing each class of sets(id, x, label) with one class of each of its buckets, unless they are joined."""
     index = cut(sets.select("id", "label", F.explode(_bands(seed)("x")).alias("k")))
@@ -214,7 +204,7 @@ def _mixed(near: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame, reps: DataFrame, docs: DataFrame, words: int, least: float, radius: int = RADIUS) -> DataFrame:
-    """(u, v): links that join the classes(id, n, prefix, fp) as all pairs of similarity `least` or more would."""
+    """(u, v): links that join the classes(id, n, prefix, fp, p) as all pairs of similarity `least` or more would."""
     proposed = near_sets(classes.select("id", "fp"), radius)
     index = classes.select("id", "n", F.posexplode("prefix").alias("at", "k"))
     several = index.groupBy("k").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -224,7 +214,7 @@ def links(classes: DataFrame, reps: DataFrame, docs: DataFrame, words: int, leas
     most_shared = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
     alike = most_shared * F.lit(1 + least) >= F.lit(least) * (F.col("na") + F.col("nb")) - 1e-9
 
-    dense = near.where(F.col("members") > LARGE)
+    dense = near.where(F.col("members") > STARRED)
     stars = None
     for seed in range(CENTRES):
         centre = dense.groupBy("k").agg(F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n", "own")).alias("c")).select("k", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.own").alias("oa"))
@@ -246,15 +236,13 @@ def links(classes: DataFrame, reps: DataFrame, docs: DataFrame, words: int, leas
     differ = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY)), F.lit(0))
     close = differ * F.lit(1 + least) <= F.lit(1 - least) * (F.col("na") + F.col("nb")) + 1e-9
 
-    def compared(rows: DataFrame, also: Column) -> DataFrame:
+    def compared(rows: DataFrame) -> DataFrame:
         left = rows.where(F.col("label") != F.col("most")).select("k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("label").alias("la"), F.col("p").alias("pa"))
         right = rows.select("k", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("label").alias("lb"), "most", "alike", F.col("p").alias("pb"))
         apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("most")) | (F.col("a") < F.col("b")))
-        return left.join(right, "k").where(apart & alike & also).select("a", "na", "b", "nb", "alike")
+        return left.join(right, "k").where(apart & alike & close).select("a", "na", "b", "nb", "alike")
 
-    few = mixed.where(F.col("members") <= LARGE).withColumn("p", F.lit(None))
-    many = mixed.where(F.col("members") > LARGE).join(cut(_parities(sets), few=True), "id")
-    cross = compared(few, F.lit(True)).unionByName(compared(many, close))
+    cross = compared(cut(mixed.join(classes.select("id", "p"), "id")))
     ordered = cross.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"), "alike")
     rest = cut(_enough(ordered, least), few=True)
     return first.unionByName(_verified(rest, reps, docs, words, least))
@@ -266,7 +254,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST, radiu
     shingled = _prefixes(words, least, *_frequent(texts, words))(F.col("text"))
     rows = cut(texts.withColumn("s", shingled).select("doc_id", "key", "s.*"))
     reps = cut(rows.groupBy("id").agg(F.min("key").alias("key")), few=True)
-    classes = rows.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp")).where("n > 0")
+    classes = rows.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp"), F.first("p").alias("p")).where("n > 0")
     linked = cut(components(links(classes, reps, texts, words, least, radius)), few=True)
     return rows.join(linked, rows["id"] == linked["node"], "left").select("doc_id", "key", F.coalesce("label", "id").alias("label"))
 
