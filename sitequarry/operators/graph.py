@@ -11,15 +11,33 @@ from sitequarry.functions import urls
 from sitequarry.plans.lineage import cut, drop_cut
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: int = 100, epsilon: float = 1e-6, fixed: int | None = None) -> DataFrame:
-    """Ranks of nodes(id) over edges(src, dst): self-links and repeated links don't count, the rank of nodes without a link out is shared by all.
+#: Targets of one list of links: a node with more has several lists, so that no row holds a hub whole.
+LIST = 4096
+
+
+def link_lists(links: DataFrame) -> DataFrame:
+    """(src, out, to): the targets of distinct links(src, dst) in lists of about LIST, with the number of links of their source. A round over lists sorts and joins a row for each node instead of one for each link."""
+    out = links.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("out") / LIST))
+    return links.join(out, "src").groupBy("src", "out", part.alias("part")).agg(F.collect_list("dst").alias("to")).drop("part")
+
+
+def pagerank(nodes: DataFrame | None, edges: DataFrame, damping: float = 0.85, most: int = 100, epsilon: float = 1e-6, fixed: int | None = None) -> DataFrame:
+    """Ranks of nodes(id), or of all that edges name, over edges(src, dst): self-links and repeated links don't count, the rank of nodes without a link out is shared by all.
 
     One round is a join and a grouped sum; the driver reads two numbers from it, the largest change and the dangling rank.
     Stops when no rank changes by epsilon, or after `fixed` rounds.
     """
-    links = edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct().join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    links = cut(links.join(links.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "src"))
-    base = cut(nodes.select("id").join(links.select(F.col("src").alias("id")).distinct().withColumn("leads", F.lit(True)), "id", "left"))
+    links = edges.select("src", "dst").distinct()
+    if nodes is None:
+        links = cut(links)
+        nodes = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
+        named = links
+    else:
+        named = links.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    lists = cut(link_lists(named.where(F.col("src") != F.col("dst"))))
+    base = cut(nodes.select("id").join(lists.select(F.col("src").alias("id")).distinct().withColumn("leads", F.lit(True)), "id", "left"))
+    drop_cut(links)
     n = base.count()
     if not n:
         return base.select("id", F.lit(0.0).alias("rank"))
@@ -27,7 +45,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: in
     dangling = base.where("leads is null").count() / n
     tiny = sys.float_info.epsilon
     for k in range(fixed or most):
-        gained = links.join(now.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("gain"))
+        given = lists.join(now.select(F.col("id").alias("src"), "rank"), "src").select(F.explode("to").alias("id"), (F.col("rank") / F.col("out")).alias("part"))
+        gained = given.groupBy("id").agg(F.sum("part").alias("gain"))
         rank = F.greatest(F.lit(tiny), F.lit((1 - damping) / n + damping * dangling / n) + damping * F.coalesce("gain", F.lit(0.0)))
         told = Observation()
         step = now.join(gained, "id", "left").select("id", "leads", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change"))
@@ -38,7 +57,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: in
         now = after
         if not fixed and change < epsilon:
             break
-    for one in (links, base):
+    for one in (lists, base):
         drop_cut(one)
     return now.select("id", "rank")
 
@@ -69,7 +88,7 @@ def page_graph(pages: DataFrame, **options: float) -> DataFrame:
     return scored.join(inlinks, "id", "left").join(named, "id").select(F.col("id").alias("page_id"), "url", "rank", "score", F.coalesce("inlinks", F.lit(0)).alias("inlinks"), F.coalesce("unique_inlinks", F.lit(0)).alias("unique_inlinks"))
 
 
-def simple_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def simple_rank(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
     """The plain variant: 20 rounds, 5 decimals, no logarithm."""
     return pagerank(nodes, edges, fixed=20).withColumn("rank", F.floor(F.col("rank") * 100000 + 0.5) / 100000)
 
