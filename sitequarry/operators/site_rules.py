@@ -34,6 +34,14 @@ class Site:
     seed: str | None = None
     near_duplicates: DataFrame | None = None
 
+    def __post_init__(self) -> None:
+        # tables that grow with the run are joined by sorted shuffles: the size of a few columns of compressed files says little
+        # of their rows in memory, and a table that is broadcast by that estimate goes through the driver whole
+        for name in ("pages", "failures", "blocked", "sitemap"):
+            rows = getattr(self, name)
+            if rows is not None:
+                setattr(self, name, rows.hint("merge"))
+
     @cached_property
     def own(self) -> DataFrame:
         """Pages with their requested and final path."""
