@@ -12,7 +12,8 @@ values that more than STARRED classes share, classes are first compared with a f
 classes of values that more than LARGE share and that are still apart are then put into buckets by bands of minima of their
 whole sets, and each is compared with one class of each of its buckets, a number of pairs in proportion to the classes. Last,
 all pairs of classes not yet joined that share enough places are compared, so that no link between groups is lost; only pairs
-leave the join whose parities allow the similarity.
+leave the join whose parities allow the similarity, and of the values that a pair shares only the first few: each row has the
+values before its own, and where those of both have as many in common as the pair must share, the pair has left the join before.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ TWO, THREE, STARRED, LARGE, CENTRES = 60, 150, 3, 16, 2
 BANDS, DEEP, ROUNDS = 24, 12, 2
 #: Numbers of 64 bits of a set's parities.
 PARITY = 8
+#: Values before its own that a row of the last join has: decides how often a pair leaves it, not whether.
+BEFORE = 16
 #: Sampled texts for the order, frequent shingles kept of them.
 SAMPLE, FREQUENT = 20_000, 100_000
 #: Bits of a filter for each key in it, the least and the most bits of one (16 MB), bits of one row of it.
@@ -194,7 +197,7 @@ def _told_once(near: DataFrame) -> DataFrame:
 
 
 def _mixed(near: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of near(k, id, n, own, members, alike) whose value k has several labels, with their label and the one that most members have, `most`: pairs are made from the other members only."""
+    """The rows of near(k, id, n, at, own, members, alike) whose value k has several labels, with their label and the one that most members have, `most`: pairs are made from the other members only."""
     told = cut(near.join(joined, "id", "left").withColumn("label", F.coalesce("label", "id")))
     sizes = told.groupBy("k", "label").agg(F.count(F.lit(1)).alias("c"))
     most = sizes.groupBy("k").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("k", F.col("m.label").alias("most"))
@@ -209,7 +212,7 @@ def links(classes: DataFrame, reps: DataFrame, docs: DataFrame, words: int, leas
     index = classes.select("id", "n", F.posexplode("prefix").alias("at", "k"))
     several = index.groupBy("k").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     before = F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1
-    near = _told_once(cut(index.join(several, "k").withColumn("own", F.col("at") - before).drop("at").where(F.col("n") - F.col("own") >= needed(F.col("n"), least))))
+    near = _told_once(cut(index.join(several, "k").withColumn("own", F.col("at") - before).where(F.col("n") - F.col("own") >= needed(F.col("n"), least))))
     # values before a shared one are before it in both: those of one class only are not in the other
     most_shared = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
     alike = most_shared * F.lit(1 + least) >= F.lit(least) * (F.col("na") + F.col("nb")) - 1e-9
@@ -231,18 +234,21 @@ def links(classes: DataFrame, reps: DataFrame, docs: DataFrame, words: int, leas
     for seed in range(ROUNDS):
         labelled = sets.join(_labels(first), "id", "left").withColumn("label", F.coalesce("label", "id"))
         first = cut(first.unionByName(_by_bands(labelled, least, seed)), few=True)
-    apart_still, mixed = mixed, _mixed(mixed.select("k", "id", "n", "own", "members", "alike"), _labels(first))
+    apart_still, mixed = mixed, _mixed(mixed.select("k", "id", "n", "at", "own", "members", "alike"), _labels(first))
     drop_cut(apart_still)
     differ = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY)), F.lit(0))
     close = differ * F.lit(1 + least) <= F.lit(1 - least) * (F.col("na") + F.col("nb")) + 1e-9
 
     def compared(rows: DataFrame) -> DataFrame:
-        left = rows.where(F.col("label") != F.col("most")).select("k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("label").alias("la"), F.col("p").alias("pa"))
-        right = rows.select("k", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("label").alias("lb"), "most", "alike", F.col("p").alias("pb"))
+        left = rows.where(F.col("label") != F.col("most")).select("k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("label").alias("la"), F.col("p").alias("pa"), F.col("earlier").alias("ea"))
+        right = rows.select("k", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("label").alias("lb"), "most", "alike", F.col("p").alias("pb"), F.col("earlier").alias("eb"))
         apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("most")) | (F.col("a") < F.col("b")))
-        return left.join(right, "k").where(apart & alike & close).select("a", "na", "b", "nb", "alike")
+        # a pair leaves at its first shared(n) values at least: in those fewer are shared before; `alike` holds up to some value and at none after
+        first = F.size(F.array_intersect("ea", "eb")) < shared(F.least("na", "nb"))
+        return left.join(right, "k").where(apart & alike & close & first).select("a", "na", "b", "nb", "alike")
 
-    cross = compared(cut(mixed.join(classes.select("id", "p"), "id")))
+    earlier = F.collect_list("k").over(Window.partitionBy("id").orderBy("at").rowsBetween(-BEFORE, -1))
+    cross = compared(cut(mixed.withColumn("earlier", earlier).join(classes.select("id", "p"), "id")))
     ordered = cross.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"), "alike")
     rest = cut(_enough(ordered, least), few=True)
     return first.unionByName(_verified(rest, reps, docs, words, least))

@@ -60,3 +60,25 @@ def test_links_that_neither_search_nor_stars_find_are_found_by_the_last_join(spa
     want = brute_jaccard_kept(dict(enumerate(texts)))
     assert len(want) < len(texts)
     assert {r.doc_id for r in jaccard.keep_one(docs_of(spark, texts)).collect()} == want and told[-1]
+
+
+def test_long_texts_that_share_much_but_too_little_leave_the_last_join_a_few_times_only(spark, told):
+    from sitequarry.llm import jaccard
+
+    rng = random.Random(7)
+    texts = []
+    for _ in range(3):  # similarity about 0.7: parities of sets this long say nothing, so every pair is made
+        base = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+        for _ in range(8):
+            words = list(base)
+            for _ in range(27):
+                words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+        for _ in range(2):  # and one text that is nearly the last
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    want = brute_jaccard_kept(dict(enumerate(texts)))
+    assert len(want) == 3 * 8
+    assert {r.doc_id for r in jaccard.keep_one(docs_of(spark, texts)).collect()} == want
+    pairs = 3 * 10 * 9 // 2
+    assert told[-1] <= 6 * pairs, told
