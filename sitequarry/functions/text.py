@@ -149,9 +149,14 @@ def significant_words(text: Column) -> Column:
     return F.array_distinct(_matches(F.lower(text), "[a-z0-9]{4,}"))
 
 
+def plain_words(text: Column) -> Column:
+    """The text in lower case with all but letters and digits blanked. Each character has one lower case, as in SQL: Java makes two of a dotted I, and a sigma depend on its place."""
+    return F.regexp_replace(F.lower(F.translate(text, "İΣ", "iσ")), r"[^\p{L}\p{N}\s]", " ")
+
+
 def shingles(text: Column, size: int = 5) -> Column:
     """The set of word n-grams of letters and digits, lower case; none for texts of fewer words."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", " "), r"(?U)\s+"), lambda w: w != "")
+    words = F.filter(F.split(plain_words(text), r"(?U)\s+"), lambda w: w != "")
     grams = let(words, lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.array_join(F.slice(w, i + 1, size), " "))))
     return F.coalesce(F.array_distinct(grams), F.array().cast("array<string>"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from sitequarry.functions import text as tx
+from sitequarry.operators import overlap
 from sitequarry.operators.graph import components
 from sitequarry.plans.lineage import cut, spread
 
@@ -206,22 +207,20 @@ def _estimated(pairs: DataFrame, signed: DataFrame, size: int) -> DataFrame:
 
 
 def jaccard_pairs(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """All pairs (a, b, jaccard) of docs(id, shingles) with exact Jaccard of at least threshold.
-
-    Prefix filter: shingles are ordered by how rare they are, and two sets this similar share one of their first
-    n - ceil(threshold * n) + 1. Only those are joined, so frequent shingles make no pairs; hits are verified on the whole sets.
-    """
-    # shingles are hashed before they are shuffled: a number each instead of their words
-    long = docs.select("id", F.explode(F.transform("shingles", lambda x: F.xxhash64(x))).alias("s"))
-    counted = long.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    sets = cut(long.join(counted, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x")).select("id", F.transform("x", lambda e: e["s"]).alias("x"), F.size("x").alias("n")))
-    prefix = F.slice("x", F.lit(1), F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1)
-    index = sets.select("id", "n", F.explode(prefix).alias("k"))
-    pairs = index.select(F.col("id").alias("a"), F.col("n").alias("na"), "k").join(index.select(F.col("id").alias("b"), F.col("n").alias("nb"), "k"), "k")
-    pairs = pairs.where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
-    common = F.size(F.array_intersect("xa", "xb"))
-    return both.select("a", "b", (common / (F.size("xa") + F.size("xb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
+    """All pairs (a, b, jaccard) of docs(id, shingles) with exact Jaccard of at least threshold; see overlap."""
+    return overlap.similar_pairs(docs.select("id", F.transform("shingles", lambda x: F.xxhash64(x)).alias("source")), overlap.hashed_values, threshold)
+
+
+def text_jaccard_pairs(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """All pairs (a, b, jaccard) of the distinct texts of docs(id, text), each under its smallest id, whose sets of word n-grams have an exact Jaccard of at least threshold. Texts under one id are one set."""
+    plain = tx.plain_words(F.col("text"))
+    docs = docs.where("id is not null and text is not null")
+    if docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        first = docs.groupBy("text").agg(F.min("id").alias("id"))
+        rows = cut(first.groupBy("id").agg(F.collect_list(plain).alias("source")))
+    else:
+        rows = docs.select("id", F.sha2("text", 256).alias("key"), F.array(plain).alias("source"))
+    return overlap.similar_pairs(rows, overlap.hashed_shingles(size), threshold)
 
 
 def exact_groups(docs: DataFrame, key: str) -> DataFrame:

@@ -360,8 +360,7 @@ SELECT a, b, floor(common::DOUBLE / (p.n + q.n - common) * 10000 + 0.5) / 10000
 @query(SHINGLES)
 def exact_jaccard_pairs(t: Tables) -> DataFrame:
     """Near copies among all documents: pairs of the distinct texts, each under its smallest id."""
-    texts = t.documents.where("text is not null").groupBy("text").agg(F.min("doc_id").alias("id"))
-    return similarity.jaccard_pairs(texts.select("id", tx.shingles(F.col("text"), 5).alias("shingles"))).select("a", "b", tx.round_half_up(F.col("jaccard"), 4).alias("jaccard"))
+    return similarity.text_jaccard_pairs(t.documents.select(F.col("doc_id").alias("id"), "text")).select("a", "b", tx.round_half_up(F.col("jaccard"), 4).alias("jaccard"))
 
 
 @query()
